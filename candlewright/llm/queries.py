@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright.llm import mixing, secrets, token_counts, urls, warc
+from candlewright.llm import mixing, secrets, substrings, token_counts, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_source_mix": mixing.op2_source_mix,
         "op4_secrets": secrets.op4_secrets,
+        "op6_substring_dedup": substrings.op6_substring_dedup,
         "op7_url_filter": urls.op7_url_filter,
         "op8_warc": warc.op8_warc,
         "op9_token_counts": token_counts.op9_token_counts,
