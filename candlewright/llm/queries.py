@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright.llm import mixing, secrets, substrings, token_counts, urls, warc
+from candlewright.llm import jaccard, mixing, secrets, substrings, token_counts, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_url_filter": urls.op7_url_filter,
         "op8_warc": warc.op8_warc,
         "op9_token_counts": token_counts.op9_token_counts,
+        "op10_jaccard_join": jaccard.op10_jaccard_join,
     }
 
 
