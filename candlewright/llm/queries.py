@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright.llm import jaccard, mixing, secrets, substrings, token_counts, urls, warc
+from candlewright.llm import jaccard, mixing, secrets, substrings, token_counts, urls, vectors, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_source_mix": mixing.op2_source_mix,
         "op4_secrets": secrets.op4_secrets,
+        "op5_embedding_neardup": vectors.op5_embedding_neardup,
         "op6_substring_dedup": substrings.op6_substring_dedup,
         "op7_url_filter": urls.op7_url_filter,
         "op8_warc": warc.op8_warc,
@@ -22,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": urls.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL}
+    return {"op5_embedding_neardup": vectors.ORACLE_SQL, "op7_url_filter": urls.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL}
