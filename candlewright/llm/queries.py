@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright.llm import decontaminate, jaccard, mixing, secrets, substrings, token_counts, urls, vectors, warc
+from candlewright.llm import decontaminate, jaccard, mixing, secrets, substrings, token_counts, toxicity, urls, vectors, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontaminate.op1_decontamination,
         "op2_source_mix": mixing.op2_source_mix,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_secrets": secrets.op4_secrets,
         "op5_embedding_neardup": vectors.op5_embedding_neardup,
         "op6_substring_dedup": substrings.op6_substring_dedup,
