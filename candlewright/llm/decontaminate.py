@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewright.llm import textscan as ts
-from candlewright.llm.runtime import Scratch, batches, column, slices
+from candlewright.llm.runtime import Scratch, batches, bitmap, column, has, slices
 
 SPAN, GRAM = 10, 5
-#: Bits of the bitmap (2 MB), and of each of its parts as Spark builds them.
-BITMAP_BITS, _PART = 1 << 24, 32768
+#: Bits of the bitmap (2 MB).
+BITMAP_BITS = 1 << 24
 #: Rows of the benchmark's fingerprint table up to which it is broadcast (24 bytes each).
 BROADCAST_PRINTS = 1_000_000
 LAST_ID = (1 << 63) - 1
@@ -63,21 +63,6 @@ def item_prints(benchmark: DataFrame, span: int, gram: int) -> DataFrame:
     return batches(benchmark.select("item", "text"), step, "item long, size int, print long").distinct()
 
 
-def bitmap(prints: DataFrame) -> np.ndarray:
-    """True at each print's low bits; built in parts of fixed size and number."""
-    bit = F.col("print").bitwiseAND(F.lit(BITMAP_BITS - 1)) + 1
-    parts = (
-        prints.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("at"))
-        .groupBy("part")
-        .agg(F.bitmap_construct_agg("at").alias("bits"))
-        .collect()
-    )
-    out = np.zeros(BITMAP_BITS, dtype=bool)
-    for r in parts:
-        out[(r.part - 1) * _PART : r.part * _PART] = np.unpackbits(np.frombuffer(bytes(r.bits), dtype=np.uint8), bitorder="little")[:_PART]
-    return out
-
-
 def _keyed(documents: DataFrame) -> DataFrame:
     return documents.withColumns(
         {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "__tag": F.xxhash64("text")}
@@ -88,8 +73,7 @@ def document_prints(keyed: DataFrame, passed, sizes: list[int], span: int, gram:
     """__id, __tag, size, print of the fingerprints that the bitmap passes."""
 
     def step(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(passed.value).view(bool)
-        low = np.uint64(BITMAP_BITS - 1)
+        bits = passed.value
         for batch in parts:
             ids, tags, texts = column(batch, "__id").to_numpy(), column(batch, "__tag").to_numpy(), column(batch, "text")
             for a, b in slices(texts):
@@ -98,13 +82,13 @@ def document_prints(keyed: DataFrame, passed, sizes: list[int], span: int, gram:
                 rows, kinds, prints = [], [], []
                 if len(words) >= span:
                     least = ts.sliding_min(ts.window_hashes(h, gram), span - gram + 1)
-                    ok = ts.whole(words, span) & bits[least & low]
+                    ok = ts.whole(words, span) & has(bits, least, BITMAP_BITS)
                     ok[1:] &= (least[1:] != least[:-1]) | (words.row[1 : len(least)] != words.row[: len(least) - 1]) | ~ok[:-1]
                     rows, kinds, prints = [words.row[: len(least)][ok]], [np.zeros(int(ok.sum()), dtype=np.int32)], [least[ok]]
                 for n in sizes:
                     if len(words) >= n:
                         g = ts.window_hashes(h, n)
-                        ok = ts.whole(words, n) & bits[g & low]
+                        ok = ts.whole(words, n) & has(bits, g, BITMAP_BITS)
                         rows.append(words.row[: len(g)][ok])
                         kinds.append(np.full(int(ok.sum()), n, dtype=np.int32))
                         prints.append(g[ok])
@@ -137,7 +121,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
     items = items.distinct().withColumn("item", F.xxhash64("name", "text"))
     prints = scratch.table(item_prints(items, span, gram), "prints")
     sizes = sorted(r.size for r in prints.where("size > 0").select("size").distinct().collect())  # under span at most
-    passed = spark.sparkContext.broadcast(np.packbits(bitmap(prints)))
+    passed = spark.sparkContext.broadcast(bitmap(prints, "print", BITMAP_BITS))
     keyed = _keyed(documents.select(*documents.columns))
     given = document_prints(keyed, passed, sizes, span, gram)
     small = prints.count() <= BROADCAST_PRINTS

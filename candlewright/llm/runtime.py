@@ -82,3 +82,38 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+#: Bits in each part of a bitmap, as Spark's bitmap functions build them.
+_PART = 32768
+
+
+def bitmap(values: DataFrame, name: str, bits: int) -> bytes:
+    """A packed bitmap of ``bits`` bits (a power of two) with the low bits of each value set; ``has`` asks it.
+
+    It is built in parts by key and gathered: its size is fixed, whatever the number of values.
+    """
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    bit = F.col(name).bitwiseAND(F.lit(bits - 1)) + 1
+    parts = (
+        values.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("at"))
+        .groupBy("part")
+        .agg(F.bitmap_construct_agg("at").alias("bits"))
+        .toLocalIterator()
+    )
+    out = np.zeros(max(bits, _PART) // 8, dtype=np.uint8)
+    for r in parts:
+        at = (r.part - 1) * _PART // 8
+        out[at : at + _PART // 8] = np.frombuffer(bytes(r.bits), dtype=np.uint8)[: _PART // 8]
+    return out.tobytes()
+
+
+def has(packed: bytes, values, bits: int):
+    """For each 64-bit value: are its low bits set in the bitmap?"""
+    import numpy as np
+
+    low = values & np.uint64(bits - 1)
+    table = np.frombuffer(packed, dtype=np.uint8)
+    return table[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & np.uint8(1) == 1
