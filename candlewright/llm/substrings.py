@@ -1,8 +1,10 @@
 """Substring dedup by super-k-mers.
 
 A window is SIZE consecutive words; its minimiser is the least of its GRAM-word hashes. Consecutive windows of
-a text that share their minimiser travel as one packed string to the minimiser's bucket. A bucket's rows are
-sorted by minimiser, document and place; equal windows have equal minimisers, so the first of a window in that
+a text that share their minimiser travel as one packed string to the minimiser's bucket. Minimisers alone are
+counted first: strings whose minimiser is found nowhere else hold no repeated window and stay at home. A bitmap of
+the repeated minimisers (BITS_PER_KEY bits each, MOST_BITS in all) tells the strings apart; a full one lets strings
+travel that need not, and loses none. A bucket's rows are sorted by minimiser, document and place; equal windows have equal minimisers, so the first of a window in that
 order is its first in the corpus and every other one is marked. Window hashes only find candidates: the words
 are compared. Marked word ranges go back to their documents, which drop the words and digest the rest.
 
@@ -27,9 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewright.llm import textscan as ts
-from candlewright.llm.runtime import Scratch, batches, column, slices
+from candlewright.llm.runtime import Scratch, batches, bitmap, column, has, slices
 
-SIZE, GRAM = 20, 5
+SIZE, GRAM = 20, 6
+#: Bits of the bitmap for each repeated minimiser, and at most (64 MB).
+BITS_PER_KEY, MOST_BITS = 16, 1 << 29
 #: Documents sampled for the order of grams, and the share of them that makes a gram hot.
 SAMPLE, HOT_SHARE = 2000, 0.005
 #: Packed bytes worked on at once in a bucket, and those of one minimiser after which windows are held one by one.
@@ -75,11 +79,51 @@ def hot_grams(documents: DataFrame, gram: int, sample: int = SAMPLE, share: floa
     return np.sort(np.array([r.gram for r in found], dtype=np.int64).view(np.uint64))
 
 
-def pack_windows(keyed: DataFrame, size: int, gram: int, hot) -> DataFrame:
-    """Super-k-mers (packed set) and the ranges that are settled within a batch (packed null, key = end of the range)."""
+def super_kmers(words: ts.Words, size: int, gram: int, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """key, row, first window and end window of each run of windows of a text that share their minimiser, and: may it hold a window twice?"""
+    g = ts.window_hashes(ts.word_hashes(words), gram)
+    value = g >> np.uint64(1)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, g), len(hot) - 1)
+        value[hot[at] == g] |= np.uint64(1 << 63)
+    least = ts.sliding_min(value, size - gram + 1)
+    ok, row = ts.whole(words, size), words.row[: len(least)]
+    cut = np.ones(len(least), dtype=bool)
+    cut[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | (ok[1:] != ok[:-1])
+    begin = np.flatnonzero(cut)
+    end = np.append(begin[1:], len(least))
+    begin, end = begin[ok[begin]], end[ok[begin]]
+    near = np.zeros(len(value) + 1, dtype=np.int32)  # of a gram: is it found again within a window's length?
+    for d in range(1, min(size, len(value))):
+        near[1:-d] |= value[:-d] == value[d:]
+    near = np.cumsum(near)
+    width = size - gram + 1
+    twice = (end - begin > width) | ((end - begin > 1) & (near[np.minimum(end + width - 1, len(value))] > near[begin]))
+    return least[begin], row[begin], begin, end, twice
+
+
+def repeated_keys(keyed: DataFrame, size: int, gram: int, hot) -> DataFrame:
+    """Minimisers of more than one run, or of a run long enough to hold one window twice."""
+
+    def step(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            texts, found = column(batch, "text"), []
+            for a, b in slices(texts):
+                words = ts.split(texts.slice(a, b - a))
+                if len(words) >= size:
+                    key, _, _, _, twice = super_kmers(words, size, gram, hot.value)
+                    found += [key, key[twice]]
+            if found:
+                key, times = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ts.signed(key)), pa.array(times.astype(np.int64))], ["key", "n"])
+
+    return batches(keyed.select("text"), step, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+
+
+def pack_windows(keyed: DataFrame, size: int, gram: int, hot, passed, bits: int) -> DataFrame:
+    """Super-k-mers whose key passes (packed set) and the ranges that are settled within a batch (packed null, key = the range)."""
 
     def step(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = hot.value
         for batch in parts:
             ids, tags, texts = column(batch, "id").to_numpy(), column(batch, "tag").to_numpy(), column(batch, "text")
             first: dict[bytes, tuple[int, int, int, int]] = {}
@@ -89,22 +133,15 @@ def pack_windows(keyed: DataFrame, size: int, gram: int, hot) -> DataFrame:
                 words = ts.split(texts.slice(a, b - a))
                 if len(words) < size:
                     continue
-                g = ts.window_hashes(ts.word_hashes(words), gram)
-                value = g >> np.uint64(1)
-                if len(order):
-                    at = np.minimum(np.searchsorted(order, g), len(order) - 1)
-                    value[order[at] == g] |= np.uint64(1 << 63)
-                least = ts.sliding_min(value, size - gram + 1)
-                ok, row = ts.whole(words, size), words.row[: len(least)]
-                cut = np.ones(len(least), dtype=bool)
-                cut[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | (ok[1:] != ok[:-1])
-                begin = np.flatnonzero(cut)
-                end = np.append(begin[1:], len(least))  # windows begin..end-1
-                begin, end = begin[ok[begin]], end[ok[begin]]
-                where = begin - words.first[row[begin]]
+                keys, row, begin, end, _ = super_kmers(words, size, gram, hot.value)
+                go = has(passed.value, keys, bits)
+                keys, row, begin, end = keys[go], row[go], begin[go], end[go]
+                if not len(keys):
+                    continue
+                where = begin - words.first[row]
                 for key, low, high, i, t, p, n in zip(
-                    ts.signed(least[begin]).tolist(), words.start[begin].tolist(), words.end[end + size - 2].tolist(),
-                    ids[a + row[begin]].tolist(), tags[a + row[begin]].tolist(), where.tolist(), (end - begin).tolist(), strict=True,
+                    ts.signed(keys).tolist(), words.start[begin].tolist(), words.end[end + size - 2].tolist(),
+                    ids[a + row].tolist(), tags[a + row].tolist(), where.tolist(), (end - begin).tolist(), strict=True,
                 ):
                     text = words.data[low:high]
                     new = (i, p, t, key)
@@ -266,7 +303,10 @@ def dedup_substrings(documents: DataFrame, size: int = SIZE, gram: int = GRAM, t
     scratch = Scratch(spark)
     hot = spark.sparkContext.broadcast(hot_grams(documents, gram))
     keyed = _keyed(documents)
-    packed = pack_windows(keyed, size, gram, hot)
+    repeated = scratch.table(repeated_keys(keyed, size, gram, hot), "repeated")
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(20, (BITS_PER_KEY * repeated.count()).bit_length()))
+    passed = spark.sparkContext.broadcast(bitmap(repeated, "key", bits))
+    packed = pack_windows(keyed, size, gram, hot, passed, bits)
     # both kinds of row in one pass: settled ranges need no order, they are dealt by document
     dealt = packed.repartition(F.when(F.col("packed").isNull(), F.xxhash64("id", "place")).otherwise(F.col("key")))
     both = _both(dealt.sortWithinPartitions(F.col("packed").isNull(), "key", "id", "place"), size)

@@ -42,7 +42,7 @@ def corpus(seed, n):
         for _ in range(rng.randint(0, 5)):
             ws += rng.choice(passages) if rng.random() < 0.5 else rng.choices(vocab, k=rng.randint(1, 30))
         rows.append((i, "".join(w + rng.choice([" ", "\n", "  ", "\t"]) for w in ws)))
-    rows += [(500, None), (501, ""), (502, "a " * 300), (503, "b c " * 200), (None, rows[3][1]), (None, rows[4][1]), rows[5], rows[5], (6, rows[7][1]), (504, "\0 " * 30)]
+    rows += [(500, None), (501, ""), (502, "a " * 300), (503, "b c " * 200), (None, rows[3][1]), (None, rows[4][1]), rows[5], rows[5], (6, rows[7][1]), (504, "\0 " * 30), (505, "x " + "q " * 9 + "y z"), (506, "p " * 9), (507, "k " + "m n " * 5 + "l")]
     rng.shuffle(rows)
     return rows
 
