@@ -4,12 +4,582 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from candlewright.operators import bars as B
+from candlewright.operators import control, dataset, forward, generate, language, reports, reward, semantics, tokens
+from candlewright.operators import windows as W
+from candlewright.plans import fixtures as X
+from candlewright.plans.presets import GROUPS, MODEL_SIZES, ROUND1, ROUND1_V2, ROUND2
+from candlewright.sources import io
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+MAX_LENGTH = 240
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _r(c: Column | str) -> Column:
+    return F.round(c, 6)
+
+
+def _long(*names: str) -> list[Column]:
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+def _ts() -> Column:
+    return F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")
+
+
+_SQL_TS = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts"
+
+
+# --- bars and windows ---------------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {X.BARS} SELECT symbol, {_SQL_TS}, open, high, low, close FROM bars")
+def bars_hourly(spark: SparkSession, sf: str) -> DataFrame:
+    return X.bars(spark, sf).select("symbol", _ts(), "open", "high", "low", "close")
+
+
+@_query(f"WITH {X.RANGES} SELECT symbol, {_SQL_TS}, round(tr, 6) AS tr FROM t")
+def true_range(spark: SparkSession, sf: str) -> DataFrame:
+    return B.with_true_range(X.bars(spark, sf)).select("symbol", _ts(), _r("tr").alias("tr"))
+
+
+@_query(f"WITH RECURSIVE {X.ROWS} SELECT symbol, row_idx::BIGINT AS row_idx, round(atr, 6) AS atr FROM pre")
+def atr_ema(spark: SparkSession, sf: str) -> DataFrame:
+    return X.rows(spark, sf).select("symbol", *_long("row_idx"), _r("atr").alias("atr"))
+
+
+_DEVIATION = (
+    X.ROWS
+    + """,
+dev AS (SELECT symbol, row_idx, atr, greatest(max(greatest(open, high, low, close)) OVER w - open, open - min(least(open, high, low, close)) OVER w) AS deviation
+  FROM pre WINDOW w AS (PARTITION BY symbol ORDER BY row_idx ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))"""
+)
+
+
+@_query(f"WITH RECURSIVE {_DEVIATION} SELECT symbol, row_idx::BIGINT AS row_idx, round(deviation, 6) AS deviation, round(deviation / atr, 6) AS ratio FROM dev WHERE row_idx >= 1")
+def window_deviation(spark: SparkSession, sf: str) -> DataFrame:
+    return B.with_deviation(X.rows(spark, sf)).select("symbol", *_long("row_idx"), _r("deviation").alias("deviation"), _r("ratio").alias("ratio"))
+
+
+@_query(f"WITH RECURSIVE {_DEVIATION} SELECT symbol, round(quantile_cont(deviation / atr, 0.999), 6) AS scale FROM dev WHERE row_idx >= 1 GROUP BY symbol")
+def scale_percentile(spark: SparkSession, sf: str) -> DataFrame:
+    return B.scales(X.rows(spark, sf)).select("symbol", _r("scale").alias("scale"))
+
+
+@_query("SELECT event_type AS symbol, round(count(*) / 4.0, 2)::DOUBLE AS scale FROM events GROUP BY ALL")
+def scale_last_wins(spark: SparkSession, sf: str) -> DataFrame:
+    counts = spark.read.parquet(f"{sf}/events.parquet").groupBy("event_type").count()
+    line = lambda n, c: F.struct(F.lit(n).alias("place"), c.alias("line"))
+    log = counts.select(
+        F.inline(F.array(line(1, F.concat("event_type", F.lit(": 1.00"))), line(2, F.lit("no colon here")), line(3, F.concat(F.col("event_type"), F.lit(": "), F.format_string("%.2f", F.col("count") / 4)))))
+    )
+    return io.scales_from_text(log).where("symbol is not null")
+
+
+@_query(f"WITH RECURSIVE {X.WINDOWS} SELECT symbol, window_no::BIGINT AS window_no, start_idx::BIGINT AS start_idx, round(anchor_open, 6) AS anchor_open, round(anchor_atr, 6) AS anchor_atr FROM starts")
+def window_starts(spark: SparkSession, sf: str) -> DataFrame:
+    return W.window_starts(X.rows(spark, sf)).select("symbol", *_long("window_no", "start_idx"), _r("anchor_open").alias("anchor_open"), _r("anchor_atr").alias("anchor_atr"))
+
+
+@_query(f"WITH RECURSIVE {X.WINDOWS} SELECT symbol, window_no::BIGINT AS window_no, i::BIGINT AS i, o::BIGINT AS o, h::BIGINT AS h, l::BIGINT AS l, c::BIGINT AS c FROM q")
+def quantized_candles(spark: SparkSession, sf: str) -> DataFrame:
+    return X.windows(spark, sf).select("symbol", "window_no", F.posexplode("candles").alias("i", "x")).select("symbol", *_long("window_no", "i"), *[F.col(f"x.{k}").cast("long").alias(k) for k in "ohlc"])
+
+
+_BACK = f"((c / 1023.0::DOUBLE * 2 - 1) * {X.SCALE}::DOUBLE * anchor_atr + anchor_open)"
+
+
+@_query(f"WITH RECURSIVE {X.WINDOWS} SELECT symbol, window_no::BIGINT AS window_no, round(max({_BACK}), 6) AS top, round(min({_BACK}), 6) AS bottom FROM q GROUP BY ALL")
+def dequantized_range(spark: SparkSession, sf: str) -> DataFrame:
+    return W.decoded_prices(X.windows(spark, sf)).groupBy("symbol", F.col("window_no").cast("long").alias("window_no")).agg(_r(F.max("close")).alias("top"), _r(F.min("close")).alias("bottom"))
+
+
+_PLAIN = "'<chart> ' || string_agg('O_' || o || ' H_' || h || ' L_' || l || ' C_' || c, ' ' ORDER BY i) || ' </chart>'"
+_CHART = "'<chart> ' || string_agg('<O_' || o || '> <H_' || h || '> <L_' || l || '> <C_' || c || '>', ' ' ORDER BY i) FILTER (i < 50) || ' </chart>'"
+
+
+@_query(f"WITH RECURSIVE {X.WINDOWS} SELECT symbol, window_no::BIGINT AS window_no, {_PLAIN} AS text FROM q GROUP BY ALL")
+def encoded_window_text(spark: SparkSession, sf: str) -> DataFrame:
+    return X.windows(spark, sf).select("symbol", *_long("window_no"), W.plain_text(F.col("candles")).alias("text"))
+
+
+@_query(f"WITH RECURSIVE {X.WINDOWS} SELECT symbol, window_no::BIGINT AS window_no, sum(i * (o + 2 * h + 3 * l + 4 * c))::BIGINT AS checksum, count(*) AS candles FROM q GROUP BY ALL")
+def decoded_window(spark: SparkSession, sf: str) -> DataFrame:
+    text = X.windows(spark, sf).select("symbol", "window_no", W.plain_text(F.col("candles")).alias("text"))
+    parsed = text.select("symbol", "window_no", F.posexplode(W.parse_window(F.col("text"))).alias("i", "x"))
+    weight = F.col("x.o") + 2 * F.col("x.h") + 3 * F.col("x.l") + 4 * F.col("x.c")
+    return parsed.groupBy("symbol", F.col("window_no").cast("long").alias("window_no")).agg(F.sum(F.col("i") * weight).cast("long").alias("checksum"), F.count("*").alias("candles"))
+
+
+# --- datasets -----------------------------------------------------------------------------------------------------
+
+_FUTURE = "string_agg(o || ',' || h || ',' || l || ',' || c, ';' ORDER BY i) FILTER (i >= 50)"
+
+
+def _bins_text(bins: str) -> Column:
+    return F.array_join(F.transform(bins, lambda b: F.array_join(b.cast("array<string>"), ",")), ";")
+
+
+@_query(f"WITH RECURSIVE {X.WINDOWS} SELECT symbol || '_' || window_no AS window_id, symbol, {_CHART} AS prompt, {_FUTURE} AS future FROM q GROUP BY symbol, window_no")
+def grpo_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return dataset.prompt_rows(X.windows(spark, sf)).select("window_id", "symbol", "prompt", _bins_text("future_bins").alias("future"))
+
+
+_DRAW = "('0x' || substr(md5(concat_ws('|', window_id, k, '42')), 1, 8))::BIGINT % greatest(1023 - mx + mn, 1) - mn"
+
+
+@_query(
+    f"""WITH RECURSIVE {X.WINDOWS},
+b AS (SELECT symbol, window_no, symbol || '_' || window_no AS window_id, min(l) AS mn, max(h) AS mx FROM q GROUP BY symbol, window_no),
+g AS (SELECT b.*, k, CASE WHEN k < 0 THEN 0 ELSE {_DRAW} END AS ch FROM b CROSS JOIN (SELECT unnest(range(-1, 3)) AS k) WHERE k < 0 OR 1023 - mx + mn > 0)
+SELECT CASE WHEN k < 0 THEN window_id ELSE window_id || '_aug' || k END AS window_id, (CASE WHEN k >= 0 AND ch >= 0 THEN ch + 1 ELSE ch END)::BIGINT AS delta FROM g"""
+)
+def augmented_windows(spark: SparkSession, sf: str) -> DataFrame:
+    named = X.windows(spark, sf).withColumn("window_id", F.concat_ws("_", "symbol", F.col("window_no").cast("string")))
+    return dataset.augmented(named, 3, 42).select("window_id", F.col("delta").cast("long").alias("delta"))
+
+
+@_query(f"WITH RECURSIVE {X.WINDOWS} SELECT symbol || '_' || window_no || '_' || task AS window_id, task AS task_id FROM (SELECT DISTINCT symbol, window_no FROM q) CROSS JOIN (SELECT unnest(['zone', 'action']) AS task)")
+def task_expanded(spark: SparkSession, sf: str) -> DataFrame:
+    return dataset.task_rows(dataset.prompt_rows(X.windows(spark, sf))).select("window_id", "task_id")
+
+
+@_query(
+    f"""WITH RECURSIVE {X.WINDOWS}, z AS (SELECT symbol, floor((max(start_idx) + 100) * 0.8::DOUBLE) AS cut FROM starts GROUP BY symbol)
+SELECT symbol, window_no::BIGINT AS window_no, CASE WHEN start_idx + 100 <= cut THEN 'train' WHEN start_idx >= cut THEN 'val' END AS split FROM starts JOIN z USING (symbol)"""
+)
+def split_by_time_block(spark: SparkSession, sf: str) -> DataFrame:
+    return dataset.split_by_time(X.windows(spark, sf)).select("symbol", *_long("window_no"), "split")
+
+
+@_query(f"WITH {X.LEAF_TABLE} SELECT k::BIGINT AS leaf, trend, side, zcase AS zone_case, action FROM leaves")
+def leaf_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    return generate.leaves(spark).select(*_long("leaf"), F.col("leaf_trend").alias("trend"), "side", "zone_case", F.col("leaf_action").alias("action"))
+
+
+@_query(f"WITH RECURSIVE {X.DECISIONS} SELECT k::BIGINT AS leaf FROM leaves WHERE k NOT IN (SELECT k FROM d WHERE k % 4 <> 1)")
+def leaf_coverage_gap(spark: SparkSession, sf: str) -> DataFrame:
+    seen = X.decisions(spark, sf).where("k % 4 <> 1").select(F.col("k").alias("leaf")).distinct()
+    return generate.leaves(spark).join(seen, "leaf", "left_anti").select(*_long("leaf"))
+
+
+@_query()
+def generated_samples_valid(spark: SparkSession, sf: str) -> DataFrame:
+    charts = dataset.chart_rows(X.windows(spark, sf))
+    made = generate.samples(charts, 4, 42).withColumn("text", language.assembled(W.chart_text(F.col("candles")), F.col("completion"))).select("window_id", "sample", "leaf", "text")
+    return semantics.with_semantics(language.parse_programs(made)).select("window_id", "sample", "leaf", "well_formed", "semantic_passed")
+
+
+# --- language -----------------------------------------------------------------------------------------------------
+
+
+def _digit_sql(c: str) -> str:
+    return f"array_to_string(string_split(lpad(({c})::VARCHAR, 4, '0'), ''), ' ')"
+
+
+_COMPLETION = f"""concat_ws(' ', '<think>', '<trend>' || trend || '</trend>', '<current_price>', {_digit_sql("p")}, '</current_price>',
+  CASE WHEN side IS NOT NULL THEN '<zone_' || side || '> ' || {_digit_sql("lo")} || ' : ' || {_digit_sql("hi")} || ' </zone_' || side || '>' END,
+  CASE WHEN piz THEN '<price_in_zone>' END, CASE WHEN good THEN '<good_price_action>' END, '</think>', '<action>', action,
+  CASE WHEN sl IS NOT NULL THEN 'SL: ' || {_digit_sql("sl")} END, CASE WHEN rr IS NOT NULL THEN '<RR_' || rr || '>' END, '</action>')"""
+
+
+@_query(f"WITH RECURSIVE {X.DECISIONS} SELECT window_id, k::BIGINT AS k, {_COMPLETION} AS completion FROM d")
+def completion_text(spark: SparkSession, sf: str) -> DataFrame:
+    return X.rollouts(spark, sf).select("window_id", *_long("k"), F.col("clean_completion").alias("completion"))
+
+
+@_query(
+    f"""WITH RECURSIVE {X.DECISIONS} SELECT window_id, k::BIGINT AS k, trend, p::BIGINT AS current_price_bin, side AS zone_direction, lo::BIGINT AS zone_lower, hi::BIGINT AS zone_upper,
+piz AS price_in_zone, good AS good_price_action, action AS action_type, sl::BIGINT AS sl, rr::BIGINT AS rr, true AS clean FROM d"""
+)
+def parse_fast_fields(spark: SparkSession, sf: str) -> DataFrame:
+    text = X.rollouts(spark, sf).withColumn("text", language.assembled(F.col("prompt"), F.col("clean_completion")))
+    return language.parse_clean(text).select(
+        "window_id", *_long("k", "current_price_bin", "zone_lower", "zone_upper", "sl", "rr"), "trend", "zone_direction", "price_in_zone", "good_price_action", "action_type", "clean"
+    )
+
+
+def _spoilt(spark: SparkSession, sf: str) -> DataFrame:
+    text = X.rollouts(spark, sf).withColumn("text", language.assembled(F.col("prompt"), F.col("completion"))).select("window_id", "k", "completion", "text", "future")
+    return language.parse_programs(text).withColumn("intended_action", language.intended_action(F.col("completion")))
+
+
+@_query(
+    f"""WITH RECURSIVE {X.DECISIONS} SELECT window_id, k::BIGINT AS k, round(CASE k % 8 WHEN 3 THEN 0.85 WHEN 5 THEN 0.85 WHEN 6 THEN 0.70 ELSE 1 END::DOUBLE, 6) AS wf_score FROM d"""
+)
+def wf_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _spoilt(spark, sf).select("window_id", *_long("k"), _r("wf_score").alias("wf_score"))
+
+
+@_query(
+    f"""WITH RECURSIVE {X.DECISIONS} SELECT action AS intended_action, count(*) AS n, count(*) FILTER (k % 8 NOT IN (3, 5)) AS well_formed, round(avg((k % 8 NOT IN (3, 5))::INT), 6) AS rate
+FROM d WHERE k % 8 <> 6 GROUP BY action"""
+)
+def intended_action_rate(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.intended_rates(_spoilt(spark, sf)).withColumn("rate", _r("rate"))
+
+
+@_query()
+def lex_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    found = F.regexp_count(F.col("text"), F.lit(r"<[OHLC]_[0-9]+>"))
+    return X.rollouts(spark, sf).withColumn("text", language.assembled(F.col("prompt"), F.col("completion"))).groupBy("symbol").agg(F.sum(found).cast("long").alias("candle_tokens"))
+
+
+# --- semantics and outcomes ---------------------------------------------------------------------------------------
+
+
+@_query(f"WITH RECURSIVE {X.SEMANTICS} SELECT window_id, k::BIGINT AS k, concat_ws(',', CASE WHEN v1 THEN 'trend_zone' END, CASE WHEN v2 THEN 'side' END, CASE WHEN v3 THEN 'width' END, CASE WHEN v4 THEN 'price_in_zone' END, CASE WHEN v5 THEN 'action' END) AS violations FROM sem")
+def semantic_violations(spark: SparkSession, sf: str) -> DataFrame:
+    return semantics.with_semantics(X.decisions(spark, sf)).select("window_id", *_long("k"), F.array_join("violations", ",").alias("violations"))
+
+
+@_query(f"WITH RECURSIVE {X.SEMANTICS} SELECT window_id, k::BIGINT AS k, sem_ok AS semantic_passed, round(sem_score, 6) AS semantic_score FROM sem")
+def semantic_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return semantics.with_semantics(X.decisions(spark, sf)).select("window_id", *_long("k"), "semantic_passed", _r("semantic_score").alias("semantic_score"))
+
+
+@_query(f"WITH RECURSIVE {X.SEMANTICS} SELECT window_id, k::BIGINT AS k, touch FROM sem WHERE side IS NOT NULL")
+def zone_touch_last5(spark: SparkSession, sf: str) -> DataFrame:
+    d = X.decisions(spark, sf).where("zone_direction is not null")
+    return d.select("window_id", *_long("k"), semantics.touches(F.col("candles"), F.col("zone_lower"), F.col("zone_upper")).alias("touch"))
+
+
+_TRADES = "sl IS NOT NULL"
+
+
+def _trades(spark: SparkSession, sf: str) -> DataFrame:
+    return X.decisions(spark, sf).where("sl is not null").withColumn("long", F.col("action_type") == "BUY")
+
+
+def _trade() -> tuple[Column, Column, Column, Column]:
+    """entry, stop, future, is long"""
+    return tuple(F.col(c) for c in ("current_price_bin", "sl", "future", "long"))
+
+
+@_query(
+    f"""WITH RECURSIVE {X.OUTCOMES}, h AS (SELECT *, (SELECT min(q.i - 50) FROM q WHERE q.symbol = o.symbol AND q.window_no = o.window_no AND q.i >= 50 AND CASE WHEN lng THEN q.h >= far ELSE q.l <= far END) AS tp FROM o WHERE {_TRADES})
+SELECT window_id, k::BIGINT AS k, CASE WHEN risk = 0 THEN 'INVALID_SETUP' WHEN stop IS NOT NULL AND stop <= coalesce(tp, 1 << 30) THEN 'LOSS' WHEN tp IS NOT NULL THEN 'WIN' ELSE 'TIMEOUT' END AS status FROM h WHERE far BETWEEN 0 AND 1023"""
+)
+def first_hit_binary(spark: SparkSession, sf: str) -> DataFrame:
+    e, sl, f, long = _trade()
+    d = _trades(spark, sf).withColumn("target", forward.target_bin(e, sl, F.col("rr"), long)).where("target is not null")
+    return d.select("window_id", *_long("k"), forward.binary_outcome(e, sl, F.col("target"), f, long)["status"].alias("status"))
+
+
+@_query(f"WITH RECURSIVE {X.OUTCOMES} SELECT window_id, k::BIGINT AS k, st AS status, round(rm, 6) AS r_multiple, ex::BIGINT AS exit_index FROM o WHERE {_TRADES}")
+def scaleout_outcome(spark: SparkSession, sf: str) -> DataFrame:
+    e, sl, f, long = _trade()
+    out = _trades(spark, sf).withColumn("x", forward.scale_out(e, sl, F.col("rr"), f, long))
+    return out.select("window_id", *_long("k"), "x.status", _r("x.r_multiple").alias("r_multiple"), F.col("x.exit_index").cast("long").alias("exit_index"))
+
+
+@_query(f"WITH RECURSIVE {X.OUTCOMES} SELECT window_id, k::BIGINT AS k, round(CASE WHEN risk = 0 THEN 0 ELSE least(9, greatest(0, coalesce(best / risk::DOUBLE, 0))) END::DOUBLE, 6) AS best_r FROM o WHERE {_TRADES}")
+def max_favourable_r(spark: SparkSession, sf: str) -> DataFrame:
+    e, sl, f, long = _trade()
+    return _trades(spark, sf).select("window_id", *_long("k"), _r(forward.best_excursion(e, sl, f, long)).alias("best_r"))
+
+
+@_query(f"WITH RECURSIVE {X.OUTCOMES} SELECT window_id, k::BIGINT AS k, round(probe, 6) AS probe FROM o")
+def zone_probe(spark: SparkSession, sf: str) -> DataFrame:
+    d = X.decisions(spark, sf)
+    return d.select("window_id", *_long("k"), _r(forward.zone_probe(F.col("zone_direction"), F.col("zone_lower"), F.col("zone_upper"), F.col("future"))).alias("probe"))
+
+
+@_query(f"WITH RECURSIVE {X.OUTCOMES} SELECT window_id, k::BIGINT AS k, slv AS sl_valid, (CASE WHEN far BETWEEN 0 AND 1023 THEN far END)::BIGINT AS target FROM o WHERE {_TRADES}")
+def sl_validity_target(spark: SparkSession, sf: str) -> DataFrame:
+    e, sl, _, long = _trade()
+    d = _trades(spark, sf)
+    ok = forward.sl_valid(F.col("action_type"), e, sl, F.col("zone_lower"), F.col("zone_upper"), 5, 20)
+    return d.select("window_id", *_long("k"), ok.alias("sl_valid"), forward.target_bin(e, sl, F.col("rr"), long).cast("long").alias("target"))
+
+
+# --- rewards and reports ------------------------------------------------------------------------------------------
+
+_REWARD1 = (
+    X.OUTCOMES
+    + """,
+g AS (SELECT *, CASE WHEN action IN ('BUY', 'SELL') THEN st <> 'INVALID_SETUP' WHEN action LIKE 'CANCEL%' THEN side IS NOT NULL ELSE true END AS valid,
+  CASE WHEN action IN ('BUY', 'SELL') THEN slv END AS slok FROM o),
+r1 AS (SELECT *, sem_ok AND valid AND coalesce(slok, true) AS passed,
+  greatest(0, CASE WHEN sem_ok AND NOT valid THEN greatest(0, sem_score - 0.2::DOUBLE) ELSE sem_score END + CASE slok WHEN true THEN 0.2::DOUBLE WHEN false THEN -0.2::DOUBLE ELSE 0 END) AS judged FROM g),
+r AS (SELECT *, CASE WHEN NOT passed THEN 1 + judged WHEN action IN ('BUY', 'SELL') THEN 4.5::DOUBLE + rm - 0.65::DOUBLE / risk + 0.05::DOUBLE ELSE 4.5::DOUBLE END AS reward FROM r1)"""
+)
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    d = semantics.with_semantics(X.decisions(spark, sf)).withColumns({"well_formed": F.lit(True), "wf_score": F.lit(1.0)})
+    return reward.reward_one(d, ROUND1, rr_bonus=0.05)
+
+
+@_query(f"WITH RECURSIVE {_REWARD1} SELECT window_id, k::BIGINT AS k, passed, round(reward, 6) AS reward FROM r")
+def reward_v1(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf).select("window_id", *_long("k"), "passed", _r("reward").alias("reward"))
+
+
+_SEMANTICS2 = X.OUTCOMES.replace("hi - lo NOT BETWEEN 5 AND 20", "hi - lo NOT BETWEEN 10 AND 40")
+
+
+@_query(
+    f"""WITH RECURSIVE {_SEMANTICS2}, x AS (SELECT o.*, task, coalesce(slv, false) AS ok FROM o CROSS JOIN (SELECT unnest(['zone', 'action']) AS task))
+SELECT window_id, k::BIGINT AS k, task AS task_id, round(CASE WHEN NOT sem_ok THEN 1 + sem_score WHEN task = 'zone' THEN 4.5::DOUBLE + coalesce(probe, 0) * 0.1::DOUBLE WHEN action NOT IN ('BUY', 'SELL') THEN 4.5
+  WHEN NOT ok THEN 1 + greatest(0, sem_score - 0.2::DOUBLE) ELSE 4.5::DOUBLE + 0.2::DOUBLE * least(9, greatest(0, coalesce(best / risk::DOUBLE, 0))) + rm - 0.65::DOUBLE / risk END::DOUBLE, 6) AS reward FROM x"""
+)
+def reward_v2(spark: SparkSession, sf: str) -> DataFrame:
+    d = semantics.with_semantics(X.decisions(spark, sf), *ROUND1_V2.zone_width).withColumns({"well_formed": F.lit(True), "wf_score": F.lit(1.0)})
+    tasks = d.withColumn("task_id", F.explode(F.array(F.lit("zone"), F.lit("action"))))
+    return reward.reward_two(tasks, ROUND1_V2).select("window_id", *_long("k"), "task_id", _r("reward").alias("reward"))
+
+
+@_query(
+    f"""WITH RECURSIVE {_REWARD1}, y AS (SELECT window_id, rr, count(*) AS c, sum(count(*)) OVER (PARTITION BY window_id) AS n FROM r WHERE passed AND rr IS NOT NULL GROUP BY window_id, rr)
+SELECT window_id, round(-sum(c / n::DOUBLE * ln(c / n::DOUBLE)), 6) + 0 AS entropy, sum(c)::BIGINT AS n FROM y GROUP BY window_id"""
+)
+def rr_entropy_by_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    out = reports.entropy(_scored(spark, sf).where("passed"), "rr", "window_id")
+    return out.select("window_id", (_r("entropy") + 0).alias("entropy"), *_long("n"))
+
+
+@_query(
+    f"""WITH RECURSIVE {_REWARD1}, y AS (SELECT *, passed AND rr IS NOT NULL AS el FROM r),
+z AS (SELECT *, count(*) FILTER (el) OVER (PARTITION BY window_id) AS n, count(*) FILTER (el) OVER (PARTITION BY window_id, rr) AS c FROM y)
+SELECT window_id, k::BIGINT AS k, round(CASE WHEN el AND n >= 2 THEN -ln(c / n::DOUBLE) * 0.1::DOUBLE ELSE 0 END::DOUBLE, 6) + 0 AS bonus FROM z"""
+)
+def rr_surprisal_bonus(spark: SparkSession, sf: str) -> DataFrame:
+    out = reward.rr_entropy(_scored(spark, sf), "window_id", F.col("passed"), 0.1)
+    return out.select("window_id", *_long("k"), (_r("bonus") + 0).alias("bonus"))
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf).withColumns({"r_multiple": F.when(F.col("passed"), F.col("outcome.r_multiple")), "status": F.when(F.col("passed"), F.col("outcome.status")), "step": (F.col("k") % 7).cast("long")}).withColumn(
+        "r_net", F.col("r_multiple") - F.lit(ROUND1.fee_bins) / F.abs(F.col("current_price_bin") - F.col("sl"))
+    )
+
+
+_RECORDS = _REWARD1 + ", rec AS (SELECT *, CASE WHEN passed AND sl IS NOT NULL THEN rm END AS rmul, CASE WHEN passed AND sl IS NOT NULL THEN st END AS status, CASE WHEN passed AND sl IS NOT NULL THEN rm - 0.65::DOUBLE / risk END AS rnet, k % 7 AS step FROM r)"
+
+
+@_query(
+    f"""WITH RECURSIVE {_RECORDS} SELECT trend, action AS action_type, count(*) AS n, round(avg(rmul), 6) AS avg_r, round(avg((rmul > 0)::INT), 6) AS win_rate, round(avg(rr), 6) AS avg_rr,
+round(count(*) / sum(count(*)) OVER (PARTITION BY trend), 6) AS share FROM rec WHERE passed GROUP BY trend, action"""
+)
+def stats_trend_action(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.trend_action(_records(spark, sf), F.col("passed")).select("trend", "action_type", "n", *[_r(c).alias(c) for c in ("avg_r", "win_rate", "avg_rr", "share")])
+
+
+@_query(f"WITH RECURSIVE {_RECORDS}, y AS (SELECT trend, action, rr, count(*) AS c FROM rec WHERE passed AND rr IS NOT NULL GROUP BY ALL) SELECT trend, action AS action_type, string_agg(rr || ':' || c, ',' ORDER BY rr) AS histogram FROM y GROUP BY trend, action")
+def rr_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    out = reports.rr_histogram(_records(spark, sf), F.col("passed"))
+    shown = F.array_join(F.transform(F.map_entries("histogram"), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",")
+    return out.select("trend", "action_type", shown.alias("histogram"))
+
+
+_GROUP = "CASE WHEN action LIKE 'CANCEL%' THEN 'CANCEL' WHEN action LIKE 'WAIT%' THEN 'WAIT' ELSE action END"
+
+
+@_query(
+    f"""WITH RECURSIVE {_RECORDS}, y AS (SELECT {_GROUP} AS grp, action AS action_type, count(*) AS n FROM rec WHERE passed GROUP BY ROLLUP (1, 2))
+SELECT * FROM y UNION ALL SELECT g, NULL, 0 FROM (SELECT unnest({list(GROUPS)}) AS g) WHERE g NOT IN (SELECT grp FROM y WHERE grp IS NOT NULL)"""
+)
+def group_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.group_rollup(_records(spark, sf), F.col("passed"))
+
+
+@_query(
+    f"""WITH RECURSIVE {_RECORDS} SELECT trend, action AS action_type, count(*) AS n, round(avg(rmul), 6) AS gross_r, round(avg(rnet), 6) AS net_r, round(avg((status = 'WIN')::INT), 6) AS win,
+round(avg((status = 'LOSS')::INT), 6) AS loss, round(avg((status = 'TIMEOUT')::INT), 6) AS timeout FROM rec GROUP BY GROUPING SETS ((trend, action), ())"""
+)
+def eval_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.eval_summary(_records(spark, sf)).select("trend", "action_type", "n", *[_r(c).alias(c) for c in ("gross_r", "net_r", "win", "loss", "timeout")])
+
+
+@_query(f"WITH RECURSIVE {_RECORDS} SELECT action AS key, count(*) AS n FROM rec WHERE passed AND step > 3 GROUP BY action")
+def counts_since_step(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.count_by(_records(spark, sf), F.col("action_type"), F.col("passed"), since=3)
+
+
+# --- controllers --------------------------------------------------------------------------------------------------
+
+
+def _settings(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(g, ROUND2.target(g), *ROUND2.ranges[g], ROUND2.init[g]) for g in GROUPS], "grp string, target double, low double, high double, init double")
+
+
+_SETTINGS = ", ".join(f"('{g}', {ROUND2.target(g)!r}::DOUBLE, {ROUND2.ranges[g][0]!r}::DOUBLE, {ROUND2.ranges[g][1]!r}::DOUBLE, {ROUND2.init[g]!r}::DOUBLE)" for g in GROUPS)
+
+
+@_query(
+    f"""WITH RECURSIVE {_RECORDS}, cfg AS (SELECT * FROM (VALUES {_SETTINGS}) v(grp, target, low, high, init)),
+tot AS (SELECT step, count(*) FILTER (passed) AS total FROM rec GROUP BY step),
+mine AS (SELECT step, {_GROUP} AS grp, count(*) AS n FROM rec WHERE passed GROUP BY ALL),
+rate AS (SELECT cfg.*, tot.step, CASE WHEN total > 0 THEN coalesce(n, 0) / total::DOUBLE END AS rate FROM cfg CROSS JOIN tot LEFT JOIN mine ON mine.step = tot.step AND mine.grp = cfg.grp),
+c(grp, step, ema, buff, err) AS (SELECT grp, -1::BIGINT, target, init, 0::DOUBLE FROM cfg UNION ALL
+  SELECT rate.grp, rate.step, coalesce(0.1::DOUBLE * rate + 0.9::DOUBLE * ema, ema),
+    CASE WHEN rate IS NULL THEN buff ELSE greatest(low, least(high, buff + greatest(-0.0002::DOUBLE, least(0.0002::DOUBLE, 0.02::DOUBLE * (target - (0.1::DOUBLE * rate + 0.9::DOUBLE * ema)) + 0.01::DOUBLE * (target - (0.1::DOUBLE * rate + 0.9::DOUBLE * ema) - err))))) END,
+    CASE WHEN rate IS NULL THEN err ELSE target - (0.1::DOUBLE * rate + 0.9::DOUBLE * ema) END FROM c JOIN rate ON rate.grp = c.grp AND rate.step = c.step + 1)
+SELECT grp, step::BIGINT AS step, round(ema, 6) AS ema, round(buff, 6) AS buff FROM c WHERE step >= 0"""
+)
+def pd_controller_trace(spark: SparkSession, sf: str) -> DataFrame:
+    records, settings = _records(spark, sf), _settings(spark)
+    rates = control.step_rates(records, reward.action_group(F.col("action_type")), settings, F.col("passed"))
+    return control.pd_trace(rates, settings, ["grp"], ROUND2.ema_alpha, ROUND2.kp, ROUND2.kd, ROUND2.step_max).select("grp", "step", _r("ema").alias("ema"), _r("buff").alias("buff"))
+
+
+_EMA = "(0.1::DOUBLE * h + 0.9::DOUBLE * ema)"
+
+
+@_query(
+    f"""WITH RECURSIVE {_RECORDS}, y AS (SELECT step, rr, count(*) AS c, sum(count(*)) OVER (PARTITION BY step) AS n FROM rec WHERE passed AND rr IS NOT NULL GROUP BY step, rr),
+h AS (SELECT s.step, -sum(c / n::DOUBLE * ln(c / n::DOUBLE)) AS h FROM (SELECT unnest(range(0, 7)) AS step) s LEFT JOIN y ON y.step = s.step GROUP BY s.step),
+c(step, ema, bonus, err) AS (SELECT -1::BIGINT, 0.3::DOUBLE, 0::DOUBLE, 0::DOUBLE UNION ALL
+  SELECT h.step, coalesce({_EMA}, ema), CASE WHEN h IS NULL THEN bonus WHEN 0.3::DOUBLE - {_EMA} > 0
+    THEN greatest(0, least(0.1::DOUBLE, bonus + greatest(-0.0005::DOUBLE, least(0.0005::DOUBLE, 0.02::DOUBLE * (0.3::DOUBLE - {_EMA}) + 0.01::DOUBLE * (0.3::DOUBLE - {_EMA} - err))))) ELSE greatest(0, bonus - least(bonus, 0.0005::DOUBLE)) END,
+    CASE WHEN h IS NULL THEN err ELSE greatest(0, 0.3::DOUBLE - {_EMA}) END FROM c JOIN h ON h.step = c.step + 1)
+SELECT step::BIGINT AS step, round(ema, 6) AS ema, round(bonus, 6) AS bonus FROM c WHERE step >= 0"""
+)
+def entropy_controller_trace(spark: SparkSession, sf: str) -> DataFrame:
+    read = reports.entropy(_records(spark, sf).where("passed"), "rr", "step").select("step", F.col("entropy").alias("reading"))
+    steps = spark.range(7).select(F.col("id").alias("step")).join(read, "step", "left")
+    r = ROUND2
+    out = control.entropy_trace(steps, r.entropy_floor, r.entropy_alpha, r.entropy_kp, r.entropy_kd, r.entropy_step, r.entropy_cap)
+    return out.select("step", _r("ema").alias("ema"), _r("buff").alias("bonus"))
+
+
+# --- tokens -------------------------------------------------------------------------------------------------------
+
+_VOCAB = ", ".join("('{}', {}, {})".format(g, "'" + t.replace("'", "''") + "'", i) for g, t, i in tokens.vocabulary() if not g.startswith("candle_"))
+_VOCAB_TABLE = f"""vocab AS (SELECT * FROM (VALUES {_VOCAB}) v(grp, token, id) UNION ALL
+  SELECT 'candle_' || p, '<' || p || '_' || v || '>', 10 + 1024 * n + v FROM (SELECT unnest(['O', 'H', 'L', 'C']) AS p, unnest(range(4)) AS n) CROSS JOIN (SELECT unnest(range(1024)) AS v))"""
+
+
+@_query(f"WITH {_VOCAB_TABLE} SELECT grp, token, id::BIGINT AS id FROM vocab")
+def vocab_table(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.vocabulary_frame(spark).select("grp", "token", *_long("id"))
+
+
+@_query(f"WITH {_VOCAB_TABLE} SELECT grp, count(*) AS n FROM vocab GROUP BY grp")
+def vocab_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.vocabulary_frame(spark).groupBy("grp").agg(F.count("*").alias("n"))
+
+
+_TEXT = f"""{X.DECISIONS}, {_VOCAB_TABLE},
+pr AS (SELECT symbol, window_no, {_CHART} AS prompt FROM q GROUP BY symbol, window_no),
+ro AS (SELECT window_id, k, prompt, CASE WHEN k % 4 = 1 THEN {_COMPLETION} || ' what' ELSE {_COMPLETION} END AS completion FROM d JOIN pr USING (symbol, window_no)),
+wd AS (SELECT window_id, k, unnest(string_split(prompt || ' ' || completion, ' ')) AS token, generate_subscripts(string_split(prompt || ' ' || completion, ' '), 1) AS pos, len(string_split(prompt, ' ')) AS np FROM ro),
+tk AS (SELECT window_id, k, pos, np, coalesce(id, 0) AS id, wd.token FROM wd LEFT JOIN vocab USING (token))"""
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    r = X.rollouts(spark, sf)
+    done = F.when(F.col("k") % 4 == 1, F.concat("clean_completion", F.lit(" what"))).otherwise(F.col("clean_completion"))
+    return r.select("window_id", "k", "prompt", done.alias("completion"))
+
+
+def _joined(ids: str) -> Column:
+    return F.array_join(F.col(ids).cast("array<string>"), " ")
+
+
+@_query(f"WITH RECURSIVE {_TEXT} SELECT window_id, k::BIGINT AS k, '1 ' || string_agg(id::VARCHAR, ' ' ORDER BY pos) || ' 2' AS ids FROM tk GROUP BY window_id, k")
+def encoded_ids(spark: SparkSession, sf: str) -> DataFrame:
+    r = _texts(spark, sf).withColumn("ids", tokens.encode(language.assembled(F.col("prompt"), F.col("completion"))))
+    return r.select("window_id", *_long("k"), _joined("ids").alias("ids"))
+
+
+@_query(f"WITH RECURSIVE {_TEXT} SELECT window_id, k::BIGINT AS k, string_agg(token, ' ' ORDER BY pos) FILTER (id > 3) AS text FROM tk GROUP BY window_id, k")
+def decoded_text(spark: SparkSession, sf: str) -> DataFrame:
+    r = _texts(spark, sf).withColumn("ids", tokens.encode(language.assembled(F.col("prompt"), F.col("completion"))))
+    return r.select("window_id", *_long("k"), tokens.decode(F.col("ids")).alias("text"))
+
+
+_CUT = f"least(count(*) + 2, {MAX_LENGTH})"
+
+
+@_query(
+    f"""WITH RECURSIVE {_TEXT}, lb AS (SELECT window_id, k, any_value(np) AS np, count(*) AS n, list(id ORDER BY pos) AS ids FROM tk GROUP BY window_id, k),
+f AS (SELECT window_id, k, np, list_concat(list_concat([1], ids), [2])[1:{MAX_LENGTH}] AS ids FROM lb)
+SELECT window_id, k::BIGINT AS k, len(ids)::BIGINT AS n, least(np + 1, len(ids))::BIGINT AS masked, list_sum(ids[least(np + 1, len(ids)) + 1:])::BIGINT AS shown FROM f"""
+)
+def label_masks(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _texts(spark, sf)
+    ids, labels = tokens.labels(F.col("prompt"), tokens.encode(language.assembled(F.col("prompt"), F.col("completion"))), MAX_LENGTH)
+    kept = rows.select("window_id", "k", F.size(ids).cast("long").alias("n"), labels.alias("labels"))
+    shown = F.filter("labels", lambda x: x != -100)
+    total = F.when(F.size(shown) > 0, F.aggregate(shown, F.lit(0).cast("long"), lambda a, x: a + x))
+    return kept.select("window_id", *_long("k"), "n", F.size(F.filter("labels", lambda x: x == -100)).cast("long").alias("masked"), total.alias("shown"))
+
+
+@_query(f"WITH RECURSIVE {_TEXT}, z AS (SELECT window_id, k, {_CUT} AS n FROM tk GROUP BY window_id, k) SELECT CASE WHEN k % 2 = 0 THEN 'train' ELSE 'val' END AS split, count(*) AS n, min(n)::BIGINT AS min_len, max(n)::BIGINT AS max_len, round(avg(n), 6) AS avg_len, count(*) FILTER (n >= {MAX_LENGTH}) AS truncated FROM z GROUP BY 1")
+def length_profile(spark: SparkSession, sf: str) -> DataFrame:
+    r = _texts(spark, sf).withColumns({"len": F.size(F.slice(tokens.encode(language.assembled(F.col("prompt"), F.col("completion"))), 1, MAX_LENGTH)), "split": F.when(F.col("k") % 2 == 0, "train").otherwise("val")})
+    return tokens.length_profile(r, F.col("len"), MAX_LENGTH).select("split", "n", *_long("min_len", "max_len"), _r("avg_len").alias("avg_len"), "truncated")
+
+
+@_query(f"WITH RECURSIVE {_TEXT}, z AS (SELECT window_id, k, {_CUT} AS n FROM tk GROUP BY window_id, k), m AS (SELECT *, (ceil(max(n) OVER (PARTITION BY window_id) / 8.0) * 8)::BIGINT AS w FROM z) SELECT window_id, k::BIGINT AS k, w AS width, (w - n)::BIGINT AS pads FROM m")
+def padded_batches(spark: SparkSession, sf: str) -> DataFrame:
+    r = _texts(spark, sf)
+    ids, labels = tokens.labels(F.col("prompt"), tokens.encode(language.assembled(F.col("prompt"), F.col("completion"))), MAX_LENGTH)
+    out = tokens.padded(r.select("window_id", "k", ids.alias("input_ids"), labels.alias("labels")), "window_id", 8)
+    return out.select("window_id", *_long("k"), F.size("input_ids").cast("long").alias("width"), F.size(F.filter("attention_mask", lambda x: x == 0)).cast("long").alias("pads"))
+
+
+@_query(f"WITH RECURSIVE {_TEXT} SELECT window_id || '/' || k AS row_id, CASE WHEN k % 10 = 7 THEN 'no_mapped' ELSE 'completion' END AS violation FROM ro WHERE k % 10 = 7 OR k % 4 = 1")
+def verify_violations(spark: SparkSession, sf: str) -> DataFrame:
+    r = _texts(spark, sf).withColumn("row_id", F.concat(F.col("window_id"), F.lit("/"), F.col("k").cast("string")))
+    ids, labels = tokens.labels(F.col("prompt"), tokens.encode(language.assembled(F.col("prompt"), F.col("completion"))), 512)
+    mapped = r.where("k % 10 <> 7").select("row_id", ids.alias("input_ids"), labels.alias("labels"))
+    return tokens.violations(r.select("row_id", "prompt", "completion"), mapped, "row_id", 512)
+
+
+# --- small tables and streams -------------------------------------------------------------------------------------
+
+_SIZES = ", ".join(f"('{n}', {h}, {la}, {a}, {kv}, {ff})" for n, h, la, a, kv, ff in MODEL_SIZES)
+
+
+@_query(f"SELECT name, (layers * (2 * h * h + 2 * h * kv * (h // a) + 3 * h * ff + 2 * h) + h * 4145 + h)::BIGINT AS params FROM (VALUES {_SIZES}) v(name, h, layers, a, kv, ff)")
+def model_param_count(spark: SparkSession, sf: str) -> DataFrame:
+    t = spark.createDataFrame(MODEL_SIZES, "name string, h long, layers long, a long, kv long, ff long")
+    h, kv = F.col("h"), F.expr("kv * (h div a)")
+    return t.select("name", (F.col("layers") * (2 * h * h + 2 * h * kv + 3 * h * F.col("ff") + 2 * h) + h * 4145 + h).alias("params"))
+
+
+@_query("SELECT n_name, (('0x' || right(md5(n_name), 8))::BIGINT % 2147483648)::BIGINT AS seed FROM nation")
+def round_seed(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/nation.parquet").select("n_name", dataset.round_seed_column(F.col("n_name")).alias("seed"))
+
+
+@_query(f"WITH {X.BARS} SELECT symbol, {_SQL_TS}, open, high, low, close FROM bars")
+def stream_bars_windowed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same bars from a stream of ticks, run to its end."""
+    import uuid
+
+    from candlewright.streaming.live import windowed_bars
+
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    ticks = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf)
+    ticks = ticks.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    name = f"bars_{uuid.uuid4().hex}"
+    query = windowed_bars(ticks).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name).select("symbol", _ts(), "open", "high", "low", "close")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
