@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from candlewright.llm.components import components
 from candlewright.llm.runtime import Scratch
 
-BLOCKS, CHUNK = 4, 8192
-_STRIP, _SLAB, _SLACK = 1024, 50_000, 1e-9
+BLOCKS, CHUNK = 4, 16384
+#: Rows of a matrix product and verified pairs at once; rounding allowed for in double and in single precision.
+_STRIP, _SLAB, _SLACK, _SINGLE = 512, 50_000, 1e-9, 1e-5
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -43,16 +44,24 @@ def bounds(dim: int) -> list[tuple[int, int]]:
 
 
 def rotated(vectors: np.ndarray) -> np.ndarray:
-    """Unit vectors, rotated; each row by the same steps whatever the other rows, so that tasks agree to the bit."""
+    """Unit vectors, rotated."""
     vectors = vectors.astype(np.float64)
     scale = np.abs(vectors).max(axis=1, keepdims=True)
     vectors = vectors / scale
     vectors = vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
-    turn = rotation(vectors.shape[1])
-    out = np.empty_like(vectors)
-    for a in range(0, len(vectors), 256):
-        out[a : a + 256] = (vectors[a : a + 256, None, :] * turn[None, :, :]).sum(axis=2)
-    return out
+    return np.ascontiguousarray(vectors @ rotation(vectors.shape[1]).T)
+
+
+def _turn(parts):
+    """Each node's rotated unit vector, once and for all, so that all tasks see the same bits."""
+    for part in parts:
+        for dim, some in part.groupby("dim", sort=True):
+            x = rotated(np.stack(some["embedding"].to_numpy()))
+            yield pd.DataFrame({"node": some["node"].to_numpy(), "copies": some["copies"].to_numpy(), "dim": np.int32(dim), "turned": [r.tobytes() for r in x]})
+
+
+def _matrix(turned: pd.Series, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(turned), dtype=np.float64).reshape(-1, dim)
 
 
 def budgets(dim: int, cosine: float) -> np.ndarray:
@@ -65,7 +74,7 @@ def _place(cosine: float, grid: int):
     def work(parts):
         for part in parts:
             for dim, some in part.groupby("dim", sort=True):
-                x = rotated(np.stack(some["embedding"].to_numpy()))
+                x = _matrix(some["turned"], dim)
                 node = some["node"].to_numpy()
                 for block, ((low, high), budget) in enumerate(zip(bounds(dim), budgets(dim, cosine), strict=True)):
                     g = min(grid, high - low)
@@ -83,6 +92,13 @@ def _place(cosine: float, grid: int):
     return work
 
 
+def _squares(x: np.ndarray, first: bool) -> np.ndarray:
+    """Rows (or columns) whose product is the squared distance: |a|^2 + |b|^2 - 2ab."""
+    square, one = (x * x).sum(axis=1, keepdims=True), np.ones((len(x), 1))
+    out = np.hstack([-2 * x, square, one] if first else [x, one, square]).astype(np.float32)
+    return np.ascontiguousarray(out if first else out.T)
+
+
 def _verify(cosine: float):
     def work(key, part: pd.DataFrame) -> pd.DataFrame:
         dim, block, _, i, j = (int(k) for k in key)
@@ -92,21 +108,22 @@ def _verify(cosine: float):
         empty = pd.DataFrame({"u": pd.Series(dtype="int64"), "v": pd.Series(dtype="Int64"), "n": pd.Series(dtype="int64")})
         if not len(left) or not len(right):
             return empty
-        a = rotated(np.stack(left["embedding"].to_numpy()))
-        b = a if i == j else rotated(np.stack(right["embedding"].to_numpy()))
+        a = _matrix(left["turned"], dim)
+        b = a if i == j else _matrix(right["turned"], dim)
         home_a, home_b = left["home"].to_numpy(), right["home"].to_numpy()
         limits, cuts = budgets(dim, cosine), bounds(dim)
         low, high = cuts[block]
-        sub_a, sub_b = np.ascontiguousarray(a[:, low:high]), np.ascontiguousarray(b[:, low:high])
-        sq_a, sq_b = (sub_a**2).sum(axis=1), (sub_b**2).sum(axis=1)
+        wide_a, wide_b = _squares(a[:, low:high], first=True), _squares(b[:, low:high], first=False)
+        most = np.float32(limits[block] + _SINGLE)
         hits_a, hits_b = [], []
         for s in range(0, len(a), _STRIP):
-            near = sq_a[s : s + _STRIP, None] + sq_b - 2 * (sub_a[s : s + _STRIP] @ sub_b.T) <= limits[block] + 1e-7
-            near &= home_a[s : s + _STRIP, None] | home_b
-            p, q = np.nonzero(near)
-            p += s
+            skip = s if i == j else 0  # pairs of one chunk: each once
+            p, q = np.nonzero(wide_a[s : s + _STRIP] @ wide_b[:, skip:] <= most)
+            p, q = p + s, q + skip
+            keep = home_a[p] | home_b[q]
             if i == j:
-                p, q = p[p < q], q[p < q]
+                keep &= p < q
+            p, q = p[keep], q[keep]
             for t in range(0, len(p), _SLAB):
                 u, v = p[t : t + _SLAB], q[t : t + _SLAB]
                 ok = (a[u] * b[v]).sum(axis=1) >= cosine
@@ -165,7 +182,8 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.95) -> DataFrame:
     n = nodes.count()
     grid = min(4, 1 + max(0, int(math.log10(max(n, 1) / 1e5)) + (n > 1e5)))
     vectors = nodes.select("node", "copies", F.size("embedding").alias("dim"), "embedding")
-    spots = vectors.select("node", "dim", "embedding").mapInPandas(_place(cosine, grid), "dim int, block int, cell long, home boolean, node long")
+    vectors = scratch.table(vectors.mapInPandas(_turn, "node long, copies long, dim int, turned binary"), "vectors")
+    spots = vectors.select("node", "dim", "turned").mapInPandas(_place(cosine, grid), "dim int, block int, cell long, home boolean, node long")
     spots = scratch.table(spots, "spots")
     crowded = spots.groupBy("dim", "block", "cell").agg(F.count("*").alias("held")).where(f"held > {CHUNK}")
     chunks = F.coalesce(F.ceil(F.col("held") / CHUNK), F.lit(1)).cast("int")
