@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from candlewright.plans.ship import ship
 from candlewright.schema import ACTIONS, BIN_MAX, CANDLE, DIGITS, INPUT_CANDLES, PROGRAM, STRUCTURAL_PENALTY, VALUE_PENALTY
@@ -181,22 +181,11 @@ def parse(text: str) -> dict:
     return out | {"n_structural": r.structural, "n_value": r.value}
 
 
-def parse_slow(frame: DataFrame, text: str = "text") -> DataFrame:
-    """The frame with PROGRAM's columns, each row by ``parse``; a null text reads as empty."""
-    names = frame.columns
-    added = frame.sparkSession.createDataFrame([], PROGRAM).schema
-    schema = StructType([*frame.schema.fields, *added.fields])
-    ship(frame.sparkSession)
-    candle = pa.list_(pa.struct([(k, pa.int32()) for k in "ohlc"]))
-    types = {"candles": candle} | {f.name: pa.string() if f.dataType.simpleString() == "string" else pa.bool_() if f.dataType.simpleString() == "boolean" else pa.int32() for f in added if f.name != "candles"}
-
-    def step(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            rows = [parse(t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            new = [pa.array([r[n] for r in rows], t) for n, t in types.items()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *new], [*names, *types])
-
-    return frame.mapInArrow(step, schema)
+def _names() -> dict[str, pa.DataType]:
+    """PROGRAM's columns and their Arrow types."""
+    out = {"candles": pa.list_(pa.struct([(k, pa.int32()) for k in "ohlc"]))}
+    kinds = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}
+    return out | {n: kinds[t] for n, t in (x.split() for x in PROGRAM.split(">>, ", 1)[1].split(", "))}
 
 
 _W = r"\s*"
@@ -212,9 +201,12 @@ CLEAN = (
 def parse_clean(frame: DataFrame, text: str = "text") -> DataFrame:
     """PROGRAM's columns by native expressions, for texts of clean shape; ``clean`` tells where they hold (no error at all)."""
     t = F.coalesce(F.col(text), F.lit(""))
+    # one run of the pattern gives all groups; another text keeps its own shape, with another number of parts
+    parts = F.split(F.regexp_replace(t, CLEAN, "|".join(["", *(f"${n}" for n in range(1, 12)), ""])), r"\|", -1)
+    frame = frame.withColumn("__g", parts)
 
     def group(n: int) -> Column:
-        return F.nullif(F.regexp_extract(t, CLEAN, n), F.lit(""))
+        return F.when(F.size("__g") == 13, F.nullif(F.element_at("__g", n + 1), F.lit("")))
 
     def number(n: int) -> Column:
         return F.regexp_replace(group(n), r"\s+", "").cast("int")
@@ -236,16 +228,31 @@ def parse_clean(frame: DataFrame, text: str = "text") -> DataFrame:
         & (F.element_at("candles", -1)["c"] == F.col("current_price_bin"))
         & (F.col("sl").isNotNull() == trade) & (F.col("rr").isNotNull() == trade) & (F.col("good_price_action") == trade)
     )
-    return out.withColumns({"n_structural": F.lit(0), "n_value": F.lit(0), "clean": F.coalesce(clean, F.lit(False))})
+    return out.withColumns({"n_structural": F.lit(0), "n_value": F.lit(0), "clean": F.coalesce(clean, F.lit(False))}).drop("__g")
 
 
 def parse_programs(frame: DataFrame, text: str = "text") -> DataFrame:
-    """PROGRAM's columns for every row: clean texts natively, the others through ``parse_slow``; with well_formed and wf_score."""
+    """PROGRAM's columns for every row: clean texts as the native pattern read them, the others by ``parse``; with well_formed and wf_score."""
     read = parse_clean(frame, text)
-    fast = read.where("clean").drop("clean")
-    slow = parse_slow(read.where("not clean").select(*frame.columns), text)
+    names, types = read.columns[:-1], _names()
+    ship(frame.sparkSession)
+
+    def step(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            at = {c: batch.column(batch.schema.get_field_index(c)) for c in [*names, "clean"]}
+            texts, n = at[text].to_pylist(), batch.num_rows
+            slow = [i for i, ok in enumerate(at["clean"].to_pylist()) if not ok]
+            parsed = [parse(texts[i] or "") for i in slow]
+            place = list(range(n))
+            for k, i in enumerate(slow):
+                place[i] = n + k
+            for c, t in types.items():
+                at[c] = pa.concat_arrays([at[c].cast(t), pa.array([r[c] for r in parsed], t)]).take(pa.array(place))
+            yield pa.RecordBatch.from_arrays([at[c] for c in names], names)
+
+    out = read.mapInArrow(step, StructType([StructField(f.name, f.dataType, True) for f in read.schema.fields[:-1]]))
     score = F.greatest(F.lit(0.0), 1 - (STRUCTURAL_PENALTY * F.col("n_structural") + VALUE_PENALTY * F.col("n_value")))
-    return fast.unionByName(slow).withColumns({"well_formed": (F.col("n_structural") + F.col("n_value")) == 0, "wf_score": score})
+    return out.withColumns({"well_formed": (F.col("n_structural") + F.col("n_value")) == 0, "wf_score": score})
 
 
 def intended_action(completion: Column) -> Column:
