@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright.llm import decontaminate, jaccard, mixing, secrets, substrings, token_counts, toxicity, urls, vectors, warc
+from candlewright.llm import decontaminate, jaccard, mixing, oracles, secrets, substrings, token_counts, toxicity, urls, vectors, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_embedding_neardup": vectors.ORACLE_SQL, "op7_url_filter": urls.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL}
+    return {
+        "op1_decontamination": oracles.DECONTAMINATION,
+        "op5_embedding_neardup": vectors.ORACLE_SQL,
+        "op6_substring_dedup": oracles.SUBSTRINGS,
+        "op7_url_filter": urls.ORACLE_SQL,
+        "op8_warc": warc.ORACLE_SQL,
+        "op10_jaccard_join": oracles.JACCARD,
+    }
