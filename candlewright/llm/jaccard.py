@@ -2,16 +2,18 @@
 
 A text's set holds 63-bit hashes of its word shingles; texts with one set are one class, and classes are joined.
 
-1. Each class gives its lowest-hashed tokens, W(n), half as many again as a prefix. That is a prefix for
+1. Each class gives its lowest-hashed tokens, W(n), a third more than a prefix. That is a prefix for
    W(n) - p(n) + 1 matches, so a class that shares fewer given tokens with all others together than the least
-   partner would require has no partner and drops out.
+   partner would require has no partner and drops out. Partners all stay, so the same is asked once more of those
+   that stayed, among themselves.
 2. The rest write their whole sets, ordered by hash, with tokens common in the corpus last. The 1-prefix has
    n - ceil(J n) + 1 tokens. Its estimated candidate cost is the number of its tokens held by many classes; for
    each of these (up to LONGEST) the prefix grows by one token and one more shared token is required. A pair
    needs as many shared prefix tokens as the smaller of the two requirements.
-3. Prefix tokens with fewer than DENSE holders make pairs, counted by pair; pairs that share too few, or whose
-   shared count and remaining tokens cannot add up to the threshold, are dropped and the others verified on the
-   whole sets. The holders of a token with more meet in blocks of CHUNK by CHUNK, which verify each pair at its
+3. A prefix token is dense if it has DENSE holders and twice as many as its holders' prefixes are long. The others
+   make pairs, counted by pair; pairs that share too few, or whose shared count and remaining tokens cannot add up
+   to the threshold, are dropped and the others verified on the whole sets. The holders of a dense token meet in
+   blocks of CHUNK by CHUNK, which verify each pair at its
    first shared dense token by matrix products and return a spanning forest of the links, never all pairs.
 4. Components of the links are found by key (components.py).
 
@@ -34,13 +36,20 @@ from candlewright.llm import textscan as ts
 from candlewright.llm.components import components
 from candlewright.llm.runtime import Scratch, batches, column, slices
 
-DENSE, CHUNK, LONGEST = 24, 1024, 6
-#: A token is common if one class in so many gave it; there can be no more of these than COMMON times a class's tokens in step 1.
-COMMON = 1000
+DENSE, CHUNK, LONGEST = 24, 2048, 6
+#: A token is common if COMMON_LEAST rows gave it, and one row in COMMON; there can be no more of these than COMMON times the
+#: tokens that a row gives (8 bytes each are broadcast).
+COMMON, COMMON_LEAST = 20_000, 50
 #: Class ids up to which they are broadcast to the second reading of the texts (8 bytes each); beyond, that is a shuffle.
 BROADCAST_IDS = 500_000
+#: Buckets in which a set's tokens are counted: two sets share at most the sum of the smaller counts.
+SHAPE = 256
 #: Columns of a matrix product at once.
 _SLAB = 1024
+#: Pairs of a block up to which sets are intersected one pair at a time.
+_BY_PAIR = 20_000
+#: A bucket's count from here on is not known exactly; such sets pass.
+_MOST = 32_000
 
 
 def row_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -64,7 +73,7 @@ def prefix_size(n: int, percent: int) -> int:
 
 def window_size(n: int, percent: int) -> int:
     p = prefix_size(n, percent)
-    return min(n, p + p // 2 + 6)
+    return min(n, p + p // 3 + 6)
 
 
 def _matches(n: Column, percent: int) -> tuple[Column, Column]:
@@ -72,7 +81,7 @@ def _matches(n: Column, percent: int) -> tuple[Column, Column]:
 
     def sizes(k: Column) -> tuple[Column, Column]:
         p = k - F.ceil(F.lit(percent) * k / 100) + 1
-        return p, F.least(k, p + F.floor(p / 2) + 6)
+        return p, F.least(k, p + F.floor(p / 3) + 6)
 
     least = F.ceil(F.lit(percent) * n / 100)
     p, w = sizes(least)
@@ -116,7 +125,7 @@ def first_reading(documents: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def second_reading(documents: DataFrame, chosen: DataFrame, size: int, common: np.ndarray) -> DataFrame:
-    """node, n, tokens (ordered) of the chosen classes, from the text of one document each."""
+    """node, n, shape (token counts by bucket), tokens (ordered) of the chosen classes, from the text of one document each (from one in each task, where rows repeat)."""
     spark = documents.sparkSession
     last = spark.sparkContext.broadcast(common)
     ids = chosen.select(F.col("rep").alias("doc_id"), "node")
@@ -126,23 +135,26 @@ def second_reading(documents: DataFrame, chosen: DataFrame, size: int, common: n
     )
 
     def step(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = last.value
+        order, told = last.value, set()
         for batch in parts:
             texts, wanted = column(batch, "text"), column(batch, "node").to_pylist()
-            node, n, lists = [], [], []
+            node, n, shapes, lists = [], [], [], []
             for a, b in slices(texts):
                 for i, tokens in enumerate(row_sets(texts.slice(a, b - a), size), a):
-                    if not len(tokens) or _set_key(tokens) != wanted[i]:
-                        continue  # another text under the same doc_id
+                    if wanted[i] in told or not len(tokens) or _set_key(tokens) != wanted[i]:
+                        continue  # a repeated row, or another text under the same doc_id
+                    told.add(wanted[i])
                     if len(order):
                         at = np.minimum(np.searchsorted(order, tokens), len(order) - 1)
                         tokens = np.sort(np.where(order[at] == tokens, tokens | np.uint64(1 << 63), tokens))
                     node.append(wanted[i])
                     n.append(len(tokens))
+                    shapes.append(np.minimum(np.bincount(tokens & np.uint64(SHAPE - 1), minlength=SHAPE), _MOST).astype(np.int16))
                     lists.append(tokens)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), _lists(lists)], ["node", "n", "tokens"])
+            shape = pa.array(shapes, pa.list_(pa.int16()))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), shape, _lists(lists)], ["node", "n", "shape", "tokens"])
 
-    return batches(picked.select("node", "text"), step, "node long, n long, tokens array<long>").dropDuplicates(["node"])
+    return batches(picked.select("node", "text"), step, "node long, n long, shape array<smallint>, tokens array<long>")
 
 
 def forest(link: np.ndarray) -> list[tuple[int, int]]:
@@ -175,16 +187,17 @@ def _product(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
     by = np.argsort(place, kind="stable")
     owner, place = owner[by], place[by]
     out = np.zeros((len(rows), len(cols)), dtype=np.float32)
-    for low in range(0, int(kept.max(initial=-1)) + 1, _SLAB):
+    held = int(kept.max(initial=-1)) + 1
+    for low in range(0, held, _SLAB):
         a, b = np.searchsorted(place, [low, low + _SLAB])
-        m = np.zeros((len(rows) + (0 if same else len(cols)), _SLAB), dtype=np.float32)
+        m = np.zeros((len(rows) + (0 if same else len(cols)), min(_SLAB, held - low)), dtype=np.float32)
         m[owner[a:b], place[a:b] - low] = 1
         out += m[: len(rows)] @ (m if same else m[len(rows) :]).T
     return out
 
 
 def _block(percent: int):
-    def work(key, part: pd.DataFrame) -> pd.DataFrame:
+    def work(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         token = np.uint64(np.int64(key[0]).view(np.uint64))
         i, j = key[1], key[2]
         part = part.sort_values("node", kind="stable")
@@ -210,23 +223,28 @@ def _block(percent: int):
 
         b_a = before(left)
         ask &= _product(b_a, b_a if i == j else before(right)) == 0
-        head_a = [s[:x] for s, x in zip(whole_a, x_a, strict=True)]
-        head_b = head_a if i == j else [s[:x] for s, x in zip(whole_b, x_b, strict=True)]
-        shared = _product(head_a, head_b)
-        ask &= shared >= np.minimum(left["need"].to_numpy()[:, None], right["need"].to_numpy())
-        edge_a, edge_b = np.array([h[-1] for h in head_a]), np.array([h[-1] for h in head_b])
-        rest = np.where(edge_a[:, None] <= edge_b, (n_a - x_a)[:, None], n_b - x_b)
-        least = -(-percent * (n_a[:, None] + n_b) // (100 + percent))
-        ask &= shared + rest >= least
         link = np.zeros(ask.shape, dtype=bool)
         at_a, at_b = np.flatnonzero(ask.any(axis=1)), np.flatnonzero(ask.any(axis=0))
-        if len(at_a):
-            if ask.sum() <= 4 * (len(at_a) + len(at_b)):
+        if len(at_a):  # from here on only the rows and columns that still have a pair to ask about
+            if i == j:  # one list, so that tokens of a single set are seen to add nothing
+                at_a = at_b = np.union1d(at_a, at_b)
+            part_a = [whole_a[a] for a in at_a]
+            part_b = part_a if i == j else [whole_b[b] for b in at_b]
+            n_a, n_b, x_a, x_b = n_a[at_a], n_b[at_b], x_a[at_a], x_b[at_b]
+            ask = ask[np.ix_(at_a, at_b)]
+            head_a = [s[:x] for s, x in zip(part_a, x_a, strict=True)]
+            head_b = head_a if i == j else [s[:x] for s, x in zip(part_b, x_b, strict=True)]
+            shared = _product(head_a, head_b)
+            ask &= shared >= np.minimum(left["need"].to_numpy()[at_a, None], right["need"].to_numpy()[at_b])
+            edge_a, edge_b = np.array([h[-1] for h in head_a]), np.array([h[-1] for h in head_b])
+            rest = np.where(edge_a[:, None] <= edge_b, (n_a - x_a)[:, None], n_b - x_b)
+            least = -(-percent * (n_a[:, None] + n_b) // (100 + percent))
+            ask &= shared + rest >= least
+            if ask.sum() <= _BY_PAIR:
                 for a, b in zip(*np.nonzero(ask), strict=True):
-                    link[a, b] = len(np.intersect1d(whole_a[a], whole_b[b], assume_unique=True)) >= least[a, b]
+                    link[at_a[a], at_b[b]] = len(np.intersect1d(part_a[a], part_b[b], assume_unique=True)) >= least[a, b]
             else:
-                got = _product([whole_a[a] for a in at_a], [whole_b[b] for b in at_b])
-                link[np.ix_(at_a, at_b)] = ask[np.ix_(at_a, at_b)] & (got >= least[np.ix_(at_a, at_b)])
+                link[np.ix_(at_a, at_b)] = ask & (_product(part_a, part_b) >= least)
         id_a, id_b = left["node"].to_numpy(), right["node"].to_numpy()
         if i == j:
             edges = [(id_a[a], id_a[b]) for a, b in forest(link | link.T)]
@@ -241,47 +259,55 @@ def _block(percent: int):
 
 
 def links(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Enough links (u, v) between classes to connect all that are linked. sets: node, n, tokens."""
+    """Enough links (u, v) between classes to connect all that are linked. sets: node, n, shape, tokens."""
     head = (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).cast("int")
-    holders = sets.select(F.explode(F.slice("tokens", F.lit(1), head)).alias("token")).groupBy("token").count().where(f"count >= {DENSE}").drop("count")
-    cost = (
-        sets.select("node", F.explode(F.slice("tokens", F.lit(1), head)).alias("token"))
-        .join(holders, "token")
-        .groupBy("node")
-        .agg(F.least(F.lit(LONGEST), F.count("*")).alias("extra"))
+    first = sets.select("node", F.explode(F.slice("tokens", F.lit(1), head)).alias("token"))
+    holders = first.groupBy("token").count().where(f"count >= {DENSE}").drop("count")
+    cost = first.join(holders, "token").groupBy("node").agg(F.least(F.lit(LONGEST), F.count("*")).cast("int").alias("extra"))
+    longer = (
+        sets.select("node", "n", head.alias("head"), F.slice("tokens", F.lit(1), F.least(F.col("n").cast("int"), head + LONGEST)).alias("heads"))
+        .join(cost, "node", "left")
+        .withColumn("x", F.least(F.col("n").cast("int"), F.col("head") + F.coalesce("extra", F.lit(0))))
+        # a set with no more tokens to add asks for as many as it could add
+        .select("node", "n", "x", (F.col("x") - F.col("head") + 1).alias("need"), F.element_at("heads", F.col("x")).alias("edge"), F.slice("heads", F.lit(1), F.col("x")).alias("heads"))
     )
-    longer = sets.join(cost, "node", "left").withColumn("need", (1 + F.coalesce("extra", F.lit(0))).cast("int"))
-    longer = longer.withColumn("x", F.least(F.col("n").cast("int"), head + F.col("need") - 1))
-    # a set that has no more tokens to add asks for fewer: all of a prefix that ends early are in it
-    longer = longer.withColumn("need", F.least("need", F.col("x") - head + 1))
-    longer = scratch.table(longer.select("node", "n", "x", "need", "tokens"), "sets")
-    heads = longer.select("node", "n", "x", "need", F.element_at("tokens", F.col("x")).alias("edge"), F.explode(F.slice("tokens", F.lit(1), F.col("x"))).alias("token"))
-    held = heads.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
+    heads = scratch.table(longer, "longer").withColumn("token", F.explode("heads")).drop("heads")
+    held = heads.groupBy("token").agg(F.count("*").alias("holders"), F.avg("x").alias("wide")).where("holders > 1")
+    held = held.select("token", "holders", (F.col("holders") >= F.greatest(F.lit(DENSE), 2 * F.col("wide"))).alias("is_dense"))
     shared = scratch.table(heads.join(held, "token"), "heads")
 
-    few = shared.where(F.col("holders") < DENSE).drop("holders")
+    few = shared.where("not is_dense").drop("holders", "is_dense")
     other = few.select(F.col("token"), *[F.col(c).alias(f"{c}2") for c in ("node", "n", "x", "need", "edge")])
     n, n2 = F.col("n"), F.col("n2")
     flip = F.lit(-(1 << 63)).cast("long")
     below = F.col("edge").bitwiseXOR(flip) <= F.col("edge2").bitwiseXOR(flip)  # in unsigned order
     rest = F.when(below, n - F.col("x")).otherwise(n2 - F.col("x2"))
+    asked = F.greatest(F.least("need", "need2"), _needed(n, n2, percent) - rest)  # shared tokens without which a pair is no link
     pairs = (
         few.join(other, "token")
         .where((F.col("node") < F.col("node2")) & (100 * F.least(n, n2) >= percent * F.greatest(n, n2)))
-        .groupBy("node", "node2", "n", "n2", "x", "x2", "need", "need2", "edge", "edge2")
+        .groupBy("node", "node2", asked.cast("int").alias("asked"))
         .agg(F.count("*").alias("c"))
-        .where((F.col("c") >= F.least("need", "need2")) & (F.col("c") + rest >= _needed(n, n2, percent)))
-        .select("node", "node2", "n", "n2")
+        .where("c >= asked")
+        .select("node", "node2")
     )
-    tokens = longer.select("node", "tokens")
+    shapes = sets.select("node", "n", "shape")
+    both = F.aggregate(F.zip_with("shape", "shape2", lambda a, b: F.least(a, b)), F.lit(0), lambda x, y: x + y.cast("int"))
+    pairs = (
+        pairs.join(shapes, "node")
+        .join(shapes.select(F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("shape").alias("shape2")), "node2")
+        .where((both >= _needed(n, n2, percent)) | (F.array_max("shape") >= _MOST))
+        .select("node", "node2")
+    )
+    tokens = sets.select("node", "n", "tokens")
     verified = (
         pairs.join(tokens, "node")
-        .join(tokens.select(F.col("node").alias("node2"), F.col("tokens").alias("tokens2")), "node2")
+        .join(tokens.select(F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("tokens").alias("tokens2")), "node2")
         .where(F.size(F.array_intersect("tokens", "tokens2")) >= _needed(n, n2, percent))
         .select(F.col("node").alias("u"), F.col("node2").alias("v"))
     )
 
-    many = shared.where(F.col("holders") >= DENSE)
+    many = shared.where("is_dense")
     own = many.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("dense"))  # at most a prefix
     chunks = F.ceil(F.col("holders") / CHUNK).cast("int")
     dealt = (
@@ -289,12 +315,18 @@ def links(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
         .withColumn("k", F.explode(F.sequence(F.lit(0), chunks - 1)))
         .select("token", F.least("chunk", "k").alias("i"), F.greatest("chunk", "k").alias("j"), "chunk", "node", "n", "x", "need")
         .join(own, "node")
-        .join(tokens, "node")
+        .join(tokens.drop("n"), "node")
     )
     blocks = dealt.groupBy("token", "i", "j").applyInPandas(_block(percent), "u long, v long")
     return verified.unionByName(blocks)
 
 
+def _given(read: DataFrame) -> DataFrame:
+    """token, a and b (least and greatest class that gave it), given (rows that gave it)."""
+    given = read.where("node is not null").select("node", F.explode("low").alias("token"))
+    return given.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("given"))
+
+
 def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of each row; texts link when 100 * shared >= percent * union of their shingles."""
     spark = documents.sparkSession
@@ -302,12 +334,8 @@ def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80) -
     read = scratch.table(first_reading(documents, size, percent), "first")
     classes = read.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     rows = read.count()
-    given = (
-        read.select("node", F.explode("low").alias("token"))
-        .groupBy("token")
-        .agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("given"))
-    )
-    alone, often = F.col("a") == F.col("b"), F.col("given") >= max(50, rows // COMMON)
+    given = _given(read)
+    alone, often = F.col("a") == F.col("b"), F.col("given") >= max(COMMON_LEAST, rows // COMMON)
     told = scratch.table(
         given.where(alone | often)
         .select(F.when(alone, 0).otherwise(1).alias("kind"), F.when(alone, F.col("a")).otherwise(F.col("token")).alias("name"))
@@ -315,16 +343,26 @@ def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80) -
         .agg(F.count("*").alias("alone")),
         "told",
     )
-    common = np.sort(np.array([r.name for r in told.where("kind = 1").select("name").collect()], dtype=np.int64).view(np.uint64))
+    common = np.sort(told.where("kind = 1").select("name").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
     given_size, least = _matches(F.col("n"), percent)
-    classes = scratch.table(classes.join(told.where("kind = 0").select(F.col("name").alias("node"), "alone"), "node", "left"), "classes")
-    chosen = classes.where(given_size - F.coalesce("alone", F.lit(0)) >= least).select("node", "rep")
+    first_alone = told.where("kind = 0").select(F.col("name").alias("node"), "alone")
+    classes = scratch.table(classes.join(first_alone, "node", "left"), "classes")
+    stayed = classes.where(given_size - F.coalesce("alone", F.lit(0)) >= least).drop("alone")
+    ids = stayed.select("node")
+    among = read.join(F.broadcast(ids) if stayed.count() <= BROADCAST_IDS else ids, "node", "left_semi")
+    again = _given(among).where(alone).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("alone"))
+    chosen = stayed.join(again, "node", "left").where(given_size - F.coalesce("alone", F.lit(0)) >= least).select("node", "rep")
+    chosen = scratch.table(chosen, "chosen")
+    slim = scratch.table(read.select("doc_id", "n", "node"), "rows")
+    scratch.drop(read)
     sets = scratch.table(second_reading(documents, chosen, size, common), "whole")
+    if sets.count() > sets.select("node").distinct().count():
+        sets = scratch.table(sets.dropDuplicates(["node"]), "whole")
     found = components(links(sets, percent, scratch), scratch)
     groups = classes.select("node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = groups.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = groups.join(names, "component").select("node", "component_id")
-    return read.select("doc_id", "n", "node").join(named, "node", "left").select(
+    return slim.join(named, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
