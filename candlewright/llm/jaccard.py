@@ -105,7 +105,7 @@ def _set_key(tokens: np.ndarray) -> int:
 
 
 def first_reading(documents: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, node (hash of the set, null if empty), n, low (the lowest tokens)."""
+    """doc_id, mark (hash of the text), node (hash of the set, null if empty), n, low (the lowest tokens)."""
 
     def step(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -118,17 +118,19 @@ def first_reading(documents: DataFrame, size: int, percent: int) -> DataFrame:
                     node.append(_set_key(tokens) if k else None)
                     low.append(tokens[: window_size(k, percent)])
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), _lists(low)], ["doc_id", "node", "n", "low"]
+                [column(batch, "doc_id"), column(batch, "mark"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), _lists(low)],
+                ["doc_id", "mark", "node", "n", "low"],
             )
 
-    return batches(documents.select(F.col("doc_id").cast("long"), "text"), step, "doc_id long, node long, n long, low array<long>")
+    asked = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text")
+    return batches(asked, step, "doc_id long, mark long, node long, n long, low array<long>")
 
 
 def second_reading(documents: DataFrame, chosen: DataFrame, size: int, common: np.ndarray) -> DataFrame:
     """node, n, shape (token counts by bucket), tokens (ordered) of the chosen classes, from the text of one document each (from one in each task, where rows repeat)."""
     spark = documents.sparkSession
     last = spark.sparkContext.broadcast(common)
-    ids = chosen.select(F.col("rep").alias("doc_id"), "node")
+    ids = chosen.select("rep.doc_id", "node")
     small = chosen.count() <= BROADCAST_IDS
     picked = documents.select(F.col("doc_id").cast("long").alias("d"), "text").join(
         F.broadcast(ids) if small else ids, F.col("d").eqNullSafe(F.col("doc_id"))
@@ -327,12 +329,12 @@ def _given(read: DataFrame) -> DataFrame:
     return given.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("given"))
 
 
-def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row; texts link when 100 * shared >= percent * union of their shingles."""
-    spark = documents.sparkSession
-    scratch = Scratch(spark)
+def _groups(documents: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, n, node of each row; node, component of each class; component, rep (its row of the least doc_id, then mark; null ids last)."""
+    scratch = Scratch(documents.sparkSession)
     read = scratch.table(first_reading(documents, size, percent), "first")
-    classes = read.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    rep = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+    classes = read.where("node is not null").groupBy("node").agg(F.min(rep).alias("rep"), F.first("n").alias("n"))
     rows = read.count()
     given = _given(read)
     alone, often = F.col("a") == F.col("b"), F.col("given") >= max(COMMON_LEAST, rows // COMMON)
@@ -360,8 +362,18 @@ def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80) -
         sets = scratch.table(sets.dropDuplicates(["node"]), "whole")
     found = components(links(sets, percent, scratch), scratch)
     groups = classes.select("node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = groups.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = groups.join(names, "component").select("node", "component_id")
+    return slim, groups.select("node", "component"), groups.groupBy("component").agg(F.min("rep").alias("rep"))
+
+
+def jaccard_keepers(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, mark (xxhash64 of the text) of the one row that stands for each component; rows without a set are in none."""
+    return _groups(documents, size, percent)[2].select("rep.doc_id", "rep.mark")
+
+
+def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row; texts link when 100 * shared >= percent * union of their shingles."""
+    slim, groups, names = _groups(documents, size, percent)
+    named = groups.join(names, "component").select("node", F.col("rep.doc_id").alias("component_id"))
     return slim.join(named, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )

@@ -1,8 +1,8 @@
 """A corpus pipeline of five stages over documents: each works on all that the one before kept.
 
 toxicity: documents scored toxic (0.5 or more) go. near duplicates: of each component of texts linked at five-word
-shingle similarity 0.8 the row of the smallest doc_id stays (one row of it, where rows repeat; rows without words or
-doc_id are no copies of anything and stay). decontamination: documents that hold a benchmark window go. secrets:
+shingle similarity 0.8 the row of the smallest doc_id stays (one row of it: of several texts that of the least hash; a
+doc_id's other texts are judged each by its own component; rows without words or doc_id are no copies of anything and stay). decontamination: documents that hold a benchmark window go. secrets:
 spans are masked in the text. mixing: each document is repeated as often as the mix to the target weights takes it.
 """
 
@@ -14,24 +14,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewright.llm.decontaminate import clean_documents
-from candlewright.llm.jaccard import jaccard_components
+from candlewright.llm.jaccard import jaccard_keepers
 from candlewright.llm.mixing import mixed_documents
 from candlewright.llm.runtime import Scratch
 from candlewright.llm.secrets import redact_secrets
 from candlewright.llm.toxicity import acceptable_documents
 
 
+#: Has the text a word, as shingles are cut?
+WORDS = r"[^\x20\x09-\x0D]"
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return acceptable_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_components(docs, 5, 80).where("n_shingles > 0 and doc_id is not null")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    rest = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
-    # rows that repeat a doc_id: copies of one text leave one row, other texts under it were judged by their component
-    named = rest.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(rest.where("doc_id is null")).select(*docs.columns)
+    kept = jaccard_keepers(docs, 5, 80).where("doc_id is not null").withColumnRenamed("doc_id", "__id").withColumnRenamed("mark", "__mark")
+    judged = F.col("doc_id").cast("long").isNotNull() & F.coalesce(F.col("text").rlike(WORDS), F.lit(False))
+    # a row is known by doc_id and text; its repeats leave one row, and that stays if it stands for its component
+    once = docs.where(judged).withColumns({"__id": F.col("doc_id").cast("long"), "__mark": F.xxhash64("text")}).dropDuplicates(["__id", "__mark"])
+    return once.join(kept, ["__id", "__mark"], "left_semi").select(*docs.columns).unionByName(docs.where(~judged))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,6 +87,17 @@ def test_stages(spark, corpus):
     assert {r.take for r in mixed} <= {1, 2, 3}
 
 
+def test_near_duplicates_by_text_under_one_id(spark):
+    rng = random.Random(5)
+    base, other, clean, hot = (sentence(rng, 60) for _ in range(4))
+    rows = [(1, base), (5, base + " tail"), (5, clean), (5, hot), (5, hot), (5, hot + " end"), (2, other), (2, other + " tail"), (9, other), (5, " "), (5, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(i for i, _ in got) == [1, 2, 5, 5, 5, 5]  # base; other; clean, hot and the two rows without words
+    assert (1, base) in got and (5, clean) in got and got.count((5, " ")) == 2
+    assert len({(5, hot), (5, hot + " end")} & set(got)) == len({(2, other), (2, other + " tail")} & set(got)) == 1
+
+
 def test_run_and_empty(spark, corpus):
     folder = corpus[0]
     out = corpus_pipeline.run(spark, folder)
