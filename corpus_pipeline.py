@@ -2,7 +2,8 @@
 
 toxicity: documents scored toxic (0.5 or more) go. near duplicates: of each component of texts linked at five-word
 shingle similarity 0.8 the row of the smallest doc_id stays (one row of it: of several texts that of the least hash; a
-doc_id's other texts are judged each by its own component; rows without words or doc_id are no copies of anything and stay). decontamination: documents that hold a benchmark window go. secrets:
+doc_id's other texts are judged each by its own component; a null doc_id comes after all others; rows without words are no
+copies of anything and stay). decontamination: documents that hold a benchmark window go. secrets:
 spans are masked in the text. mixing: each document is repeated as often as the mix to the target weights takes it.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewright.llm.decontaminate import clean_documents
@@ -30,11 +31,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = jaccard_keepers(docs, 5, 80).where("doc_id is not null").withColumnRenamed("doc_id", "__id").withColumnRenamed("mark", "__mark")
-    judged = F.col("doc_id").cast("long").isNotNull() & F.coalesce(F.col("text").rlike(WORDS), F.lit(False))
+    def key(mark: Column) -> dict[str, Column]:
+        known = F.col("doc_id").cast("long")
+        return {"__none": known.isNull(), "__id": F.coalesce(known, F.lit(0)), "__mark": mark}
+
+    judged = F.coalesce(F.col("text").rlike(WORDS), F.lit(False))
+    kept = jaccard_keepers(docs, 5, 80).withColumns(key(F.col("mark"))).drop("doc_id", "mark")
     # a row is known by doc_id and text; its repeats leave one row, and that stays if it stands for its component
-    once = docs.where(judged).withColumns({"__id": F.col("doc_id").cast("long"), "__mark": F.xxhash64("text")}).dropDuplicates(["__id", "__mark"])
-    return once.join(kept, ["__id", "__mark"], "left_semi").select(*docs.columns).unionByName(docs.where(~judged))
+    once = docs.where(judged).withColumns(key(F.xxhash64("text"))).dropDuplicates(kept.columns)
+    return once.join(kept, kept.columns, "left_semi").select(*docs.columns).unionByName(docs.where(~judged))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,6 +98,16 @@ def test_near_duplicates_by_text_under_one_id(spark):
     assert len({(5, hot), (5, hot + " end")} & set(got)) == len({(2, other), (2, other + " tail")} & set(got)) == 1
 
 
+def test_near_duplicates_of_rows_without_id(spark):
+    rng = random.Random(6)
+    base, other, alone = (sentence(rng, 60) for _ in range(3))
+    rows = [(0, base), (None, base), (None, base + " tail"), (None, other), (None, other), (None, other + " tail"), (None, alone), (None, None), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert len(got) == 5 and {(0, base), (None, alone), (None, None), (None, " ")} < set(got)
+    assert len({(None, other), (None, other + " tail")} & set(got)) == 1
+
+
 def test_run_and_empty(spark, corpus):
     folder = corpus[0]
     out = corpus_pipeline.run(spark, folder)
