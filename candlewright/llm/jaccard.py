@@ -40,7 +40,7 @@ DENSE, CHUNK, LONGEST = 24, 2048, 6
 #: A token is common if COMMON_LEAST rows gave it, and one row in COMMON; there can be no more of these than COMMON times the
 #: tokens that a row gives (8 bytes each are broadcast).
 COMMON, COMMON_LEAST = 20_000, 50
-#: Class ids up to which they are broadcast to the second reading of the texts (8 bytes each); beyond, that is a shuffle.
+#: Class ids up to which they are broadcast to the second reading of the texts (24 bytes each with doc_id and mark, 8 alone); beyond, that is a shuffle.
 BROADCAST_IDS = 500_000
 #: Buckets in which a set's tokens are counted: two sets share at most the sum of the smaller counts.
 SHAPE = 256
@@ -126,15 +126,19 @@ def first_reading(documents: DataFrame, size: int, percent: int) -> DataFrame:
     return batches(asked, step, "doc_id long, mark long, node long, n long, low array<long>")
 
 
+def chosen_texts(documents: DataFrame, chosen: DataFrame) -> DataFrame:
+    """node, text of the row (or rows, where they repeat) that stands for each chosen class: found by doc_id and text, so that a row meets one class at most."""
+    ids = chosen.select("rep.doc_id", F.col("rep.mark").alias("m"), "node")
+    small = chosen.count() <= BROADCAST_IDS
+    texts = documents.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("mark"), "text")
+    same = (F.col("mark") == F.col("m")) & F.col("d").eqNullSafe(F.col("doc_id"))
+    return texts.join(F.broadcast(ids) if small else ids, same).select("node", "text")
+
+
 def second_reading(documents: DataFrame, chosen: DataFrame, size: int, common: np.ndarray) -> DataFrame:
     """node, n, shape (token counts by bucket), tokens (ordered) of the chosen classes, from the text of one document each (from one in each task, where rows repeat)."""
     spark = documents.sparkSession
     last = spark.sparkContext.broadcast(common)
-    ids = chosen.select("rep.doc_id", "node")
-    small = chosen.count() <= BROADCAST_IDS
-    picked = documents.select(F.col("doc_id").cast("long").alias("d"), "text").join(
-        F.broadcast(ids) if small else ids, F.col("d").eqNullSafe(F.col("doc_id"))
-    )
 
     def step(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, told = last.value, set()
@@ -144,7 +148,7 @@ def second_reading(documents: DataFrame, chosen: DataFrame, size: int, common: n
             for a, b in slices(texts):
                 for i, tokens in enumerate(row_sets(texts.slice(a, b - a), size), a):
                     if wanted[i] in told or not len(tokens) or _set_key(tokens) != wanted[i]:
-                        continue  # a repeated row, or another text under the same doc_id
+                        continue  # a repeated row, or another text of the same hash
                     told.add(wanted[i])
                     if len(order):
                         at = np.minimum(np.searchsorted(order, tokens), len(order) - 1)
@@ -156,7 +160,7 @@ def second_reading(documents: DataFrame, chosen: DataFrame, size: int, common: n
             shape = pa.array(shapes, pa.list_(pa.int16()))
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), shape, _lists(lists)], ["node", "n", "shape", "tokens"])
 
-    return batches(picked.select("node", "text"), step, "node long, n long, shape array<smallint>, tokens array<long>")
+    return batches(chosen_texts(documents, chosen), step, "node long, n long, shape array<smallint>, tokens array<long>")
 
 
 def forest(link: np.ndarray) -> list[tuple[int, int]]:

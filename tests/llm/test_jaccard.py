@@ -74,6 +74,22 @@ def test_shuffled_ids_and_empty(spark, monkeypatch):
     assert jaccard.jaccard_components(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_each_row_meets_its_own_class(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", most)
+    met, find = [], jaccard.chosen_texts
+
+    def counted(documents, chosen):
+        met.append((find(documents, chosen).count(), chosen.count()))
+        return find(documents, chosen)
+
+    monkeypatch.setattr(jaccard, "chosen_texts", counted)
+    rows = [(None if i % 3 else 7, text) for i, (_, text) in enumerate(corpus(6, 150, 10))]  # one null and one repeated key
+    frame = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], DOCS)
+    assert sorted(repr(tuple(r)) for r in jaccard.jaccard_components(frame, 3, 90).collect()) == plain(rows, 3, 90)
+    assert met[0][1] > 50 and met[0][1] <= met[0][0] <= len(rows)
+
+
 def test_forest_connects_what_links_connect():
     import numpy as np
 
