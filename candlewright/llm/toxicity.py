@@ -79,15 +79,12 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     strong = sorted((weight[w] for w in weight for _ in range(min(counts[w], 3))), reverse=True)
     near = 0.0
     if weight:
-        you, last = [i for i, w in enumerate(words) if w in SECOND_PERSON], -(10**9)
+        you = [i for i, w in enumerate(words) if w in SECOND_PERSON]
         if you:
-            spots = np.array(you)
-            for i, w in enumerate(words):
-                if w in weight and i - last > 5:
-                    last = i
-                    at = np.searchsorted(spots, i)
-                    gap = min(abs(int(spots[k]) - i) for k in (at - 1, at) if 0 <= k < len(spots))
-                    near = max(near, 1 / (1 + gap))
+            spots, bad = np.array(you), np.array([i for i, w in enumerate(words) if w in weight])
+            at = np.searchsorted(spots, bad)
+            before, after = spots[np.maximum(at - 1, 0)], spots[np.minimum(at, len(spots) - 1)]
+            near = 1 / (1 + int(np.minimum(abs(bad - before), abs(after - bad)).min()))
     letters = sum(map(str.isalpha, text)) or 1
     out[0] = log1p(n)
     out[1] = hits / n

@@ -129,6 +129,16 @@ def test_toxicity_held_out(spark, corpus):
     assert sum(r.predicted == truth[r.doc_id] for r in fold) >= 0.95 * len(fold)
 
 
+def test_every_lexicon_word_counts_for_nearness():
+    assert toxicity.features("stupid plan said he you idiot", {})[9] == 0.5
+    assert toxicity.features("you said the stupid fool plan", {})[9] == 0.25
+    rng = random.Random(3)
+    for _ in range(50):
+        words = rng.choices(["you", "idiot", "dumb", "plan", "said"], k=30)
+        gaps = [abs(a - b) for a, x in enumerate(words) for b, y in enumerate(words) if x in ("idiot", "dumb") and y == "you"]
+        assert toxicity.features(" ".join(words), {})[9] == (1 / (1 + min(gaps)) if gaps else 0)
+
+
 def test_toxicity_without_labels(spark, corpus):
     docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
