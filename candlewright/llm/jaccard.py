@@ -7,14 +7,15 @@ A text's set holds 63-bit hashes of its word shingles; texts with one set are on
    partner would require has no partner and drops out. Partners all stay, so the same is asked once more of those
    that stayed, among themselves.
 2. The rest write their whole sets, ordered by hash, with tokens common in the corpus last. The 1-prefix has
-   n - ceil(J n) + 1 tokens. Its estimated candidate cost is the number of its tokens held by many classes; for
-   each of these (up to LONGEST) the prefix grows by one token and one more shared token is required. A pair
-   needs as many shared prefix tokens as the smaller of the two requirements.
-3. A prefix token is dense if it has DENSE holders and twice as many as its holders' prefixes are long. The others
-   make pairs, counted by pair; pairs that share too few, or whose shared count and remaining tokens cannot add up
-   to the threshold, are dropped and the others verified on the whole sets. The holders of a dense token meet in
-   blocks of CHUNK by CHUNK, which verify each pair at its
-   first shared dense token by matrix products and return a spanning forest of the links, never all pairs.
+   n - ceil(J n) + 1 tokens. Its candidate cost is estimated by the other holders of its tokens: for each doubling
+   (up to LONGEST) the prefix grows by one token and one more shared token is required. A pair needs as many shared
+   prefix tokens as the smaller of the two requirements.
+3. A prefix token with DENSE holders is dense. The others make pairs, counted by pair; pairs that share too few, or
+   whose shared count and remaining tokens cannot add up to the threshold, are dropped. A dense token has a pivot, the
+   holder with the most dense tokens, and each holder makes one pair with it. What sizes and shapes do not rule out
+   is verified on the whole sets. Then the holders of dense tokens meet by pivot, in blocks of CHUNK by CHUNK, but for
+   those connected with the pivot among themselves. A block compares prefixes and shapes; the few pairs left are verified
+   by key, and a block with many gets the whole sets of their members, once, and returns a spanning forest, never all pairs.
 4. Components of the links are found by key (components.py).
 
 Defined results: null, empty or blank texts have no set: n_shingles 0, linked with nothing, component_id is the
@@ -37,6 +38,10 @@ from candlewright.llm.components import components
 from candlewright.llm.runtime import Scratch, batches, column, slices
 
 DENSE, CHUNK, LONGEST = 24, 2048, 6
+#: Pairs for each row that a block may leave to be verified by key; a block with more verifies them itself. Bytes of whole sets on a block's side.
+THIN, BLOCK_BYTES = 4, 16_000_000
+#: Classes up to which their sizes and prefix lengths are broadcast (40 bytes each).
+BROADCAST_SIZED = 200_000
 #: A token is common if COMMON_LEAST rows gave it, and one row in COMMON; there can be no more of these than COMMON times the
 #: tokens that a row gives (8 bytes each are broadcast).
 COMMON, COMMON_LEAST = 20_000, 50
@@ -46,8 +51,6 @@ BROADCAST_IDS = 500_000
 SHAPE = 256
 #: Columns of a matrix product at once.
 _SLAB = 1024
-#: Pairs of a block up to which sets are intersected one pair at a time.
-_BY_PAIR = 20_000
 #: A bucket's count from here on is not known exactly; such sets pass.
 _MOST = 32_000
 
@@ -135,16 +138,18 @@ def chosen_texts(documents: DataFrame, chosen: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if small else ids, same).select("node", "text")
 
 
-def second_reading(documents: DataFrame, chosen: DataFrame, size: int, common: np.ndarray) -> DataFrame:
-    """node, n, shape (token counts by bucket), tokens (ordered) of the chosen classes, from the text of one document each (from one in each task, where rows repeat)."""
+def second_reading(documents: DataFrame, chosen: DataFrame, size: int, percent: int, common: np.ndarray) -> DataFrame:
+    """node, n, shape (token counts by bucket), heads (the longest prefix), tokens (ordered) of the chosen classes, from the text of one document each (from one in each task, where rows repeat)."""
     spark = documents.sparkSession
     last = spark.sparkContext.broadcast(common)
 
+    longest = LONGEST
+
     def step(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, told = last.value, set()
         for batch in parts:
             texts, wanted = column(batch, "text"), column(batch, "node").to_pylist()
-            node, n, shapes, lists = [], [], [], []
+            node, n, shapes, heads, lists = [], [], [], [], []
             for a, b in slices(texts):
                 for i, tokens in enumerate(row_sets(texts.slice(a, b - a), size), a):
                     if wanted[i] in told or not len(tokens) or _set_key(tokens) != wanted[i]:
@@ -156,11 +161,12 @@ def second_reading(documents: DataFrame, chosen: DataFrame, size: int, common: n
                     node.append(wanted[i])
                     n.append(len(tokens))
                     shapes.append(np.minimum(np.bincount(tokens & np.uint64(SHAPE - 1), minlength=SHAPE), _MOST).astype(np.int16))
+                    heads.append(tokens[: prefix_size(len(tokens), percent) + longest])
                     lists.append(tokens)
             shape = pa.array(shapes, pa.list_(pa.int16()))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), shape, _lists(lists)], ["node", "n", "shape", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), shape, _lists(heads), _lists(lists)], ["node", "n", "shape", "heads", "tokens"])
 
-    return batches(chosen_texts(documents, chosen), step, "node long, n long, shape array<smallint>, tokens array<long>")
+    return batches(chosen_texts(documents, chosen), step, "node long, n long, shape array<smallint>, heads array<long>, tokens array<long>")
 
 
 def forest(link: np.ndarray) -> list[tuple[int, int]]:
@@ -202,129 +208,223 @@ def _product(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _block(percent: int):
+def _numbers(frame: pd.DataFrame, name: str) -> list[np.ndarray]:
+    return [np.asarray(x, dtype=np.int64).view(np.uint64) for x in frame[name]]
+
+
+def _sides(key: tuple, part: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
+    """Rows and columns of a block, in a fixed order, and whether they are the same."""
+    kind, i, j = key[1], key[2], key[3]
+    part = part.sort_values("node", kind="stable")
+    if kind:
+        return part[part["core"]], part[~part["core"]], False
+    left = part[part["chunk"] == i]
+    return (left, left, True) if i == j else (left, part[part["chunk"] == j], False)
+
+
+def _open_pairs(left: pd.DataFrame, right: pd.DataFrame, same: bool, percent: int) -> np.ndarray:
+    """Pairs of two components, each once, whose sizes allow a link."""
+    n_a, n_b = left["n"].to_numpy()[:, None], right["n"].to_numpy()
+    ask = (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy())
+    return ask & np.tri(len(left), k=-1, dtype=bool) if same else ask
+
+
+def _narrow(left: pd.DataFrame, right: pd.DataFrame, same: bool, ask: np.ndarray) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
+    """Only the rows and columns that still have a pair to ask about."""
+    at_a, at_b = np.flatnonzero(ask.any(axis=1)), np.flatnonzero(ask.any(axis=0))
+    if same:  # one list, so that tokens of a single set are seen to add nothing
+        at_a = at_b = np.union1d(at_a, at_b)
+    left = left.iloc[at_a]
+    return left, left if same else right.iloc[at_b], ask[np.ix_(at_a, at_b)]
+
+
+def _products(left: pd.DataFrame, right: pd.DataFrame, same: bool, name: str) -> np.ndarray:
+    rows = _numbers(left, name)
+    return _product(rows, rows if same else _numbers(right, name))
+
+
+def _open_block(percent: int):
+    """Pairs of a block that prefixes and shapes don't rule out; of a block with more than THIN a row, the rows (v null) that have some."""
+
     def work(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        token = np.uint64(np.int64(key[0]).view(np.uint64))
-        i, j = key[1], key[2]
-        part = part.sort_values("node", kind="stable")
-        left = part[part["chunk"] == i]
-        right = left if i == j else part[part["chunk"] == j]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"u": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64")})
-
-        def sets(frame: pd.DataFrame, name: str) -> list[np.ndarray]:
-            return [np.asarray(x, dtype=np.int64).view(np.uint64) for x in frame[name]]
-
-        whole_a = sets(left, "tokens")
-        whole_b = whole_a if i == j else sets(right, "tokens")
-        n_a, n_b = left["n"].to_numpy(), right["n"].to_numpy()
-        x_a, x_b = left["x"].to_numpy(), right["x"].to_numpy()
-        low, high = np.minimum(n_a[:, None], n_b), np.maximum(n_a[:, None], n_b)
-        ask = 100 * low >= percent * high
-        if i == j:
-            ask &= np.tri(len(left), k=-1, dtype=bool)
+        pivot = np.uint64(np.int64(key[0]).view(np.uint64))
+        left, right, same = _sides(key, part)
+        ask = _open_pairs(left, right, same, percent)
 
         def before(frame: pd.DataFrame) -> list[np.ndarray]:
-            return [d[d < token] for d in sets(frame, "dense")]
-
-        b_a = before(left)
-        ask &= _product(b_a, b_a if i == j else before(right)) == 0
-        link = np.zeros(ask.shape, dtype=bool)
-        at_a, at_b = np.flatnonzero(ask.any(axis=1)), np.flatnonzero(ask.any(axis=0))
-        if len(at_a):  # from here on only the rows and columns that still have a pair to ask about
-            if i == j:  # one list, so that tokens of a single set are seen to add nothing
-                at_a = at_b = np.union1d(at_a, at_b)
-            part_a = [whole_a[a] for a in at_a]
-            part_b = part_a if i == j else [whole_b[b] for b in at_b]
-            n_a, n_b, x_a, x_b = n_a[at_a], n_b[at_b], x_a[at_a], x_b[at_b]
-            ask = ask[np.ix_(at_a, at_b)]
-            head_a = [s[:x] for s, x in zip(part_a, x_a, strict=True)]
-            head_b = head_a if i == j else [s[:x] for s, x in zip(part_b, x_b, strict=True)]
-            shared = _product(head_a, head_b)
-            ask &= shared >= np.minimum(left["need"].to_numpy()[at_a, None], right["need"].to_numpy()[at_b])
-            edge_a, edge_b = np.array([h[-1] for h in head_a]), np.array([h[-1] for h in head_b])
+            return [d[d < pivot] for d in _numbers(frame, "pivots")]
+
+        if ask.any():
+            left, right, ask = _narrow(left, right, same, ask)
+            rows = before(left)
+            ask &= _product(rows, rows if same else before(right)) == 0  # the pair's first common pivot asks
+        if ask.any():
+            left, right, ask = _narrow(left, right, same, ask)
+            shared = _products(left, right, same, "heads")
+            n_a, n_b, x_a, x_b = left["n"].to_numpy(), right["n"].to_numpy(), left["x"].to_numpy(), right["x"].to_numpy()
+            ask &= shared >= np.minimum(left["need"].to_numpy()[:, None], right["need"].to_numpy())
+            edge_a, edge_b = (np.array([h[-1] for h in _numbers(f, "heads")], dtype=np.uint64) for f in (left, right))
             rest = np.where(edge_a[:, None] <= edge_b, (n_a - x_a)[:, None], n_b - x_b)
             least = -(-percent * (n_a[:, None] + n_b) // (100 + percent))
             ask &= shared + rest >= least
-            if ask.sum() <= _BY_PAIR:
-                for a, b in zip(*np.nonzero(ask), strict=True):
-                    link[at_a[a], at_b[b]] = len(np.intersect1d(part_a[a], part_b[b], assume_unique=True)) >= least[a, b]
-            else:
-                link[np.ix_(at_a, at_b)] = ask & (_product(part_a, part_b) >= least)
+            shape_a, shape_b = (np.stack([np.asarray(x, dtype=np.int16) for x in f["shape"]]) for f in (left, right))
+            for a in np.flatnonzero(ask.any(axis=1)):
+                at = np.flatnonzero(ask[a])
+                most = np.minimum(shape_a[a], shape_b[at]).sum(axis=1, dtype=np.int64)
+                ask[a, at] = (most >= least[a, at]) | (shape_a[a].max() >= _MOST)
+        u, v = np.nonzero(ask)
         id_a, id_b = left["node"].to_numpy(), right["node"].to_numpy()
-        if i == j:
-            edges = [(id_a[a], id_a[b]) for a, b in forest(link | link.T)]
+        if len(u) > THIN * len(part):
+            names = np.unique(np.concatenate([id_a[u], id_b[v]]))
+            out = {"u": names, "v": pd.array([None] * len(names), dtype="Int64")}
         else:
-            both = np.zeros((len(id_a) + len(id_b),) * 2, dtype=bool)
-            both[: len(id_a), len(id_a) :] = link
-            ids = np.concatenate([id_a, id_b])
-            edges = [(ids[a], ids[b]) for a, b in forest(both | both.T)]
+            out = {"u": id_a[u], "v": pd.array(id_b[v], dtype="Int64")}
+        size = len(out["u"])
+        return pd.DataFrame(out | {"pivot": np.full(size, key[0], dtype=np.int64)} | {k: np.full(size, key[1 + i], dtype=np.int32) for i, k in enumerate(("kind", "i", "j"))})
+
+    return work
+
+
+def _thick_block(percent: int):
+    """A spanning forest of the links in a block, from whole sets."""
+
+    def work(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        left, right, same = _sides(key, part)
+        ask = _open_pairs(left, right, same, percent)
+        n_a, n_b = left["n"].to_numpy()[:, None], right["n"].to_numpy()
+        link = ask & (_products(left, right, same, "tokens") >= -(-percent * (n_a + n_b) // (100 + percent)))
+        id_a, id_b = left["node"].to_numpy(), right["node"].to_numpy()
+        if same:
+            ids, whole = id_a, link | link.T
+        else:
+            ids, whole = np.concatenate([id_a, id_b]), np.zeros((len(id_a) + len(id_b),) * 2, dtype=bool)
+            whole[: len(id_a), len(id_a) :] = link
+            whole |= whole.T
+        edges = [(ids[a], ids[b]) for a, b in forest(whole)]
         return pd.DataFrame({"u": pd.Series([e[0] for e in edges], dtype="int64"), "v": pd.Series([e[1] for e in edges], dtype="int64")})
 
     return work
 
 
-def links(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Enough links (u, v) between classes to connect all that are linked. sets: node, n, shape, tokens."""
-    head = (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).cast("int")
-    first = sets.select("node", F.explode(F.slice("tokens", F.lit(1), head)).alias("token"))
-    holders = first.groupBy("token").count().where(f"count >= {DENSE}").drop("count")
-    cost = first.join(holders, "token").groupBy("node").agg(F.least(F.lit(LONGEST), F.count("*")).cast("int").alias("extra"))
-    longer = (
-        sets.select("node", "n", head.alias("head"), F.slice("tokens", F.lit(1), F.least(F.col("n").cast("int"), head + LONGEST)).alias("heads"))
-        .join(cost, "node", "left")
-        .withColumn("x", F.least(F.col("n").cast("int"), F.col("head") + F.coalesce("extra", F.lit(0))))
-        # a set with no more tokens to add asks for as many as it could add
-        .select("node", "n", "x", (F.col("x") - F.col("head") + 1).alias("need"), F.element_at("heads", F.col("x")).alias("edge"), F.slice("heads", F.lit(1), F.col("x")).alias("heads"))
-    )
-    heads = scratch.table(longer, "longer").withColumn("token", F.explode("heads")).drop("heads")
-    held = heads.groupBy("token").agg(F.count("*").alias("holders"), F.avg("x").alias("wide")).where("holders > 1")
-    held = held.select("token", "holders", (F.col("holders") >= F.greatest(F.lit(DENSE), 2 * F.col("wide"))).alias("is_dense"))
-    shared = scratch.table(heads.join(held, "token"), "heads")
-
-    few = shared.where("not is_dense").drop("holders", "is_dense")
-    other = few.select(F.col("token"), *[F.col(c).alias(f"{c}2") for c in ("node", "n", "x", "need", "edge")])
-    n, n2 = F.col("n"), F.col("n2")
+def _among(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of the nodes in ids, which are broadcast while they are few."""
+    return table.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node", "left_semi")
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sizes and token counts by bucket allow a link."""
+    ids = pairs.select("node").unionByName(pairs.select(F.col("node2").alias("node"))).distinct()
+    shapes = _among(sets.select("node", "n", "shape"), ids)
+    both = F.aggregate(F.zip_with("a.shape", "b.shape", lambda a, b: F.least(a, b)), F.lit(0), lambda x, y: x + y.cast("int"))
+    n, n2 = F.col("a.n"), F.col("b.n")
+    fit = (100 * F.least(n, n2) >= percent * F.greatest(n, n2)) & ((both >= _needed(n, n2, percent)) | (F.array_max("a.shape") >= _MOST))
+    met = pairs.join(shapes.alias("a"), pairs.node == F.col("a.node")).join(shapes.alias("b"), (pairs.node2 == F.col("b.node")) & fit)
+    return met.select(pairs.node, "node2")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """u, v of the pairs that link, from their whole sets."""
+    ids = pairs.select("node").unionByName(pairs.select(F.col("node2").alias("node"))).distinct()
+    whole = _among(sets.select("node", "n", "tokens"), ids)
+    met = pairs.join(whole.alias("a"), pairs.node == F.col("a.node")).join(whole.alias("b"), pairs.node2 == F.col("b.node"))
+    return met.where(F.size(F.array_intersect("a.tokens", "b.tokens")) >= _needed(F.col("a.n"), F.col("b.n"), percent)).select(pairs.node.alias("u"), F.col("node2").alias("v"))
+
+
+def _rare_pairs(few: DataFrame, percent: int) -> DataFrame:
+    """node, node2 of the pairs that share as many of few's tokens as a link of them would require, at least."""
+    a, b = few.alias("a"), few.alias("b")
+    n, n2 = F.col("a.n"), F.col("b.n")
     flip = F.lit(-(1 << 63)).cast("long")
-    below = F.col("edge").bitwiseXOR(flip) <= F.col("edge2").bitwiseXOR(flip)  # in unsigned order
-    rest = F.when(below, n - F.col("x")).otherwise(n2 - F.col("x2"))
-    asked = F.greatest(F.least("need", "need2"), _needed(n, n2, percent) - rest)  # shared tokens without which a pair is no link
-    pairs = (
-        few.join(other, "token")
-        .where((F.col("node") < F.col("node2")) & (100 * F.least(n, n2) >= percent * F.greatest(n, n2)))
-        .groupBy("node", "node2", asked.cast("int").alias("asked"))
-        .agg(F.count("*").alias("c"))
-        .where("c >= asked")
-        .select("node", "node2")
+    below = F.col("a.edge").bitwiseXOR(flip) <= F.col("b.edge").bitwiseXOR(flip)  # in unsigned order
+    rest = F.when(below, n - F.col("a.x")).otherwise(n2 - F.col("b.x"))
+    asked = F.greatest(F.least("a.need", "b.need"), _needed(n, n2, percent) - rest)
+    once = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (100 * F.least(n, n2) >= percent * F.greatest(n, n2))
+    met = a.join(b, once).select(F.col("a.node").alias("node"), F.col("b.node").alias("node2"), asked.cast("int").alias("asked"))
+    return met.groupBy("node", "node2", "asked").agg(F.count("*").alias("c")).where("c >= asked").select("node", "node2")
+
+
+def _blocks(groups: DataFrame, found: DataFrame, sized: DataFrame) -> DataFrame:
+    """pivot, kind, i, j, chunk, core, comp, node: the blocks in which the members of each group meet.
+
+    Members of the pivot's component (the core) are connected already, so they meet only the rest, and the rest meets all.
+    """
+    tagged = groups.join(found, "node", "left").select("pivot", "node", F.coalesce("component", "node").alias("comp"))
+    lead = tagged.where("pivot = node").select("pivot", F.col("comp").alias("lead"))
+    tagged = tagged.join(lead, "pivot").withColumn("core", F.col("comp") == F.col("lead")).drop("lead").join(sized.select("node", "n"), "node")
+
+    def chunks(of: Column) -> Column:
+        n = F.when(of, F.col("n"))
+        return F.greatest(F.lit(1), F.ceil(F.count(n) / CHUNK), F.ceil(8 * F.sum(n) / BLOCK_BYTES)).cast("int")
+
+    core = F.col("core")
+    dealt = tagged.groupBy("pivot").agg(chunks(core).alias("cores"), chunks(~core).alias("rests"), F.count(F.when(~core, 1)).alias("open")).where("open > 0")
+
+    def block(kind: int, i: Column, j: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+
+    chunk = F.col("chunk")
+    of_core = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: block(1, chunk, r))
+    of_rest = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("cores") - 1), lambda c: block(1, c, chunk)),
+        F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: block(0, F.least(chunk, r), F.greatest(chunk, r))),
     )
-    shapes = sets.select("node", "n", "shape")
-    both = F.aggregate(F.zip_with("shape", "shape2", lambda a, b: F.least(a, b)), F.lit(0), lambda x, y: x + y.cast("int"))
-    pairs = (
-        pairs.join(shapes, "node")
-        .join(shapes.select(F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("shape").alias("shape2")), "node2")
-        .where((both >= _needed(n, n2, percent)) | (F.array_max("shape") >= _MOST))
-        .select("node", "node2")
-    )
-    tokens = sets.select("node", "n", "tokens")
-    verified = (
-        pairs.join(tokens, "node")
-        .join(tokens.select(F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("tokens").alias("tokens2")), "node2")
-        .where(F.size(F.array_intersect("tokens", "tokens2")) >= _needed(n, n2, percent))
-        .select(F.col("node").alias("u"), F.col("node2").alias("v"))
+    return (
+        tagged.join(dealt, "pivot")
+        .withColumn("chunk", F.pmod(F.xxhash64("node"), F.when(core, F.col("cores")).otherwise(F.col("rests"))).cast("int"))
+        .withColumn("block", F.explode(F.when(core, of_core).otherwise(of_rest)))
+        .select("pivot", "block.*", "chunk", "core", "comp", "node")
     )
 
-    many = shared.where("is_dense")
-    own = many.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("dense"))  # at most a prefix
-    chunks = F.ceil(F.col("holders") / CHUNK).cast("int")
-    dealt = (
-        many.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
-        .withColumn("k", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        .select("token", F.least("chunk", "k").alias("i"), F.greatest("chunk", "k").alias("j"), "chunk", "node", "n", "x", "need")
-        .join(own, "node")
-        .join(tokens.drop("n"), "node")
+
+def linked_components(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """node, component of each class that has a link. sets: node, n, shape, heads, tokens."""
+    n = F.col("n")
+    head = (n - F.ceil(F.lit(percent) * n / 100) + 1).cast("int")
+    spots = sets.select("node", head.alias("head"), F.posexplode("heads").alias("pos", "token"))
+    held = spots.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
+    spots = scratch.table(spots.join(held, "token"), "spots")
+    cost = spots.where("pos < head").groupBy("node").agg(F.sum(F.col("holders") - 1).alias("cost"))
+    extra = F.least(F.lit(LONGEST), F.floor(F.log2(F.coalesce("cost", F.lit(0)) + 1))).cast("int")
+    sized = (
+        sets.select("node", "n", head.alias("head"), "heads")
+        .join(cost, "node")  # a class whose prefix nobody shares has no partner
+        .withColumn("x", F.least(n.cast("int"), F.col("head") + extra))
+        # a set with no more tokens to add asks for as many as it could add
+        .select("node", "n", "x", (F.col("x") - F.col("head") + 1).alias("need"), F.element_at("heads", F.col("x")).alias("edge"))
     )
-    blocks = dealt.groupBy("token", "i", "j").applyInPandas(_block(percent), "u long, v long")
-    return verified.unionByName(blocks)
+    sized = scratch.table(sized, "sized")
+    small = F.broadcast(sized) if sized.count() <= BROADCAST_SIZED else sized
+    spots = spots.join(small, "node").where("pos < x")
+    groups = scratch.table(_pivot_groups(spots.where(f"holders >= {DENSE}").select("token", "node")), "groups")
+    star = groups.where("pivot <> node").select(F.least("pivot", "node").alias("node"), F.greatest("pivot", "node").alias("node2")).distinct()
+    rare = _rare_pairs(spots.where(f"holders < {DENSE}").select("token", "node", "n", "x", "need", "edge"), percent)
+    pairs = scratch.table(_plausible(scratch.table(rare.unionByName(star).distinct(), "asked"), sets, percent), "pairs")
+    links = scratch.table(_linked(pairs, sets, percent), "sure")
+    found = scratch.table(components(links, scratch), "found")
+
+    blocks = scratch.table(_blocks(groups, found, sized), "blocks")
+    if blocks.isEmpty():
+        return found
+    pivots = groups.groupBy("node").agg(F.sort_array(F.collect_list("pivot")).alias("pivots"))  # no more than a prefix has tokens
+    heads = sets.select("node", "shape", "heads").join(sized.drop("edge"), "node").withColumn("heads", F.slice("heads", F.lit(1), F.col("x")))
+    left = blocks.join(_among(heads, blocks.select("node").distinct()), "node").join(pivots, "node")
+    left = scratch.table(left.groupBy("pivot", "kind", "i", "j").applyInPandas(_open_block(percent), "u long, v long, pivot long, kind int, i int, j int"), "left")
+    thin = scratch.table(left.where("v is not null").select(F.least("u", "v").alias("node"), F.greatest("u", "v").alias("node2")).distinct(), "asked")
+    more = _linked(thin, sets, percent)
+    thick = left.where("v is null").select(F.col("u").alias("node"), "pivot", "kind", "i", "j")
+    if not thick.isEmpty():
+        whole = _among(sets.select("node", "n", "tokens"), thick.select("node").distinct())
+        met = blocks.join(thick, ["node", "pivot", "kind", "i", "j"], "left_semi").join(whole, "node")
+        more = more.unionByName(met.groupBy("pivot", "kind", "i", "j").applyInPandas(_thick_block(percent), "u long, v long"))
+    return components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), scratch)
+
+
+def _pivot_groups(many: DataFrame) -> DataFrame:
+    """pivot, node: the holders of dense tokens by the tokens' pivots. A token's pivot is the holder with the most dense tokens, so that
+    near copies, which share most of theirs, have few pivots; two classes with a dense token in common have a pivot in common."""
+    weight = many.groupBy("node").agg(F.count("*").alias("weight"))
+    pivots = many.join(weight, "node").groupBy("token").agg(F.max(F.struct("weight", "node")).alias("best"))
+    return many.join(pivots.select("token", F.col("best.node").alias("pivot")), "token").select("pivot", "node").distinct()
 
 
 def _given(read: DataFrame) -> DataFrame:
@@ -361,10 +461,10 @@ def _groups(documents: DataFrame, size: int, percent: int) -> tuple[DataFrame, D
     chosen = scratch.table(chosen, "chosen")
     slim = scratch.table(read.select("doc_id", "n", "node"), "rows")
     scratch.drop(read)
-    sets = scratch.table(second_reading(documents, chosen, size, common), "whole")
+    sets = scratch.table(second_reading(documents, chosen, size, percent, common), "whole")
     if sets.count() > sets.select("node").distinct().count():
         sets = scratch.table(sets.dropDuplicates(["node"]), "whole")
-    found = components(links(sets, percent, scratch), scratch)
+    found = linked_components(sets, percent, scratch)
     groups = classes.select("node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return slim, groups.select("node", "component"), groups.groupBy("component").agg(F.min("rep").alias("rep"))
 
