@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,9 @@ from candlewright.operators import bars as B
 from candlewright.operators import control, dataset, forward, generate, language, reports, reward, semantics, tokens
 from candlewright.operators import windows as W
 from candlewright.plans import fixtures as X
-from candlewright.plans.presets import GROUPS, MODEL_SIZES, ROUND1, ROUND1_V2, ROUND2
+from candlewright.plans.presets import ACTION_GROUPS, GATE_PASSED, GROUPS, MODEL_SIZES, ROUND1, ROUND1_V2, ROUND2, SETTINGS, ZONE_GROUPS, settings
+from candlewright.plans.shared import shared_dir
+from candlewright.schema import EOS, LABEL_PAD
 from candlewright.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +104,26 @@ def quantized_candles(spark: SparkSession, sf: str) -> DataFrame:
     return X.windows(spark, sf).select("symbol", "window_no", F.posexplode("candles").alias("i", "x")).select("symbol", *_long("window_no", "i"), *[F.col(f"x.{k}").cast("long").alias(k) for k in "ohlc"])
 
 
+_BY_SCALE = f"""{_DEVIATION},
+sc AS (SELECT symbol, quantile_cont(deviation / atr, 0.999) AS scale FROM dev WHERE row_idx >= 1 GROUP BY symbol)""" + X.quantised("sc.scale", "JOIN sc ON sc.symbol = s.symbol")
+
+
+@_query(f"WITH RECURSIVE {_BY_SCALE} SELECT symbol, window_no::BIGINT AS window_no, sum((i + 1) * (o + 2 * h + 3 * l + 4 * c))::BIGINT AS checksum FROM q GROUP BY ALL")
+def quantized_by_scale(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows in bins of their own symbol's scale."""
+    rows = X.rows(spark, sf)
+    w = W.encoded_windows(rows, B.scales(rows)).select("symbol", *_long("window_no"), F.posexplode("candles").alias("i", "x"))
+    return w.groupBy("symbol", "window_no").agg(F.sum((F.col("i") + 1) * (F.col("x.o") + 2 * F.col("x.h") + 3 * F.col("x.l") + 4 * F.col("x.c"))).alias("checksum"))
+
+
+@_query(
+    f"""WITH RECURSIVE {X.ROWS}, z AS (SELECT *, max(row_idx) OVER (PARTITION BY symbol) AS last FROM pre)
+SELECT symbol, (row_number() OVER (PARTITION BY symbol ORDER BY row_idx) - 1)::BIGINT AS window_no, row_idx::BIGINT AS start_idx FROM z WHERE atr > 0 AND row_idx + 100 <= last + 1"""
+)
+def validation_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return W.window_starts(X.rows(spark, sf), stride=dataset.PRESETS["validation"]["stride"]).select("symbol", *_long("window_no", "start_idx"))
+
+
 _BACK = f"((c / 1023.0::DOUBLE * 2 - 1) * {X.SCALE}::DOUBLE * anchor_atr + anchor_open)"
 
 
@@ -140,18 +163,19 @@ def grpo_rows(spark: SparkSession, sf: str) -> DataFrame:
     return dataset.prompt_rows(X.windows(spark, sf)).select("window_id", "symbol", "prompt", _bins_text("future_bins").alias("future"))
 
 
+_PROMPTS, _TEXTS = dataset.PRESETS["train_prompts"], dataset.PRESETS["train_text"]
 _DRAW = "('0x' || substr(md5(concat_ws('|', window_id, k, '42')), 1, 8))::BIGINT % greatest(1023 - mx + mn, 1) - mn"
 
 
 @_query(
     f"""WITH RECURSIVE {X.WINDOWS},
 b AS (SELECT symbol, window_no, symbol || '_' || window_no AS window_id, min(l) AS mn, max(h) AS mx FROM q GROUP BY symbol, window_no),
-g AS (SELECT b.*, k, CASE WHEN k < 0 THEN 0 ELSE {_DRAW} END AS ch FROM b CROSS JOIN (SELECT unnest(range(-1, 3)) AS k) WHERE k < 0 OR 1023 - mx + mn > 0)
+g AS (SELECT b.*, k, CASE WHEN k < 0 THEN 0 ELSE {_DRAW} END AS ch FROM b CROSS JOIN (SELECT unnest(range(-1, {_PROMPTS['augments']})) AS k) WHERE k < 0 OR 1023 - mx + mn > 0)
 SELECT CASE WHEN k < 0 THEN window_id ELSE window_id || '_aug' || k END AS window_id, (CASE WHEN k >= 0 AND ch >= 0 THEN ch + 1 ELSE ch END)::BIGINT AS delta FROM g"""
 )
 def augmented_windows(spark: SparkSession, sf: str) -> DataFrame:
     named = X.windows(spark, sf).withColumn("window_id", F.concat_ws("_", "symbol", F.col("window_no").cast("string")))
-    return dataset.augmented(named, 3, 42).select("window_id", F.col("delta").cast("long").alias("delta"))
+    return dataset.augmented(named, _PROMPTS["augments"], _PROMPTS["seed"]).select("window_id", F.col("delta").cast("long").alias("delta"))
 
 
 @_query(f"WITH RECURSIVE {X.WINDOWS} SELECT symbol || '_' || window_no || '_' || task AS window_id, task AS task_id FROM (SELECT DISTINCT symbol, window_no FROM q) CROSS JOIN (SELECT unnest(['zone', 'action']) AS task)")
@@ -172,17 +196,41 @@ def leaf_catalogue(spark: SparkSession, sf: str) -> DataFrame:
     return generate.leaves(spark).select(*_long("leaf"), F.col("leaf_trend").alias("trend"), "side", "zone_case", F.col("leaf_action").alias("action"))
 
 
-@_query(f"WITH RECURSIVE {X.DECISIONS} SELECT k::BIGINT AS leaf FROM leaves WHERE k NOT IN (SELECT k FROM d WHERE k % 4 <> 1)")
+@_query(f"WITH RECURSIVE {X.SEMANTICS} SELECT k::BIGINT AS leaf FROM leaves WHERE k NOT IN (SELECT k FROM sem WHERE sem_ok)")
 def leaf_coverage_gap(spark: SparkSession, sf: str) -> DataFrame:
-    seen = X.decisions(spark, sf).where("k % 4 <> 1").select(F.col("k").alias("leaf")).distinct()
+    """Leaves of which the fixture has no valid decision."""
+    seen = semantics.with_semantics(X.decisions(spark, sf)).where("semantic_passed").select(F.col("k").alias("leaf")).distinct()
     return generate.leaves(spark).join(seen, "leaf", "left_anti").select(*_long("leaf"))
 
 
-@_query()
+@_query(
+    f"""WITH RECURSIVE {X.WINDOWS},
+b AS (SELECT symbol || '_' || window_no AS window_id, min(l) AS mn, max(h) AS mx FROM q WHERE i < 50 GROUP BY symbol, window_no),
+g AS (SELECT CASE WHEN k < 0 THEN window_id ELSE window_id || '_aug' || k END AS window_id FROM b CROSS JOIN (SELECT unnest(range(-1, {_TEXTS["augments"]})) AS k) WHERE k < 0 OR 1023 - mx + mn > 0)
+SELECT window_id, true AS some, true AS well_formed, true AS semantic_passed, true AS sl_ok, true AS same FROM g"""
+)
 def generated_samples_valid(spark: SparkSession, sf: str) -> DataFrame:
-    charts = dataset.chart_rows(X.windows(spark, sf))
-    made = generate.samples(charts, 4, 42).withColumn("text", language.assembled(W.chart_text(F.col("candles")), F.col("completion"))).select("window_id", "sample", "leaf", "text")
-    return semantics.with_semantics(language.parse_programs(made)).select("window_id", "sample", "leaf", "well_formed", "semantic_passed")
+    """Each variant of each chart has samples, no more than asked for, and each of them reads back as it was drawn and breaks no rule."""
+    charts = dataset.chart_rows(X.windows(spark, sf), _TEXTS["augments"], _TEXTS["seed"])
+    read = generate.verified(generate.samples(charts, _TEXTS["samples"], _TEXTS["seed"])).withColumn("sl_ok", F.coalesce("sl_ok", F.lit(True)))
+    flags = [F.bool_and(c).alias(c) for c in ("well_formed", "semantic_passed", "sl_ok", "same")]
+    return read.groupBy("window_id").agg(F.count("*").between(1, _TEXTS["samples"]).alias("some"), *flags)
+
+
+@_query(
+    f"""WITH RECURSIVE {X.WINDOWS}, z AS (SELECT DISTINCT symbol, symbol || '_' || window_no || '_' || task AS window_id, task AS task_id FROM q CROSS JOIN (SELECT unnest(['zone', 'action']) AS task))
+SELECT window_id, task_id, (row_number() OVER (ORDER BY md5(window_id || '|' || 42), window_id) - 1)::BIGINT AS place FROM z ORDER BY place LIMIT 25"""
+)
+def shuffled_tasks_head(spark: SparkSession, sf: str) -> DataFrame:
+    """The first rows of the seeded shuffle of both tasks."""
+    head = dataset.shuffled(dataset.task_rows(dataset.prompt_rows(X.windows(spark, sf))), 42, "window_id").limit(25)
+    listed = head.agg(F.collect_list(F.struct("window_id", "task_id")).alias("all"))  # 25 rows
+    return listed.select(F.posexplode("all").alias("place", "r")).select("r.*", *_long("place"))
+
+
+@_query(f"WITH RECURSIVE {X.WINDOWS} SELECT DISTINCT symbol || '_' || window_no AS window_id FROM q ORDER BY 1 LIMIT 10")
+def prompt_rows_head(spark: SparkSession, sf: str) -> DataFrame:
+    return dataset.prompt_rows(X.windows(spark, sf)).select("window_id").orderBy("window_id").limit(10)
 
 
 # --- language -----------------------------------------------------------------------------------------------------
@@ -219,25 +267,32 @@ def _spoilt(spark: SparkSession, sf: str) -> DataFrame:
     return language.parse_programs(text).withColumn("intended_action", language.intended_action(F.col("completion")))
 
 
-@_query(
-    f"""WITH RECURSIVE {X.DECISIONS} SELECT window_id, k::BIGINT AS k, round(CASE k % 8 WHEN 3 THEN 0.85 WHEN 5 THEN 0.85 WHEN 6 THEN 0.70 ELSE 1 END::DOUBLE, 6) AS wf_score FROM d"""
-)
+@_query(f"WITH RECURSIVE {X.DECISIONS} SELECT window_id, k::BIGINT AS k, round({X.WELL_FORM}, 6) AS wf_score FROM d")
 def wf_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _spoilt(spark, sf).select("window_id", *_long("k"), _r("wf_score").alias("wf_score"))
 
 
 @_query(
-    f"""WITH RECURSIVE {X.DECISIONS} SELECT action AS intended_action, count(*) AS n, count(*) FILTER (k % 8 NOT IN (3, 5)) AS well_formed, round(avg((k % 8 NOT IN (3, 5))::INT), 6) AS rate
+    f"""WITH RECURSIVE {X.DECISIONS} SELECT action AS intended_action, count(*) AS n, count(*) FILTER ({X.WELL_FORM} = 1) AS well_formed, round(avg(({X.WELL_FORM} = 1)::INT), 6) AS rate
 FROM d WHERE k % 8 <> 6 GROUP BY action"""
 )
 def intended_action_rate(spark: SparkSession, sf: str) -> DataFrame:
     return reports.intended_rates(_spoilt(spark, sf)).withColumn("rate", _r("rate"))
 
 
-@_query()
+_KINDS = " ".join(f"WHEN regexp_full_match(w, '{p.replace(chr(92) + 'b', '')}') THEN '{k}'" for k, p in language.TOKENS)
+
+
+@_query(
+    f"""WITH RECURSIVE {X.DECISIONS}, pr AS (SELECT symbol, window_no, {_CHART} AS prompt FROM q GROUP BY symbol, window_no), c AS (SELECT *, {_COMPLETION} AS text FROM d),
+r AS (SELECT symbol, prompt || ' ' || CASE k % 8 WHEN 1 THEN text || ' BUY' WHEN 3 THEN replace(text, '</think>', '') WHEN 5 THEN text || ' <RR_15>' WHEN 6 THEN 'nothing to see BUYSL: <chart'
+  WHEN 7 THEN replace(text, ' : ', ' ') ELSE text END AS text FROM c JOIN pr USING (symbol, window_no)),
+lw AS (SELECT symbol, unnest(string_split(text, ' ')) AS w FROM r)
+SELECT symbol, CASE {_KINDS} ELSE '?' END AS kind, count(*) AS n FROM lw WHERE w <> '' GROUP BY ALL"""
+)
 def lex_token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    found = F.regexp_count(F.col("text"), F.lit(r"<[OHLC]_[0-9]+>"))
-    return X.rollouts(spark, sf).withColumn("text", language.assembled(F.col("prompt"), F.col("completion"))).groupBy("symbol").agg(F.sum(found).cast("long").alias("candle_tokens"))
+    text = X.rollouts(spark, sf).select("symbol", language.assembled(F.col("prompt"), F.col("completion")).alias("text"))
+    return language.kind_counts(text, "text", "symbol")
 
 
 # --- semantics and outcomes ---------------------------------------------------------------------------------------
@@ -331,18 +386,114 @@ def reward_v1(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(spark, sf).select("window_id", *_long("k"), "passed", _r("reward").alias("reward"))
 
 
-_SEMANTICS2 = X.OUTCOMES.replace("hi - lo NOT BETWEEN 5 AND 20", "hi - lo NOT BETWEEN 10 AND 40")
+_ZONED = replace(ROUND1, round_id="zoned", zone_scale=0.1)
+
+
+def _parsed(spark: SparkSession, sf: str, config=ROUND1) -> DataFrame:
+    """Spoilt rollouts, read and judged."""
+    return semantics.with_semantics(_spoilt(spark, sf), *config.zone_width)
 
 
 @_query(
-    f"""WITH RECURSIVE {_SEMANTICS2}, x AS (SELECT o.*, task, coalesce(slv, false) AS ok FROM o CROSS JOIN (SELECT unnest(['zone', 'action']) AS task))
-SELECT window_id, k::BIGINT AS k, task AS task_id, round(CASE WHEN NOT sem_ok THEN 1 + sem_score WHEN task = 'zone' THEN 4.5::DOUBLE + coalesce(probe, 0) * 0.1::DOUBLE WHEN action NOT IN ('BUY', 'SELL') THEN 4.5
-  WHEN NOT ok THEN 1 + greatest(0, sem_score - 0.2::DOUBLE) ELSE 4.5::DOUBLE + 0.2::DOUBLE * least(9, greatest(0, coalesce(best / risk::DOUBLE, 0))) + rm - 0.65::DOUBLE / risk END::DOUBLE, 6) AS reward FROM x"""
+    f"""WITH RECURSIVE {_REWARD1}, x AS (SELECT *, {X.WELL_FORM} AS wf FROM r) SELECT window_id, k::BIGINT AS k, wf = 1 AND passed AS passed,
+round(CASE WHEN wf < 1 THEN wf WHEN NOT sem_ok THEN 1 + sem_score ELSE {GATE_PASSED} END, 6) AS gate,
+round(CASE WHEN wf < 1 THEN wf WHEN NOT passed THEN 1 + judged ELSE 4.5::DOUBLE + coalesce(probe, 0) * 0.1::DOUBLE + CASE WHEN action IN ('BUY', 'SELL') THEN rm - 0.65::DOUBLE / risk ELSE 0 END END, 6) AS reward FROM x"""
 )
-def reward_v2(spark: SparkSession, sf: str) -> DataFrame:
+def reward_v1_parsed(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts to rewards, with a zone score: rows that fail the first gate, the second, and none."""
+    out = reward.reward_one(_parsed(spark, sf), _ZONED)
+    return out.select("window_id", *_long("k"), "passed", _r(reward.gate_score()).alias("gate"), _r("reward").alias("reward"))
+
+
+_MARGINS = ", ".join(f"('{g}', {ROUND1.ranges[g][0]!r}::DOUBLE)" for g in GROUPS)
+
+
+@_query(
+    f"""WITH r AS (SELECT n_name AS round_id, grp, low, 3 + n_nationkey / 10.0::DOUBLE AS bonus, n_regionkey / 10.0::DOUBLE AS zone_scale, 1 + n_nationkey % 5 AS sl_least FROM nation CROSS JOIN (VALUES {_MARGINS}) v(grp, low)),
+m AS (SELECT *, bonus - CASE WHEN grp = 'HOLD' THEN 0 ELSE zone_scale END - CASE WHEN grp IN ('BUY', 'SELL') THEN 1 + 0.65::DOUBLE / sl_least ELSE 0 END + low AS worst FROM r)
+SELECT round_id, grp, round(worst, 6) AS worst, worst > 2.2::DOUBLE AS holds FROM m"""
+)
+def round_config_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Rounds as rows: does the least pass of each group beat the best failure?"""
+    n = F.col("n_nationkey")
+    lows = F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(ROUND1.ranges[g][0]).alias("low")) for g in GROUPS])
+    rounds = spark.read.parquet(f"{sf}/nation.parquet").select(
+        F.col("n_name").alias("round_id"), F.inline(lows), (3 + n / 10).alias("pass_bonus"), (F.col("n_regionkey") / 10).alias("zone_scale"),
+        F.lit(ROUND1.sl_bonus).alias("sl_bonus"), F.lit(ROUND1.fee_bins).alias("fee_bins"), (1 + n % 5).alias("sl_least"),
+    )
+    return reward.pass_margins(rounds).select("round_id", "grp", _r("worst").alias("worst"), "holds")
+
+
+_REWARD2 = (
+    X.OUTCOMES.replace("hi - lo NOT BETWEEN 5 AND 20", "hi - lo NOT BETWEEN 10 AND 40")
+    + """,
+x0 AS (SELECT o.*, task, action IN ('BUY', 'SELL') AS trade, coalesce(slv, false) AS ok FROM o CROSS JOIN (SELECT unnest(['zone', 'action']) AS task)),
+x AS (SELECT *, sem_ok AND task = 'action' AND (ok OR NOT trade) AS task_ok,
+  CASE WHEN NOT sem_ok THEN 1 + sem_score WHEN task = 'zone' THEN 4.5::DOUBLE + coalesce(probe, 0) * 0.1::DOUBLE WHEN NOT trade THEN 4.5
+  WHEN NOT ok THEN 1 + greatest(0, sem_score - 0.2::DOUBLE) ELSE 4.5::DOUBLE + 0.2::DOUBLE * least(9, greatest(0, coalesce(best / risk::DOUBLE, 0))) + rm - 0.65::DOUBLE / risk END::DOUBLE AS reward FROM x0)"""
+)
+
+
+def _tasks(spark: SparkSession, sf: str, buff: bool = False) -> DataFrame:
+    """Decisions of both tasks, scored by round two; buff: with the buffs that a new round starts from, found by key."""
     d = semantics.with_semantics(X.decisions(spark, sf), *ROUND1_V2.zone_width).withColumns({"well_formed": F.lit(True), "wf_score": F.lit(1.0)})
     tasks = d.withColumn("task_id", F.explode(F.array(F.lit("zone"), F.lit("action"))))
-    return reward.reward_two(tasks, ROUND1_V2).select("window_id", *_long("k"), "task_id", _r("reward").alias("reward"))
+    if buff:
+        tasks = control.with_buff(tasks, reward.buff_key_two(), control.seeded(_settings(spark, ROUND1_V2)))
+    return reward.reward_two(tasks, ROUND1_V2, F.col("buff") if buff else None)
+
+
+@_query(f"WITH RECURSIVE {_REWARD2} SELECT window_id, k::BIGINT AS k, task AS task_id, round(reward, 6) AS reward FROM x")
+def reward_v2(spark: SparkSession, sf: str) -> DataFrame:
+    return _tasks(spark, sf).select("window_id", *_long("k"), "task_id", _r("reward").alias("reward"))
+
+
+_SURPRISE = """y AS (SELECT *, {eligible} AS el FROM {rows}),
+z AS (SELECT *, count(*) FILTER (el) OVER (PARTITION BY window_id) AS n, count(*) FILTER (el) OVER (PARTITION BY window_id, rr) AS c FROM y),
+s AS (SELECT *, CASE WHEN el AND n >= 2 THEN -ln(c / n::DOUBLE) * 0.1::DOUBLE ELSE 0 END::DOUBLE AS bonus FROM z)"""
+
+
+@_query(
+    f"""WITH RECURSIVE {_REWARD2}, {_SURPRISE.format(rows="x", eligible="task = 'action' AND sem_ok AND rr IS NOT NULL")}
+SELECT window_id, k::BIGINT AS k, task AS task_id, round(reward + CASE WHEN task_ok AND trade THEN 0.2::DOUBLE ELSE 0 END + bonus, 6) AS reward FROM s"""
+)
+def reward_v2_shaped(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch of round two: buffs by key, then shaping within each prompt, trades with a stop out of place included."""
+    out = reward.shaped(_tasks(spark, sf, buff=True), "window_id", reward.eligible_two(), 0.1)
+    return out.select("window_id", *_long("k"), "task_id", _r("reward").alias("reward"))
+
+
+@_query(f"""WITH RECURSIVE {_REWARD1}, {_SURPRISE.format(rows="r", eligible="passed AND rr IS NOT NULL")} SELECT window_id, k::BIGINT AS k, round(reward + bonus, 6) AS reward FROM s""")
+def reward_v1_shaped(spark: SparkSession, sf: str) -> DataFrame:
+    out = reward.shaped(_scored(spark, sf), "window_id", F.col("passed"), 0.1)
+    return out.select("window_id", *_long("k"), _r("reward").alias("reward"))
+
+
+@_query(
+    f"""WITH RECURSIVE {_REWARD2} SELECT trend, action AS action_type, count(*) AS n, round(avg(CASE WHEN trade THEN rm END), 6) AS avg_r, round(avg(CASE WHEN trade THEN (rm > 0)::INT END), 6) AS win_rate, round(avg(rr), 6) AS avg_rr,
+round(count(*) / sum(count(*)) OVER (PARTITION BY trend), 6) AS share FROM x WHERE task_ok GROUP BY trend, action"""
+)
+def stats_v2(spark: SparkSession, sf: str) -> DataFrame:
+    where = F.col("well_formed") & F.col("semantic_passed") & (F.col("task_id") == "action") & F.col("task_passed")
+    return reports.trend_action(_tasks(spark, sf), where).select("trend", "action_type", "n", *[_r(c).alias(c) for c in ("avg_r", "win_rate", "avg_rr", "share")])
+
+
+@_query(
+    f"""WITH RECURSIVE {_REWARD2}, y AS (SELECT CASE WHEN side IS NULL THEN 'NO_ZONE' ELSE 'HAS_ZONE' END AS grp FROM x WHERE sem_ok AND task = 'zone')
+SELECT g AS grp, count(y.grp) AS n, round(count(y.grp) / greatest(sum(count(y.grp)) OVER (), 1), 6) AS ratio FROM (SELECT unnest({list(ZONE_GROUPS)}) AS g) LEFT JOIN y ON y.grp = g GROUP BY g"""
+)
+def zone_group_counts(spark: SparkSession, sf: str) -> DataFrame:
+    gate = F.col("well_formed") & F.col("semantic_passed")
+    return reports.task_counts(_tasks(spark, sf), "zone", reward.buff_key_two(), gate, ZONE_GROUPS).withColumn("ratio", _r("ratio"))
+
+
+@_query(
+    f"""WITH RECURSIVE {X.SEMANTICS.replace("hi - lo NOT BETWEEN 5 AND 20", "hi - lo NOT BETWEEN 10 AND 40")}, y AS (SELECT *, {X.WELL_FORM} = 1 AS wf FROM sem)
+SELECT task AS task_id, count(*) AS n, round(avg(wf::INT), 6) AS well_formed, round(avg(CASE WHEN wf THEN sem_ok::INT END), 6) AS semantic FROM y CROSS JOIN (SELECT unnest(['zone', 'action']) AS task) GROUP BY task"""
+)
+def task_funnel(spark: SparkSession, sf: str) -> DataFrame:
+    both = _parsed(spark, sf, ROUND1_V2).withColumn("task_id", F.explode(F.array(F.lit("zone"), F.lit("action"))))
+    return reports.funnel(both).select("task_id", "n", _r("well_formed").alias("well_formed"), _r("semantic").alias("semantic"))
 
 
 @_query(
@@ -354,11 +505,7 @@ def rr_entropy_by_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("window_id", (_r("entropy") + 0).alias("entropy"), *_long("n"))
 
 
-@_query(
-    f"""WITH RECURSIVE {_REWARD1}, y AS (SELECT *, passed AND rr IS NOT NULL AS el FROM r),
-z AS (SELECT *, count(*) FILTER (el) OVER (PARTITION BY window_id) AS n, count(*) FILTER (el) OVER (PARTITION BY window_id, rr) AS c FROM y)
-SELECT window_id, k::BIGINT AS k, round(CASE WHEN el AND n >= 2 THEN -ln(c / n::DOUBLE) * 0.1::DOUBLE ELSE 0 END::DOUBLE, 6) + 0 AS bonus FROM z"""
-)
+@_query(f"""WITH RECURSIVE {_REWARD1}, {_SURPRISE.format(rows="r", eligible="passed AND rr IS NOT NULL")} SELECT window_id, k::BIGINT AS k, round(bonus, 6) + 0 AS bonus FROM s""")
 def rr_surprisal_bonus(spark: SparkSession, sf: str) -> DataFrame:
     out = reward.rr_entropy(_scored(spark, sf), "window_id", F.col("passed"), 0.1)
     return out.select("window_id", *_long("k"), (_r("bonus") + 0).alias("bonus"))
@@ -399,12 +546,52 @@ def group_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return reports.group_rollup(_records(spark, sf), F.col("passed"))
 
 
+_EVAL = _REWARD1 + f""",
+ev AS (SELECT *, {X.WELL_FORM} = 1 AS wf, sem_ok AND valid AS judged_ok, action IN ('BUY', 'SELL') AS trade FROM r1)"""
+
+
+def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.eval_records(_parsed(spark, sf), forward.outcome(F.col("future"), *ROUND1.sl_distance), ROUND1.fee_bins)
+
+
 @_query(
-    f"""WITH RECURSIVE {_RECORDS} SELECT trend, action AS action_type, count(*) AS n, round(avg(rmul), 6) AS gross_r, round(avg(rnet), 6) AS net_r, round(avg((status = 'WIN')::INT), 6) AS win,
-round(avg((status = 'LOSS')::INT), 6) AS loss, round(avg((status = 'TIMEOUT')::INT), 6) AS timeout FROM rec GROUP BY GROUPING SETS ((trend, action), ())"""
+    f"""WITH RECURSIVE {_EVAL}, both_gates AS (SELECT * FROM ev WHERE wf AND judged_ok) SELECT trend, action AS action_type, count(*) AS n, round(avg(CASE WHEN trade THEN rm END), 6) AS gross_r, round(avg(CASE WHEN trade THEN rm - 0.65::DOUBLE / risk END), 6) AS net_r,
+round(avg(CASE WHEN trade THEN (st = 'WIN')::INT END), 6) AS win, round(avg(CASE WHEN trade THEN (st = 'LOSS')::INT END), 6) AS loss, round(avg(CASE WHEN trade THEN (st = 'TIMEOUT')::INT END), 6) AS timeout
+FROM both_gates GROUP BY GROUPING SETS ((trend, action), ())"""
 )
 def eval_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.eval_summary(_records(spark, sf)).select("trend", "action_type", "n", *[_r(c).alias(c) for c in ("gross_r", "net_r", "win", "loss", "timeout")])
+    return reports.eval_summary(_evaluated(spark, sf)).select("trend", "action_type", "n", *[_r(c).alias(c) for c in ("gross_r", "net_r", "win", "loss", "timeout")])
+
+
+@_query(
+    f"""WITH RECURSIVE {_EVAL} SELECT count(*) AS n, round(count(*) FILTER (wf) / greatest(count(*), 1), 6) AS well_form_rate, round(count(*) FILTER (wf AND judged_ok) / greatest(count(*) FILTER (wf), 1), 6) AS semantic_rate_given_well_formed,
+round(count(*) FILTER (wf AND judged_ok) / greatest(count(*), 1), 6) AS semantic_rate FROM ev"""
+)
+def eval_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.eval_rates(_evaluated(spark, sf)).select("n", *[_r(c).alias(c) for c in ("well_form_rate", "semantic_rate_given_well_formed", "semantic_rate")])
+
+
+def _number(c: str, places: int) -> str:
+    return f"coalesce(printf('%.{places}f', round(round({c}, 6), {places})), '-')"
+
+
+@_query(
+    f"""WITH RECURSIVE {_RECORDS}, y AS (SELECT trend, action, count(*) AS n, avg(rmul) AS r, avg((rmul > 0)::INT) * 100 AS w, avg(rr) AS q, count(*) / sum(count(*)) OVER (PARTITION BY trend) * 100 AS s FROM rec WHERE passed GROUP BY trend, action)
+SELECT trend, action AS action_type, rpad(action, 12, ' ') || '  count=' || n || '  freq=' || {_number("s", 1)} || '%  avg_R=' || {_number("r", 2)} || '  win_rate=' || {_number("w", 0)} || '  avg_RR=' || {_number("q", 2)} AS line FROM y"""
+)
+def printed_report(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.report_lines(reports.trend_action(_records(spark, sf), F.col("passed")))
+
+
+@_query(
+    f"""WITH RECURSIVE {X.OUTCOMES} SELECT window_id, k::BIGINT AS k, lo::BIGINT AS zone_lower, hi::BIGINT AS zone_upper, p::BIGINT AS price, sl::BIGINT AS sl, (CASE WHEN far BETWEEN 0 AND 1023 THEN far END)::BIGINT AS target,
+i::BIGINT AS i, q.o::BIGINT AS o, q.h::BIGINT AS h, q.l::BIGINT AS l, q.c::BIGINT AS close, q.c >= q.o AS rising FROM o JOIN q USING (symbol, window_no) WHERE sem_ok AND i < 50"""
+)
+def plot_table(spark: SparkSession, sf: str) -> DataFrame:
+    d = semantics.with_semantics(X.decisions(spark, sf)).withColumn("well_formed", F.lit(True))
+    target = forward.target_bin(F.col("current_price_bin"), F.col("sl"), F.col("rr"), F.col("action_type") == "BUY")
+    numbers = ("k", "zone_lower", "zone_upper", "price", "sl", "target", "i", "o", "h", "l", "close")
+    return reports.plot_table(d, target).select("window_id", *_long(*numbers), "rising")
 
 
 @_query(f"WITH RECURSIVE {_RECORDS} SELECT action AS key, count(*) AS n FROM rec WHERE passed AND step > 3 GROUP BY action")
@@ -415,8 +602,8 @@ def counts_since_step(spark: SparkSession, sf: str) -> DataFrame:
 # --- controllers --------------------------------------------------------------------------------------------------
 
 
-def _settings(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(g, ROUND2.target(g), *ROUND2.ranges[g], ROUND2.init[g]) for g in GROUPS], "grp string, target double, low double, high double, init double")
+def _settings(spark: SparkSession, config=ROUND2) -> DataFrame:
+    return spark.createDataFrame(settings(config), SETTINGS)
 
 
 _SETTINGS = ", ".join(f"('{g}', {ROUND2.target(g)!r}::DOUBLE, {ROUND2.ranges[g][0]!r}::DOUBLE, {ROUND2.ranges[g][1]!r}::DOUBLE, {ROUND2.init[g]!r}::DOUBLE)" for g in GROUPS)
@@ -434,17 +621,63 @@ c(grp, step, ema, buff, err) AS (SELECT grp, -1::BIGINT, target, init, 0::DOUBLE
 SELECT grp, step::BIGINT AS step, round(ema, 6) AS ema, round(buff, 6) AS buff FROM c WHERE step >= 0"""
 )
 def pd_controller_trace(spark: SparkSession, sf: str) -> DataFrame:
-    records, settings = _records(spark, sf), _settings(spark)
-    rates = control.step_rates(records, reward.action_group(F.col("action_type")), settings, F.col("passed"))
-    return control.pd_trace(rates, settings, ["grp"], ROUND2.ema_alpha, ROUND2.kp, ROUND2.kd, ROUND2.step_max).select("grp", "step", _r("ema").alias("ema"), _r("buff").alias("buff"))
+    fixed = _settings(spark).drop("namespace")
+    rates = control.step_rates(_records(spark, sf), reward.action_group(F.col("action_type")), fixed, F.col("passed"))
+    return control.pd_trace(rates, fixed, ["grp"]).select("grp", "step", _r("ema").alias("ema"), _r("buff").alias("buff"))
+
+
+_SETTINGS2 = ", ".join(f"('{n}', '{g}', {', '.join(f'{v!r}::DOUBLE' for v in rest)})" for n, g, *rest in settings(ROUND1_V2))
+
+
+@_query(
+    f"""WITH RECURSIVE {_REWARD2}, cfg AS (SELECT * FROM (VALUES {_SETTINGS2}) v(namespace, grp, target, low, high, init, alpha, kp, kd, top)),
+m AS (SELECT task AS namespace, k % 7 AS step, CASE WHEN task = 'action' THEN action WHEN side IS NULL THEN 'NO_ZONE' ELSE 'HAS_ZONE' END AS grp, sem_ok AND (task = 'zone' OR task_ok) AS counted FROM x),
+tot AS (SELECT namespace, step, count(*) FILTER (counted) AS total FROM m GROUP BY ALL), mine AS (SELECT namespace, step, grp, count(*) AS n FROM m WHERE counted GROUP BY ALL),
+rate AS (SELECT cfg.*, tot.step, CASE WHEN total > 0 THEN coalesce(n, 0) / total::DOUBLE END AS rate FROM cfg JOIN tot USING (namespace) LEFT JOIN mine ON mine.step = tot.step AND mine.grp = cfg.grp AND mine.namespace = cfg.namespace),
+c(namespace, grp, step, ema, buff, err) AS (SELECT namespace, grp, -1::BIGINT, target, init, 0::DOUBLE FROM cfg UNION ALL
+  SELECT r.namespace, r.grp, r.step, coalesce((1 - alpha) * rate + alpha * ema, ema),
+    CASE WHEN rate IS NULL THEN buff ELSE greatest(low, least(high, buff + greatest(-top, least(top, kp * (target - ((1 - alpha) * rate + alpha * ema)) + kd * (target - ((1 - alpha) * rate + alpha * ema) - err))))) END,
+    CASE WHEN rate IS NULL THEN err ELSE target - ((1 - alpha) * rate + alpha * ema) END FROM c JOIN rate r ON r.namespace = c.namespace AND r.grp = c.grp AND r.step = c.step + 1)
+SELECT namespace, grp, step::BIGINT AS step, round(ema, 6) AS ema, round(buff, 6) AS buff FROM c WHERE step >= 0"""
+)
+def pd_controller_v2(spark: SparkSession, sf: str) -> DataFrame:
+    """Two controllers, one for each task, each with its own groups and gains."""
+    fixed = _settings(spark, ROUND1_V2)
+    rows = _tasks(spark, sf).withColumns({"namespace": F.col("task_id"), "step": (F.col("k") % 7).cast("long")})
+    counted = F.col("well_formed") & F.col("semantic_passed") & ((F.col("task_id") == "zone") | F.col("task_passed"))
+    rates = control.step_rates(rows, reward.buff_key_two(), fixed, counted, ("namespace",))
+    return control.pd_trace(rates, fixed, ["namespace", "grp"]).select("namespace", "grp", "step", _r("ema").alias("ema"), _r("buff").alias("buff"))
+
+
+_BUFFS = " ".join(f"WHEN '{g}' THEN {ROUND2.init[g]!r}::DOUBLE" for g in GROUPS if g != "WAIT")
+
+
+@_query(f"WITH RECURSIVE {X.DECISIONS} SELECT window_id, k::BIGINT AS k, CASE {_GROUP} {_BUFFS} ELSE 0 END AS buff FROM d")
+def buff_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The buff of each decision's group, from a state that lacks one group."""
+    state = control.seeded(_settings(spark)).where("grp <> 'WAIT'")
+    return control.with_buff(X.decisions(spark, sf), reward.action_group(F.col("action_type")), state).select("window_id", *_long("k"), "buff")
+
+
+_READINGS = f"""{_RECORDS}, y AS (SELECT step, window_id, rr, count(*) AS c, sum(count(*)) OVER (PARTITION BY step, window_id) AS n FROM rec WHERE passed AND rr IS NOT NULL GROUP BY step, window_id, rr),
+pe AS (SELECT step, window_id, -sum(c / n::DOUBLE * ln(c / n::DOUBLE)) AS h FROM y WHERE n >= 2 GROUP BY step, window_id), rd AS (SELECT step, avg(h) AS h FROM pe GROUP BY step)"""
+
+
+def _readings(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.entropy_readings(_records(spark, sf).where("passed"), "rr", "window_id")
+
+
+@_query(f"WITH RECURSIVE {_READINGS} SELECT step::BIGINT AS step, round(h, 6) + 0 AS reading FROM rd")
+def entropy_readings(spark: SparkSession, sf: str) -> DataFrame:
+    return _readings(spark, sf).select("step", (_r("reading") + 0).alias("reading"))
 
 
 _EMA = "(0.1::DOUBLE * h + 0.9::DOUBLE * ema)"
 
 
 @_query(
-    f"""WITH RECURSIVE {_RECORDS}, y AS (SELECT step, rr, count(*) AS c, sum(count(*)) OVER (PARTITION BY step) AS n FROM rec WHERE passed AND rr IS NOT NULL GROUP BY step, rr),
-h AS (SELECT s.step, -sum(c / n::DOUBLE * ln(c / n::DOUBLE)) AS h FROM (SELECT unnest(range(0, 7)) AS step) s LEFT JOIN y ON y.step = s.step GROUP BY s.step),
+    f"""WITH RECURSIVE {_READINGS},
+h AS (SELECT s.step, h FROM (SELECT unnest(range(0, 7)) AS step) s LEFT JOIN rd ON rd.step = s.step),
 c(step, ema, bonus, err) AS (SELECT -1::BIGINT, 0.3::DOUBLE, 0::DOUBLE, 0::DOUBLE UNION ALL
   SELECT h.step, coalesce({_EMA}, ema), CASE WHEN h IS NULL THEN bonus WHEN 0.3::DOUBLE - {_EMA} > 0
     THEN greatest(0, least(0.1::DOUBLE, bonus + greatest(-0.0005::DOUBLE, least(0.0005::DOUBLE, 0.02::DOUBLE * (0.3::DOUBLE - {_EMA}) + 0.01::DOUBLE * (0.3::DOUBLE - {_EMA} - err))))) ELSE greatest(0, bonus - least(bonus, 0.0005::DOUBLE)) END,
@@ -452,10 +685,9 @@ c(step, ema, bonus, err) AS (SELECT -1::BIGINT, 0.3::DOUBLE, 0::DOUBLE, 0::DOUBL
 SELECT step::BIGINT AS step, round(ema, 6) AS ema, round(bonus, 6) AS bonus FROM c WHERE step >= 0"""
 )
 def entropy_controller_trace(spark: SparkSession, sf: str) -> DataFrame:
-    read = reports.entropy(_records(spark, sf).where("passed"), "rr", "step").select("step", F.col("entropy").alias("reading"))
-    steps = spark.range(7).select(F.col("id").alias("step")).join(read, "step", "left")
-    r = ROUND2
-    out = control.entropy_trace(steps, r.entropy_floor, r.entropy_alpha, r.entropy_kp, r.entropy_kd, r.entropy_step, r.entropy_cap)
+    steps = spark.range(7).select(F.col("id").alias("step")).join(_readings(spark, sf), "step", "left")
+    e = ROUND2.entropy
+    out = control.entropy_trace(steps, e.floor, e.gain.alpha, e.gain.kp, e.gain.kd, e.gain.step_max, e.cap)
     return out.select("step", _r("ema").alias("ema"), _r("buff").alias("bonus"))
 
 
@@ -536,14 +768,74 @@ def padded_batches(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("window_id", *_long("k"), F.size("input_ids").cast("long").alias("width"), F.size(F.filter("attention_mask", lambda x: x == 0)).cast("long").alias("pads"))
 
 
-@_query(f"WITH RECURSIVE {_TEXT} SELECT window_id || '/' || k AS row_id, CASE WHEN k % 10 = 7 THEN 'no_mapped' ELSE 'completion' END AS violation FROM ro WHERE k % 10 = 7 OR k % 4 = 1")
+@_query(f"WITH RECURSIVE {_TEXT} SELECT window_id || '/' || k AS row_id, CASE WHEN action = 'HOLD' THEN 'no_mapped' ELSE 'completion' END AS violation FROM ro JOIN d USING (window_id, k) WHERE action = 'HOLD' OR k % 4 = 1")
 def verify_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored set that has lost its HOLD rows, and texts with a word that no vocabulary has."""
     r = _texts(spark, sf).withColumn("row_id", F.concat(F.col("window_id"), F.lit("/"), F.col("k").cast("string")))
     ids, labels = tokens.labels(F.col("prompt"), tokens.encode(language.assembled(F.col("prompt"), F.col("completion"))), 512)
-    mapped = r.where("k % 10 <> 7").select("row_id", ids.alias("input_ids"), labels.alias("labels"))
+    mapped = r.where(~F.contains("completion", F.lit(" HOLD "))).select("row_id", ids.alias("input_ids"), labels.alias("labels"))
     return tokens.violations(r.select("row_id", "prompt", "completion"), mapped, "row_id", 512)
 
 
+_PROMPT = f"""{X.WINDOWS}, {_VOCAB_TABLE}, pr AS (SELECT symbol, symbol || '_' || window_no AS window_id, window_no, {_CHART} AS prompt FROM q GROUP BY symbol, window_no),
+pw AS (SELECT symbol, window_no, window_id, id, pos FROM (SELECT symbol, window_no, window_id, unnest(string_split(prompt, ' ')) AS token, generate_subscripts(string_split(prompt, ' '), 1) AS pos FROM pr) JOIN vocab USING (token))"""
+_SHORT = 200
+
+
+@_query(f"WITH RECURSIVE {_PROMPT} SELECT window_id, least(count(*), {_SHORT})::BIGINT AS prompt_length, sum(id * pos) FILTER (pos <= {_SHORT})::BIGINT AS checksum, count(*) > {_SHORT} AS cut FROM pw GROUP BY window_id")
+def prompt_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    ids, length, cut = tokens.prompt_ids(F.col("prompt"), _SHORT)
+    rows = dataset.prompt_rows(X.windows(spark, sf)).select("window_id", ids.alias("ids"), length.cast("long").alias("prompt_length"), cut.alias("cut"))
+    total = F.aggregate(F.transform("ids", lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("window_id", "prompt_length", total.alias("checksum"), "cut")
+
+
+@_query(f"WITH RECURSIVE {_PROMPT} SELECT window_id, CASE WHEN symbol = 'view' THEN 'no_mapped' ELSE 'prompt' END AS violation FROM pr WHERE symbol = 'view' OR window_no = 0")
+def verify_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored set that lacks a symbol, and whose first windows begin with another token."""
+    rows = dataset.prompt_rows(X.windows(spark, sf))
+    ids = tokens.prompt_ids(F.col("prompt"), _SHORT)[0]
+    wrong = F.when(F.endswith("window_id", F.lit("_0")), F.concat(F.array(F.lit(EOS + 2)), F.slice(ids, 3, _SHORT))).otherwise(ids)
+    return tokens.prompt_violations(rows, rows.where("symbol <> 'view'").select("window_id", wrong.alias("prompt_input_ids")), "window_id")
+
+
+@_query(
+    f"""WITH RECURSIVE {_TEXT}, z AS (SELECT window_id, k, any_value(symbol) AS symbol, any_value(np) AS np, least(count(*) + 2, {MAX_LENGTH})::BIGINT AS n FROM tk JOIN d USING (window_id, k) GROUP BY window_id, k),
+b AS (SELECT *, symbol || '/' || ((row_number() OVER (PARTITION BY symbol ORDER BY window_id, k) - 1) // 8) AS batch FROM z),
+m AS (SELECT *, (ceil(max(n) OVER (PARTITION BY batch) / 8.0) * 8)::BIGINT AS width FROM b)
+SELECT mode, batch, window_id, k::BIGINT AS k, width, (width - n)::BIGINT AS pads, CASE mode WHEN 'on_the_fly' THEN greatest(n - np - 1, 0) ELSE n END::BIGINT AS trained FROM m CROSS JOIN (SELECT unnest(['on_the_fly', 'pre_tokenized']) AS mode)"""
+)
+def collated_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches of eight: prompt and completion encoded and masked on the way, and stored ids whose masks are passed over."""
+    raw = tokens.in_batches(_texts(spark, sf).withColumn("symbol", F.regexp_extract("window_id", "^(.*)_[0-9]+$", 1)), 8, "symbol", "window_id", "k").drop("symbol")
+    ids, masked = tokens.labels(F.col("prompt"), tokens.encode(language.assembled(F.col("prompt"), F.col("completion"))), MAX_LENGTH)
+    stored = raw.select("batch", "window_id", "k", ids.alias("input_ids"), masked.alias("labels"))
+    both = [
+        tokens.collated(raw, "on_the_fly", False, "batch", MAX_LENGTH, 8).withColumn("mode", F.lit("on_the_fly")),
+        tokens.collated(stored, "pre_tokenized", True, "batch", multiple=8).withColumn("mode", F.lit("pre_tokenized")),
+    ]
+    out = both[0].unionByName(both[1])
+    pads, trained = F.filter("attention_mask", lambda x: x == 0), F.filter("labels", lambda x: x != LABEL_PAD)
+    return out.select("mode", "batch", "window_id", *_long("k"), *[F.size(c).cast("long").alias(n) for c, n in ((F.col("input_ids"), "width"), (pads, "pads"), (trained, "trained"))])
+
+
+@_query(
+    f"""WITH RECURSIVE {_TEXT}, z AS (SELECT window_id, k, any_value(np) AS np, count(*) + 2 AS n FROM tk GROUP BY window_id, k)
+SELECT cut::BIGINT AS max_length, count(*) FILTER (np + 1 >= least(n, cut)) AS masked, count(*) AS n FROM z CROSS JOIN (SELECT unnest([203, {MAX_LENGTH}]) AS cut) GROUP BY cut"""
+)
+def fully_masked_count(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that a cut leaves without a label, at a length that leaves room for the prompt alone and at the usual one."""
+    rows = _texts(spark, sf)
+    full = tokens.encode(language.assembled(F.col("prompt"), F.col("completion")))
+    told = [F.struct(F.lit(n).cast("long").alias("max_length"), tokens.fully_masked(tokens.labels(F.col("prompt"), full, n)[1]).alias("bare")) for n in (203, MAX_LENGTH)]
+    return rows.select(F.inline(F.array(*told))).groupBy("max_length").agg(F.count_if("bare").alias("masked"), F.count("*").alias("n"))
+
+
+@_query(f"WITH RECURSIVE {X.DECISIONS} SELECT window_id, k::BIGINT AS k FROM d ORDER BY md5(concat_ws('|', window_id, k, '0')), window_id, k LIMIT 20")
+def seeded_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.seeded_sample(X.decisions(spark, sf).select("window_id", *_long("k")), 20, 0, "window_id", "k")
+
+
 # --- small tables and streams -------------------------------------------------------------------------------------
 
 _SIZES = ", ".join(f"('{n}', {h}, {la}, {a}, {kv}, {ff})" for n, h, la, a, kv, ff in MODEL_SIZES)
@@ -561,20 +853,17 @@ def round_seed(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/nation.parquet").select("n_name", dataset.round_seed_column(F.col("n_name")).alias("seed"))
 
 
-@_query(f"WITH {X.BARS} SELECT symbol, {_SQL_TS}, open, high, low, close FROM bars")
+@_query(f"WITH {X.BARS}, m AS (SELECT max(ts) - INTERVAL 2 HOUR AS closed FROM events) SELECT symbol, {_SQL_TS}, open, high, low, close FROM bars, m WHERE ts + INTERVAL 1 HOUR <= closed")
 def stream_bars_windowed(spark: SparkSession, sf: str) -> DataFrame:
-    """The same bars from a stream of ticks, run to its end."""
+    """The same bars from a stream of ticks, run to its end: those that its watermark has closed."""
     import uuid
 
-    from candlewright.streaming.live import windowed_bars
+    from candlewright.streaming.live import bars_to_table
 
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     ticks = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf)
     ticks = ticks.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "value")
-    name = f"bars_{uuid.uuid4().hex}"
-    query = windowed_bars(ticks).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select("symbol", _ts(), "open", "high", "low", "close")
+    return bars_to_table(ticks, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}").select("symbol", _ts(), "open", "high", "low", "close")
 
 
 def queries() -> dict[str, Query]:

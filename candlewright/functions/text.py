@@ -1,13 +1,20 @@
-"""Renderings of decisions."""
+"""Renderings of decisions, and a name for a value inside an expression."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from candlewright.schema import DIGITS
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once for each row, however often the body uses it (a column's own text would be repeated at each use)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def digits(n: Column) -> Column:
     """A number as four digits with blanks between; null for null."""
     return F.when(n.isNotNull(), F.array_join(F.split(F.lpad(n.cast("string"), DIGITS, "0"), ""), " "))

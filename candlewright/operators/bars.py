@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bars in a block of the recurrence scan.
-SCAN_BLOCK = 64
+#: Bars are weighed against the start of their block; a block ends where weights have fallen by e to this power.
+SCAN_FALL = 200.0
 
 
 def _series() -> Window:
@@ -23,46 +25,33 @@ def with_true_range(bars: DataFrame) -> DataFrame:
 def with_ema(bars: DataFrame, value: str, period: int, name: str) -> DataFrame:
     """Exponential mean with span ``period``, seeded by the first value; a null leaves it and halves nothing but weight by position.
 
-    Each step is y -> a*y + b. Steps are composed inside blocks of SCAN_BLOCK bars by window sums, the blocks' own
-    compositions are folded over each symbol (one row per block), and the carry is added back: no step walks a whole series.
+    Each value's weight falls by a known factor at every later value, so the mean is a running sum of values weighed against a
+    fixed point, weighed back. The fixed point moves on each time weights have fallen by e**SCAN_FALL; what the block before has
+    come to is carried over, and what is older weighs less than a double can show. All of it is running frames over one sort by
+    symbol and time: no self-join, and nothing of a series is held. Span 1 is the value itself.
     """
     decay = 1 - 2 / (period + 1)
-    s = _series()
-    v = F.col(value)
-    seen = F.last(F.when(v.isNotNull(), F.col("__i")), ignorenulls=True).over(s.rowsBetween(Window.unboundedPreceding, -1))
-    gap = F.col("__i") - seen
-    old = F.pow(F.lit(decay), gap)
-    a = F.when(v.isNull() | seen.isNull(), F.lit(1.0)).otherwise(old / (old + (1 - decay)))
-    b = F.when(v.isNull(), F.lit(0.0)).when(seen.isNull(), v).otherwise((1 - a) * v)
-    steps = (
-        bars.withColumn("__i", F.row_number().over(s) - 1)
-        .withColumns({"__a": a, "__b": b, "__seeded": F.max(v.isNotNull().cast("int")).over(s.rowsBetween(Window.unboundedPreceding, 0))})
-        .withColumn("__block", F.floor(F.col("__i") / SCAN_BLOCK))
-    )
-    inside = Window.partitionBy("symbol", "__block").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
-    local = steps.withColumn("__p", F.exp(F.sum(F.ln("__a")).over(inside))).withColumn("__y", F.col("__p") * F.sum(F.col("__b") / F.col("__p")).over(inside))
-    ends = local.groupBy("symbol", "__block").agg(F.max_by(F.struct("__p", "__y"), "__i").alias("e"))
-    folded = (
-        ends.groupBy("symbol")
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("__block").alias("k"), F.col("e.__p").alias("p"), F.col("e.__y").alias("y")))).alias("all"))
-        .select(
-            "symbol",
-            F.explode(
-                F.aggregate(
-                    "all",
-                    F.struct(F.lit(0.0).alias("y"), F.array().cast("array<struct<__block:bigint,__carry:double>>").alias("out")),
-                    lambda acc, x: F.struct(
-                        (x["p"] * acc["y"] + x["y"]).alias("y"),
-                        F.concat(acc["out"], F.array(F.struct(x["k"].alias("__block"), acc["y"].alias("__carry")))).alias("out"),
-                    ),
-                    lambda acc: acc["out"],
-                )
-            ).alias("c"),
-        )
-        .select("symbol", "c.*")
-    )
-    out = local.join(folded, ["symbol", "__block"]).withColumn(name, F.when(F.col("__seeded") == 1, F.col("__p") * F.col("__carry") + F.col("__y")))
-    return out.drop("__i", "__a", "__b", "__seeded", "__block", "__p", "__y", "__carry")
+    s, v = _series(), F.col(value)
+    upto = s.rowsBetween(Window.unboundedPreceding, 0)
+    if decay <= 0:
+        return bars.withColumn(name, F.last(v, ignorenulls=True).over(upto))
+    given, start = v.isNotNull(), F.col("__block") * SCAN_FALL
+    gap = F.col("__i") - F.last(F.when(given, F.col("__i")), ignorenulls=True).over(s.rowsBetween(Window.unboundedPreceding, -1))
+    old = F.exp(F.col("__gap") * math.log(decay))
+    weighed = bars.withColumn("__i", F.row_number().over(s)).withColumn("__gap", gap).withColumns(
+        {
+            "__fall": F.when(given, F.ln(old + (1 - decay)) - F.col("__gap") * math.log(decay)),
+            "__add": F.when(given, F.coalesce(v * (1 - decay) / (old + (1 - decay)), v)),
+        }
+    )
+    weighed = weighed.withColumn("__at", F.coalesce(F.sum("__fall").over(upto), F.lit(0.0))).withColumn("__block", F.floor(F.col("__at") / SCAN_FALL))
+    inside = Window.partitionBy("symbol", "__block").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    local = weighed.withColumn("__own", F.exp(start - F.col("__at")) * F.sum(F.col("__add") * F.exp(F.col("__at") - start)).over(inside))
+    local = local.withColumn("__last", F.lag(F.struct("__block", "__own", "__at")).over(s))
+    before = F.last(F.when(F.col("__last.__block") != F.col("__block"), F.col("__last")), ignorenulls=True).over(upto)
+    carried = F.coalesce(F.col("__before.__own") * F.exp(F.col("__before.__at") - F.col("__at")), F.lit(0.0))
+    out = local.withColumn("__before", before).withColumn(name, F.when(F.count(v).over(upto) > 0, F.col("__own") + carried))
+    return out.drop("__i", "__gap", "__fall", "__add", "__at", "__block", "__own", "__last", "__before")
 
 
 def preprocess(bars: DataFrame, period: int = 100) -> DataFrame:

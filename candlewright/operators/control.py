@@ -14,7 +14,7 @@ def clip(x: Column, low: Column | float, high: Column | float) -> Column:
     return F.greatest(low, F.least(x, high))
 
 
-def pd_step(state: Column, rate: Column, target: Column, low: Column, high: Column, alpha: float, kp: float, kd: float, step_max: float) -> Column:
+def pd_step(state: Column, rate: Column, target: Column, low: Column, high: Column, alpha: Column, kp: Column, kd: Column, step_max: Column) -> Column:
     """The state after a step's rate: mean, error to the target, bounded move of the buff. A null rate (nothing counted) changes nothing."""
     ema = (1 - alpha) * rate + alpha * state["ema"]
     error = target - ema
@@ -43,12 +43,18 @@ def _fold(steps: DataFrame, by: list[str], start: Column, move) -> DataFrame:
     return listed.select(*by, F.inline(F.aggregate("all", first, step, lambda acc: acc["out"])))
 
 
-def pd_trace(rates: DataFrame, settings: DataFrame, by: list[str], alpha: float, kp: float, kd: float, step_max: float) -> DataFrame:
-    """rates: by, step, reading. settings: by, target, low, high, init; a small table. Groups that are never counted in a step have rate 0 there."""
+def pd_trace(rates: DataFrame, settings: DataFrame, by: list[str], alpha: float | None = None, kp: float | None = None, kd: float | None = None, step_max: float | None = None) -> DataFrame:
+    """rates: by, step, reading. settings: by, target, low, high, init and the gains that are not given here (alpha, kp, kd, step_max); a small table.
+
+    Groups that are never counted in a step have rate 0 there.
+    """
+    gains = {"alpha": alpha, "kp": kp, "kd": kd, "step_max": step_max}
+    own = [k for k, v in gains.items() if v is None]
     met = rates.join(F.broadcast(settings), by)
     start = F.struct(F.first("target").alias("ema"), F.first("init").alias("buff"), F.lit(0.0).alias("prev_error"))
-    keyed = [*by, "target", "low", "high"]
-    return _fold(met, keyed, start, lambda s, r: pd_step(s, r, F.col("target"), F.col("low"), F.col("high"), alpha, kp, kd, step_max)).drop("target", "low", "high")
+    fixed = ["target", "low", "high", *own]
+    gain = [F.col(k) if v is None else F.lit(float(v)) for k, v in gains.items()]
+    return _fold(met, [*by, *fixed], start, lambda s, r: pd_step(s, r, F.col("target"), F.col("low"), F.col("high"), *gain)).drop(*fixed)
 
 
 def entropy_trace(readings: DataFrame, floor: float, alpha: float, kp: float, kd: float, step_max: float, cap: float) -> DataFrame:
@@ -57,10 +63,39 @@ def entropy_trace(readings: DataFrame, floor: float, alpha: float, kp: float, kd
     return _fold(readings.withColumn("one", F.lit(1)), ["one"], start, lambda s, r: entropy_step(s, r, floor, alpha, kp, kd, step_max, cap)).drop("one")
 
 
-def step_rates(records: DataFrame, group: Column, groups: DataFrame, where: Column) -> DataFrame:
-    """grp, step, reading: each group's share of a step's counted rows; null in a step without any."""
-    kept = records.withColumn("grp", F.when(where, group))
-    counted = kept.groupBy("step").agg(F.count("grp").alias("total"))
-    mine = kept.where("grp is not null").groupBy("step", "grp").agg(F.count("*").alias("n"))
-    grid = counted.join(F.broadcast(groups.select("grp")), how="cross")  # steps by a handful of groups
-    return grid.join(mine, ["step", "grp"], "left").select("grp", "step", F.when(F.col("total") > 0, F.coalesce("n", F.lit(0)) / F.col("total")).alias("reading"))
+def step_rates(records: DataFrame, group: Column, groups: DataFrame, where: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, grp, step, reading: each group's share of a step's counted rows, null in a step without any. groups: by, grp; a handful.
+
+    The records are read once: counts by key first, and from these a step's total and the rates of all its groups.
+    """
+    counted = records.groupBy(*by, "step", F.when(where, group).alias("grp")).agg(F.count("*").alias("n"))
+    known = F.col("grp").isNotNull()
+    steps = counted.groupBy(*by, "step").agg(
+        F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("total"), F.map_from_entries(F.collect_list(F.when(known, F.struct("grp", "n")))).alias("counts")
+    )
+    small = F.broadcast(groups.select(*by, "grp"))
+    grid = steps.join(small, list(by)) if by else steps.join(small, how="cross")  # steps by a handful of groups
+    rate = F.coalesce(F.try_element_at("counts", F.col("grp")), F.lit(0)) / F.col("total")
+    return grid.select(*by, "grp", "step", F.when(F.col("total") > 0, rate).alias("reading"))
+
+
+STATE = "namespace string, grp string, ema double, buff double, prev_error double"
+
+
+def seeded(settings: DataFrame) -> DataFrame:
+    """STATE before the first step of a round: the mean at its target, the buff at its start, no error."""
+    return settings.select("namespace", "grp", F.col("target").alias("ema"), F.col("init").alias("buff"), F.lit(0.0).alias("prev_error"))
+
+
+def advanced(state: DataFrame, rates: DataFrame, settings: DataFrame) -> DataFrame:
+    """STATE after one step. rates: namespace, grp, reading; a group without a row or with a null reading stays."""
+    met = state.join(settings.drop("init"), ["namespace", "grp"]).join(rates.select("namespace", "grp", "reading"), ["namespace", "grp"], "left")
+    after = pd_step(F.struct("ema", "buff", "prev_error"), F.col("reading"), *[F.col(k) for k in ("target", "low", "high", "alpha", "kp", "kd", "step_max")])
+    return met.select("namespace", "grp", after.alias("s")).select("namespace", "grp", "s.ema", "s.buff", "s.prev_error")
+
+
+def with_buff(rows: DataFrame, key: Column, state: DataFrame, name: str = "buff") -> DataFrame:
+    """Rows with the buff of their key, 0 where the key is null or the state has none. state: grp, buff; one row a group, so it is broadcast."""
+    few = F.broadcast(state.select(F.col("grp").alias("__grp"), F.col("buff").alias("__buff")))
+    met = rows.withColumn("__key", key).join(few, F.col("__key") == F.col("__grp"), "left")
+    return met.withColumn(name, F.coalesce("__buff", F.lit(0.0))).drop("__key", "__grp", "__buff")

@@ -2,7 +2,8 @@
 
 Clean text is read by one anchored pattern in native expressions. Everything else goes through an Arrow function that
 reduces the text to a string with a letter for each token, reads the grammar off that string and skips to the next
-block after an error. White space between tokens is optional; digits are ASCII.
+block after an error. White space between tokens is optional and is what Unicode calls so; a candle's number may have any
+decimal digits, the digits of prices are ASCII.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,10 +24,10 @@ from candlewright.schema import ACTIONS, BIN_MAX, CANDLE, DIGITS, INPUT_CANDLES,
 TOKENS = [
     ("[", r"<chart>"),
     ("]", r"</chart>"),
-    ("O", r"<O_[0-9]+>"),
-    ("H", r"<H_[0-9]+>"),
-    ("L", r"<L_[0-9]+>"),
-    ("C", r"<C_[0-9]+>"),
+    ("O", r"<O_\d+>"),
+    ("H", r"<H_\d+>"),
+    ("L", r"<L_\d+>"),
+    ("C", r"<C_\d+>"),
     ("{", r"<think>"),
     ("}", r"</think>"),
     ("T", r"<trend>(?:UP|DOWN|RANGE)</trend>"),
@@ -46,7 +48,7 @@ TOKENS = [
     (":", r":"),
 ]
 UNKNOWN, END = "?", "$"
-_MASTER = re.compile("|".join(f"({p})" for _, p in TOKENS) + r"|([ \t\r\n\f\v]+)|([^ \t\n<]+?(?=[ \t\n<]|$)|.)", re.S)
+_MASTER = re.compile("|".join(f"({p})" for _, p in TOKENS) + r"|(\s+)|(.)", re.S)
 _SPACE = len(TOKENS) + 1
 _LETTERS = [k for k, _ in TOKENS]
 _RESUME = re.compile(r"[]{}()$]")
@@ -257,8 +259,25 @@ def parse_programs(frame: DataFrame, text: str = "text") -> DataFrame:
 
 def intended_action(completion: Column) -> Column:
     """The first action word anywhere in a completion, well-formed or not."""
-    return F.nullif(F.regexp_extract(completion, rf"\b({'|'.join(sorted(ACTIONS, key=len, reverse=True))})\b", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(completion, rf"(?U)\b({'|'.join(sorted(ACTIONS, key=len, reverse=True))})\b", 1), F.lit(""))
 
 
 def assembled(prompt: Column, completion: Column) -> Column:
     return F.concat_ws(" ", prompt, completion)
+
+
+def token_kinds(frame: DataFrame, text: str = "text") -> DataFrame:
+    """kinds: a letter of TOKENS for each token of the text, ``?`` for a stretch that is none; null counts as empty."""
+    ship(frame.sparkSession)
+
+    @F.pandas_udf("string")
+    def kinds(texts: pd.Series) -> pd.Series:
+        return texts.fillna("").map(lambda t: lex(t)[0][:-1])
+
+    return frame.withColumn("kinds", kinds(F.col(text)))
+
+
+def kind_counts(frame: DataFrame, text: str, *by: str) -> DataFrame:
+    """by, kind, n: how many tokens of each kind the texts hold."""
+    letters = token_kinds(frame, text).select(*by, F.explode(F.split("kinds", "")).alias("kind")).where("kind <> ''")
+    return letters.groupBy(*by, "kind").agg(F.count("*").alias("n"))

@@ -48,18 +48,48 @@ def count_by(records: DataFrame, key: Column, where: Column, since: int | None =
 
 
 def funnel(records: DataFrame) -> DataFrame:
-    """Of each task: rows, share well-formed, share past the semantic gate."""
+    """Of each task: rows, share well-formed, share of those past the semantic gate."""
+    wf = F.col("well_formed")
     return records.groupBy("task_id").agg(
-        F.count("*").alias("n"), F.avg(F.col("well_formed").cast("double")).alias("well_formed"), F.avg(F.coalesce("semantic_passed", F.lit(False)).cast("double")).alias("semantic")
+        F.count("*").alias("n"), F.avg(wf.cast("double")).alias("well_formed"), F.avg(F.when(wf, F.coalesce("semantic_passed", F.lit(False)).cast("double"))).alias("semantic")
     )
 
 
+def task_counts(records: DataFrame, task: str, key: Column, where: Column, groups: tuple[str, ...]) -> DataFrame:
+    """grp, n, ratio of a task's counted rows for every group, 0 where it has none. key: an action, or whether there is a zone by name."""
+    spark = records.sparkSession
+    counted = records.where((F.col("task_id") == task) & where).groupBy(key.alias("grp")).agg(F.count("*").alias("n")).where("grp is not null")
+    listed = spark.createDataFrame([(g,) for g in groups], "grp string").join(counted, "grp", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return listed.withColumn("ratio", F.coalesce(F.try_divide("n", F.sum("n").over(Window.partitionBy(F.lit(1)))), F.lit(0.0)))  # one row a group
+
+
+def eval_records(parsed: DataFrame, outcome: Column, fee_bins: float) -> DataFrame:
+    """Parsed and judged programs as evaluation rows. Past both gates means well-formed, no rule broken and an outcome that stands; the stop's distance is not asked.
+
+    semantic_passed is null where the text is not well-formed; status and r_multiple are null unless all gates are passed; r_net is after the fee.
+    """
+    wf = F.col("well_formed")
+    out = parsed.withColumn("__outcome", outcome).withColumn("semantic_passed", F.when(wf, F.col("semantic_passed") & F.col("__outcome.valid")))
+    kept, risk = F.col("semantic_passed"), F.abs(F.col("current_price_bin") - F.col("sl"))
+    fee = F.when(F.col("action_type").isin("BUY", "SELL") & (risk > 0), F.lit(fee_bins) / risk).otherwise(0.0)
+    out = out.withColumns({"status": F.when(kept, F.col("__outcome.status")), "r_multiple": F.when(kept, F.col("__outcome.r_multiple"))})
+    return out.withColumn("r_net", F.col("r_multiple") - fee).drop("__outcome")
+
+
+def eval_rates(records: DataFrame) -> DataFrame:
+    """One row: rows, share well-formed, share of these past the semantic gate, the same share of all."""
+    n, wf, ok = F.count("*"), F.count_if("well_formed"), F.count_if(F.coalesce(F.col("well_formed") & F.col("semantic_passed"), F.lit(False)))
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return records.agg(n.alias("n"), share(wf, n).alias("well_form_rate"), share(ok, wf).alias("semantic_rate_given_well_formed"), share(ok, n).alias("semantic_rate"))
+
+
 def eval_summary(records: DataFrame) -> DataFrame:
-    """Each trend and action, and all (both null): count, gross and net mean R, share of each status among rows with an outcome."""
+    """Of rows past both gates, each trend and action, and all (both null): count, gross and net mean R, share of each status among rows with one."""
+    kept = records.where("well_formed and semantic_passed and trend is not null and action_type is not null")
     has = F.col("status").isNotNull()
     share = lambda s: F.avg(F.when(has, (F.col("status") == s).cast("double"))).alias(s.lower())
     return (
-        records.groupingSets([("trend", "action_type"), ()], "trend", "action_type")
+        kept.groupingSets([("trend", "action_type"), ()], "trend", "action_type")
         .agg(
             F.grouping_id().alias("level"), F.count("*").alias("n"), F.avg("r_multiple").alias("gross_r"), F.avg("r_net").alias("net_r"),
             share("WIN"), share("LOSS"), share("TIMEOUT"),
@@ -67,8 +97,35 @@ def eval_summary(records: DataFrame) -> DataFrame:
     )
 
 
+def report_lines(stats: DataFrame) -> DataFrame:
+    """trend, line: the printed report of trend_action's rows, a line an action, in order of trend and action; a dash stands for what there is not."""
+    def shown(c: str, places: int, k: int = 1) -> Column:
+        return F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.format_string(f"%.{places}f", F.round(F.round(F.col(c) * k, 6), places)))
+
+    line = F.concat_ws(
+        "  ", F.rpad("action_type", 12, " "), F.concat(F.lit("count="), F.col("n").cast("string")), F.concat(F.lit("freq="), shown("share", 1, 100), F.lit("%")),
+        F.concat(F.lit("avg_R="), shown("avg_r", 2)), F.concat(F.lit("win_rate="), shown("win_rate", 0, 100)), F.concat(F.lit("avg_RR="), shown("avg_rr", 2)),
+    )
+    return stats.orderBy("trend", "action_type").select("trend", "action_type", line.alias("line"))
+
+
+def plot_table(programs: DataFrame, target: Column) -> DataFrame:
+    """What a chart of a valid decision draws, a row a candle: window_id, i, its prices, rising, and the levels (zone, price, stop, target) on every row; rows of others are left out."""
+    trade = F.col("action_type").isin("BUY", "SELL")
+    levels = [F.col("zone_lower"), F.col("zone_upper"), F.col("current_price_bin").alias("price"), F.when(trade, F.col("sl")).alias("sl"), F.when(trade, target).alias("target")]
+    kept = programs.where("well_formed and semantic_passed")
+    rows = kept.select(*[c for c in ("window_id", "k") if c in kept.columns], *levels, F.posexplode("candles").alias("i", "c"))
+    return rows.select("*", F.col("c.o").alias("o"), F.col("c.h").alias("h"), F.col("c.l").alias("l"), F.col("c.c").alias("close"), (F.col("c.c") >= F.col("c.o")).alias("rising")).drop("c")
+
+
 def entropy(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """Shannon entropy (nats) of a value within each group."""
     counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
     p = F.col("__c") / F.sum("__c").over(Window.partitionBy(*by))
     return counted.withColumn("__p", p).groupBy(*by).agg((-F.sum(F.col("__p") * F.ln("__p"))).alias("entropy"), F.sum("__c").alias("n"))
+
+
+def entropy_readings(rows: DataFrame, value: str, prompt: str, step: str = "step", least: int = 2) -> DataFrame:
+    """step, reading: the mean over a step's prompts of the entropy of their values. Prompts with fewer than ``least`` values give no reading."""
+    each = entropy(rows, value, step, prompt).where(F.col("n") >= least)
+    return each.groupBy(step).agg(F.avg("entropy").alias("reading"))

@@ -84,15 +84,64 @@ def gate_score() -> Column:
     return F.when(~F.col("well_formed"), F.col("wf_score")).when(~F.col("semantic_passed"), WELL_FORMED + F.col("semantic_score")).otherwise(F.lit(GATE_PASSED))
 
 
-def rr_entropy(rows: DataFrame, group: str, eligible: Column, strength: float = 0.0) -> DataFrame:
-    """entropy (nats) of rr over a group's eligible rows and each such row's bonus, strength * -ln p. Groups under two rows have none.
+def rr_entropy(rows: DataFrame, group: str, eligible: Column, strength: Column | float = 0.0) -> DataFrame:
+    """entropy (nats) of rr over a group's eligible rows and each such row's bonus, strength * -ln of its rr's share. Groups under two rows have none.
 
     Two sums by key instead of a scan of each group; no self-join.
     """
     ok = F.coalesce(eligible & F.col("rr").isNotNull(), F.lit(False))
     n = F.count(F.when(ok, 1)).over(Window.partitionBy(group))
     same = F.count(F.when(ok, 1)).over(Window.partitionBy(group, "rr"))
-    p = same / n
-    out = rows.withColumns({"__p": F.when(ok & (n >= 2), p), "__n": n})
+    given = strength if isinstance(strength, Column) else F.lit(float(strength))
+    out = rows.withColumns({"__p": F.when(ok & (n >= 2), same / n), "__n": n})
     entropy = F.sum(-F.ln("__p") / F.col("__n")).over(Window.partitionBy(group))
-    return out.withColumns({"entropy": entropy, "bonus": F.coalesce(-F.ln("__p") * strength, F.lit(0.0))}).drop("__p", "__n")
+    return out.withColumns({"entropy": entropy, "bonus": F.coalesce(-F.ln("__p") * given, F.lit(0.0))}).drop("__p", "__n")
+
+
+def shaped(rows: DataFrame, group: str, eligible: Column, strength: Column | float) -> DataFrame:
+    """Rows with entropy, bonus, and the reward with the bonus added.
+
+    Round one's eligible rows are passed trades; round two's are rows of the action task whose gate is passed, with an rr, stops out of place included.
+    """
+    return rr_entropy(rows, group, eligible, strength).withColumn("reward", F.col("reward") + F.col("bonus"))
+
+
+def pass_margins(rounds: DataFrame) -> DataFrame:
+    """Of each round and group: the least reward of a pass (worst), the greatest of a failure, and whether the pass wins. One row a round and group:
+    pass_bonus, zone_scale, sl_bonus, fee_bins, sl_least (the least stop distance), grp, low (the least buff)."""
+    zone = F.when(F.col("grp") == "HOLD", 0.0).otherwise(-F.col("zone_scale"))
+    trade = F.when(F.col("grp").isin("BUY", "SELL"), -1 - F.col("fee_bins") / F.col("sl_least")).otherwise(0.0)
+    out = rounds.withColumns({"worst": F.col("pass_bonus") + zone + trade + F.col("low"), "best_failure": GATE_PASSED + F.col("sl_bonus")})
+    return out.withColumn("holds", F.col("worst") > F.col("best_failure"))
+
+
+def eligible_two() -> Column:
+    """Round two's rows for shaping: the action task, past both gates of the text."""
+    return (F.col("task_id") == "action") & F.col("well_formed") & F.col("semantic_passed")
+
+
+def buff_key_two() -> Column:
+    """The buff that a row of round two may have: by action in the action task, by zone in the other."""
+    return F.when(F.col("task_id") == "zone", F.when(F.col("zone_direction").isNotNull(), "HAS_ZONE").otherwise("NO_ZONE")).otherwise(F.col("action_type"))
+
+
+def reward_function(spark, config, buffs: DataFrame | None = None, strength: float = 0.0):
+    """A callable for trainers: (prompts, completions, future_bins, task_id=None, **others) -> rewards, in order. The batch becomes a DataFrame of its own."""
+    from candlewright.operators import control, language
+    from candlewright.operators.semantics import with_semantics
+
+    def score(prompts, completions, future_bins, task_id=None, **_) -> list[float]:
+        tasks = task_id if task_id is not None else [None] * len(prompts)
+        data = [(i, p, c, [list(map(int, b)) for b in f], t) for i, (p, c, f, t) in enumerate(zip(prompts, completions, future_bins, tasks, strict=True))]
+        batch = spark.createDataFrame(data, "i long, prompt string, completion string, bins array<array<int>>, task_id string")
+        rows = batch.withColumns({"future": future_candles(F.col("bins")), "text": language.assembled(F.col("prompt"), F.col("completion"))})
+        rows = with_semantics(language.parse_programs(rows), *config.zone_width)
+        two = isinstance(config, RoundTwo)
+        buff = None
+        if buffs is not None:
+            rows, buff = control.with_buff(rows, buff_key_two() if two else action_group(F.col("action_type")), buffs, "__b"), F.col("__b")
+        scored = reward_two(rows, config, buff) if two else reward_one(rows, config, buff=buff)
+        out = shaped(scored, "prompt", eligible_two() if two else F.col("passed"), strength)
+        return [r.reward for r in out.select("i", "reward").orderBy("i").collect()]
+
+    return score

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,17 +16,17 @@ def touches(candles: Column, lower: Column, upper: Column, lookback: int = TOUCH
     return F.exists(last, lambda c: (c["l"] <= upper) & (c["h"] >= lower))
 
 
-def violations(min_width: int = 5, max_width: int = 20) -> Column:
-    """Rule names in order: guard alone where a needed part is missing, else trend_zone, side, width, price_in_zone, action."""
-    trend, price, action = F.col("trend"), F.col("current_price_bin"), F.col("action_type")
-    side, lo, hi = F.col("zone_direction"), F.col("zone_lower"), F.col("zone_upper")
-    claimed = F.coalesce("price_in_zone", F.lit(False))
+def violations(min_width: int = 5, max_width: int = 20, field: Callable[[str], Column] = F.col) -> Column:
+    """Rule names in order: guard alone where a needed part is missing, else trend_zone, side, width, price_in_zone, action. field: where a program's parts are found."""
+    trend, price, action, candles = field("trend"), field("current_price_bin"), field("action_type"), field("candles")
+    side, lo, hi = field("zone_direction"), field("zone_lower"), field("zone_upper")
+    claimed = F.coalesce(field("price_in_zone"), F.lit(False))
     zone = side.isNotNull()
-    guard = F.col("candles").isNull() | (F.size("candles") <= 0) | trend.isNull() | price.isNull() | action.isNull()
+    guard = candles.isNull() | (F.size(candles) <= 0) | trend.isNull() | price.isNull() | action.isNull()
     trend_zone = ((trend == "UP") & ~F.coalesce(side == "support", F.lit(False))) | ((trend == "DOWN") & ~F.coalesce(side == "resistance", F.lit(False)))
     wrong_side = zone & F.when(side == "support", lo > price).otherwise(hi < price)
     width = zone & ~(hi - lo).between(min_width, max_width)
-    inside = price.between(lo, hi) | touches(F.col("candles"), lo, hi)
+    inside = price.between(lo, hi) | touches(candles, lo, hi)
     in_zone = F.when(zone, inside != claimed).otherwise(claimed)
     # without a zone only RANGE with another action than HOLD breaks the rule; the other trends already broke the first
     wrong_action = (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -116,3 +118,59 @@ def padded(rows: DataFrame, batch: str, multiple: int = 1) -> DataFrame:
         F.concat(F.transform("input_ids", lambda x: F.lit(1)), F.array_repeat(F.lit(0), F.col("__m"))).alias("attention_mask"),
         F.concat("labels", F.array_repeat(F.lit(LABEL_PAD), F.col("__m"))).alias("labels"),
     )
+
+
+def prompt_ids(prompt: Column, max_length: int) -> tuple[Column, Column, Column]:
+    """prompt_input_ids (no ends, cut to max_length), prompt_length, and whether it was cut."""
+    ids = encode(prompt, "plain")
+    return F.slice(ids, 1, max_length), F.least(F.size(ids), F.lit(max_length)), F.size(ids) > max_length
+
+
+def prompt_violations(raw: DataFrame, mapped: DataFrame, key: str) -> DataFrame:
+    """Tokenised prompts that break a rule, over all rows: missing on a side, or neither the prompt nor a start of it. raw: key, prompt; mapped: key, prompt_input_ids."""
+    met = raw.select(key, "prompt").join(mapped.select(key, "prompt_input_ids"), key, "full_outer")
+    back, whole = decode(F.col("prompt_input_ids")), F.concat_ws(" ", _words(F.col("prompt")))
+    rule = F.when(F.col("prompt").isNull(), "no_raw").when(F.col("prompt_input_ids").isNull(), "no_mapped").when(~F.startswith(whole, back), "prompt")
+    return met.select(key, rule.alias("violation")).where("violation is not null")
+
+
+def collated(rows: DataFrame, mode: str, pretrain: bool, batch: str, max_length: int | None = 512, multiple: int = 1) -> DataFrame:
+    """Padded batches of training rows. mode on_the_fly: prompt and completion, encoded here; pre_tokenized: input_ids and labels as stored.
+
+    pretrain: the labels are the ids, stored labels are passed over; else the prompt is masked.
+    """
+    if mode == "on_the_fly":
+        full = encode(F.concat_ws(" ", "prompt", "completion"))
+        ids, masked = labels(F.col("prompt"), full, max_length or 1 << 30)
+        rows = rows.withColumns({"input_ids": ids, "labels": masked}).drop("prompt", "completion")
+    elif mode != "pre_tokenized":
+        raise ValueError(f"unknown mode: {mode}")
+    return padded(rows.withColumn("labels", F.col("input_ids")) if pretrain else rows, batch, multiple)
+
+
+def in_batches(rows: DataFrame, size: int, by: str, *order: str) -> DataFrame:
+    """batch (by/number): rows in order, ``size`` to a batch, numbered within each value of ``by``; a batch spans no two of them."""
+    n = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
+    return rows.withColumn("batch", F.concat_ws("/", F.col(by).cast("string"), F.floor(n / size).cast("string")))
+
+
+def seeded_sample(rows: DataFrame, size: int, seed: int, *key: str) -> DataFrame:
+    """``size`` rows without replacement, drawn by md5 of key and seed: the same rows on every run, in any engine."""
+    return rows.orderBy(F.md5(F.concat_ws("|", *key, F.lit(str(seed)))), *key).limit(size)
+
+
+def write_vocabulary(spark: SparkSession, path: str) -> None:
+    vocabulary_frame(spark).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_vocabulary(spark: SparkSession, path: str, fallback: bool = True) -> DataFrame:
+    """grp, token, id as stored; where nothing can be read, the computed vocabulary with a warning, or the error."""
+    from pyspark.errors import PySparkException
+
+    try:
+        return spark.read.parquet(path).select("grp", "token", F.col("id").cast("int").alias("id"))
+    except PySparkException as error:
+        if not fallback:
+            raise
+        warnings.warn(f"no vocabulary at {path} ({type(error).__name__}): computed anew", stacklevel=2)
+        return vocabulary_frame(spark)

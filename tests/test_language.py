@@ -57,8 +57,7 @@ def test_golden_cases(spark):
     frame = spark.createDataFrame([(k, v[0]) for k, v in CASES.items()], "name string, text string")
     out = {r.name: r for r in semantics.with_semantics(language.parse_programs(frame)).collect()}
     for name, (_, score, found) in CASES.items():
-        if name != "no blanks":
-            assert out[name].wf_score == pytest.approx(score), name
+        assert out[name].wf_score == pytest.approx(score), name
         assert out[name].well_formed == (out[name].n_structural + out[name].n_value == 0)
         if found is not None:
             assert out[name].violations == found, name
@@ -94,3 +93,19 @@ def test_intended_action(spark):
 
 def test_unknown_text_is_one_token():
     assert language.lex("foo bar<baz SL:")[0] == "???l$"
+
+
+def test_unicode_space_and_digits(spark):
+    wide = CLEAN.replace(" <think>", "\u00a0<think>").replace("</think> ", "</think>\u2003")
+    digit = CLEAN.replace("<O_500>", "<O_\u0665\u0660\u0660>")
+    frame = spark.createDataFrame([("wide", wide), ("digit", digit)], "name string, text string")
+    for r in language.parse_programs(frame).collect():
+        assert r.well_formed and r.candles[0].o == 500, r.name
+    words = spark.createDataFrame([("\u00e9BUY",), ("BUY\u00a0",)], "c string")
+    assert [r[0] for r in words.select(language.intended_action(F.col("c"))).collect()] == [None, "BUY"]
+
+
+def test_kind_counts(spark):
+    frame = spark.createDataFrame([("a", CLEAN), ("a", None), ("b", "what <O_1>SL:")], "name string, text string")
+    got = {(r.name, r.kind): r.n for r in language.kind_counts(frame, "text", "name").collect()}
+    assert got["a", "O"] == got["a", "C"] == 50 and got["b", "?"] == got["b", "O"] == got["b", "l"] == 1 and ("a", "?") not in got

@@ -88,14 +88,16 @@ def test_binary_and_stop_rules(spark):
         assert r.ok == r.got
 
 
-def test_ema_with_gaps(spark):
+@pytest.mark.parametrize("span", [1, 2, 3, 14, 100])
+def test_ema_with_gaps(spark, span):
     rng = random.Random(8)
-    values = [None, None] + [rng.choice([None, rng.random() * 10, rng.random() * 10]) for _ in range(400)]
-    frame = spark.createDataFrame([("s", i, v) for i, v in enumerate(values)], "symbol string, ts int, v double")
-    got = [r.e for r in bars.with_ema(frame, "v", 14, "e").orderBy("ts").collect()]
-    want = pd.Series(values, dtype=float).ewm(span=14, adjust=False).mean().tolist()
+    values = [None, None] + [rng.choice([None, rng.random() * 10, rng.random() * 10]) for _ in range(400)] + [None] * 300 + [1.0, 0.0, None, 3.0] + [0.5] * 900
+    frame = spark.createDataFrame([("s", i, v) for i, v in enumerate(values)] + [("none", 0, None)], "symbol string, ts int, v double")
+    got = [r.e for r in bars.with_ema(frame, "v", span, "e").where("symbol = 's'").orderBy("ts").collect()]
+    want = pd.Series(values, dtype=float).ewm(span=span, adjust=False).mean().tolist()
     for a, b in zip(got, want, strict=True):
         assert (a is None and math.isnan(b)) or a == pytest.approx(b, rel=1e-9)
+    assert bars.with_ema(frame, "v", span, "e").where("symbol = 'none'").first().e is None
 
 
 def test_quantise_halves_go_to_even(spark):
@@ -152,12 +154,41 @@ def test_sources(spark, tmp_path):
 
 
 def test_presets(tmp_path):
-    presets.save(presets.ROUND1, str(tmp_path / "r.json"))
-    assert presets.load(presets.RoundOne, str(tmp_path / "r.json")) == presets.ROUND1
-    assert presets.ROUND1.target("WAIT") == pytest.approx(0.19)
+    path = str(tmp_path / "deep" / "r.json")
+    for config in (presets.ROUND1, presets.ROUND2, presets.ROUND1_V2):
+        presets.save(config, path)
+        assert presets.load(type(config), path) == config
+        flat = json.loads((tmp_path / "deep" / "r.json").read_text())
+        assert all(not isinstance(v, (dict, list)) for v in flat.values())
+    assert flat["action_wait_sell_target_ratio"] == 0.19 and flat["zone_no_zone_buff_max"] == 0.3
+    presets.save(presets.ROUND1, path)
+    flat = json.loads((tmp_path / "deep" / "r.json").read_text())
+    assert flat["buff_step_max"] == 0.0005 and flat["wait_buff_min"] == 0.0 and flat["sl_max_dist_bins"] == 20
+
+    def loaded(**changed):
+        (tmp_path / "x.json").write_text(json.dumps({k: v for k, v in (flat | changed).items() if v != "gone"}))
+        return presets.load(presets.RoundOne, str(tmp_path / "x.json"))
+
+    assert loaded(buy_buff_init="gone", comment="more").init["BUY"] == 0.15
+    assert loaded(round_id=7, buff_kp="0.5").gain.kp == 0.5
+    with pytest.raises(ValueError, match="missing keys: sl_min_dist_bins, target_buy_ratio"):
+        loaded(sl_min_dist_bins="gone", target_buy_ratio="gone")
+    for wrong, said in [
+        ({"target_buy_ratio": 0.9}, "targets sum"), ({"buy_buff_min": 0.5}, "BUY: 0.5 is above"), ({"hold_buff_init": 0.2}, "HOLD: init"), ({"ema_alpha": 1.0}, "alpha"), ({"buff_kd": -1}, "kd"),
+        ({"rr_entropy_floor": -1}, "floor"), ({"rr_entropy_ema_alpha": 1}, "entropy: alpha"), ({"rr_entropy_bonus_cap": -1}, "cap"), ({"zone_score_scale": -1}, "zone_scale"), ({"trade_fee_bins": -1}, "fee_bins"),
+        ({"sl_min_dist_bins": 0}, "least stop"), ({"pass_gate2_bonus": 3.1}, "BUY: the worst pass"), ({"pass_gate2_bonus": 2.3, "buy_buff_min": 2, "buy_buff_max": 2, "buy_buff_init": 2, "sell_buff_min": 2, "sell_buff_max": 2, "sell_buff_init": 2, "zone_score_scale": 0.2}, "CANCEL: the worst"),
+    ]:
+        with pytest.raises(ValueError, match=said):
+            loaded(**wrong)
+    assert presets.ROUND1.worst_pass("BUY") == pytest.approx(4.5 - 1 - 0.13 + 0.15) and presets.ROUND1.best_failure == pytest.approx(2.2)
+    with pytest.raises(ValueError, match="targets sum to"):
+        presets.RoundTwo(**{**presets.ROUND1_V2.__dict__, "targets": dict.fromkeys(presets.ACTION_GROUPS, 0.2)})
+    with pytest.raises(ValueError, match="entry_weight"):
+        presets.RoundTwo(**{**presets.ROUND1_V2.__dict__, "entry_weight": 3})
+    assert presets.ROUND1.target("WAIT") == pytest.approx(0.19) and len(presets.settings(presets.ROUND1_V2)) == 9
     (tmp_path / "bad.json").write_text('{"round_id": "x"}')
-    with pytest.raises(ValueError, match="missing keys: init, ranges, targets"):
-        presets.load(presets.RoundOne, str(tmp_path / "bad.json"))
+    with pytest.raises(ValueError, match="missing keys"):
+        presets.load(presets.RoundTwo, str(tmp_path / "bad.json"))
     with pytest.raises(FileNotFoundError):
         presets.load(presets.RoundOne, str(tmp_path / "none.json"))
     assert dataset.round_seed("round1") < 1 << 31
