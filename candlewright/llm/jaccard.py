@@ -30,16 +30,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewright.llm import textscan as ts
 from candlewright.llm.components import components
-from candlewright.llm.runtime import Scratch, batches, column, slices
+from candlewright.llm.runtime import Scratch, batches, column, slices, small
 
 DENSE, CHUNK, LONGEST = 24, 2048, 6
-#: Pairs for each row that a block may leave to be verified by key; a block with more verifies them itself. Bytes of whole sets on a block's side.
-THIN, BLOCK_BYTES = 4, 16_000_000
+#: Pairs for each row that has one that a block may leave to be verified by key; a block with more verifies them itself. Bytes of whole sets on a block's side.
+THIN, BLOCK_BYTES = 1, 16_000_000
 #: Classes up to which their sizes and prefix lengths are broadcast (40 bytes each).
 BROADCAST_SIZED = 200_000
 #: A token is common if COMMON_LEAST rows gave it, and one row in COMMON; there can be no more of these than COMMON times the
@@ -101,44 +102,42 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ts.signed(flat.astype(np.uint64))))
 
 
-def _set_key(tokens: np.ndarray) -> int:
-    import xxhash
+def _set_key(tokens: np.ndarray, seed: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(tokens.tobytes(), seed) - (1 << 63)
 
-    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
-
-def first_reading(documents: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, mark (hash of the text), node (hash of the set, null if empty), n, low (the lowest tokens)."""
+def first_reading(documents: DataFrame, size: int, percent: int, seed: int = 0) -> DataFrame:
+    """doc_id, mark (hash of the text), node (hash of the set, null if empty), check (another hash of it), n, low (the lowest tokens)."""
 
     def step(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            node, n, low = [], [], []
+            node, check, n, low = [], [], [], []
             texts = column(batch, "text")
             for a, b in slices(texts):
                 for tokens in row_sets(texts.slice(a, b - a), size):
                     k = len(tokens)
                     n.append(k)
-                    node.append(_set_key(tokens) if k else None)
+                    node.append(_set_key(tokens, seed) if k else None)
+                    check.append(_set_key(tokens, ~seed & 0xFFFF) if k else None)
                     low.append(tokens[: window_size(k, percent)])
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), column(batch, "mark"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), _lists(low)],
-                ["doc_id", "mark", "node", "n", "low"],
+                [column(batch, "doc_id"), column(batch, "mark"), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(n, pa.int64()), _lists(low)],
+                ["doc_id", "mark", "node", "check", "n", "low"],
             )
 
     asked = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text")
-    return batches(asked, step, "doc_id long, mark long, node long, n long, low array<long>")
+    return batches(asked, step, "doc_id long, mark long, node long, check long, n long, low array<long>")
 
 
 def chosen_texts(documents: DataFrame, chosen: DataFrame) -> DataFrame:
     """node, text of the row (or rows, where they repeat) that stands for each chosen class: found by doc_id and text, so that a row meets one class at most."""
     ids = chosen.select("rep.doc_id", F.col("rep.mark").alias("m"), "node")
-    small = chosen.count() <= BROADCAST_IDS
     texts = documents.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("mark"), "text")
     same = (F.col("mark") == F.col("m")) & F.col("d").eqNullSafe(F.col("doc_id"))
-    return texts.join(F.broadcast(ids) if small else ids, same).select("node", "text")
+    return texts.join(F.broadcast(ids) if chosen.count() <= BROADCAST_IDS else ids, same).select("node", "text")
 
 
-def second_reading(documents: DataFrame, chosen: DataFrame, size: int, percent: int, common: np.ndarray) -> DataFrame:
+def second_reading(documents: DataFrame, chosen: DataFrame, size: int, percent: int, common: np.ndarray, seed: int = 0) -> DataFrame:
     """node, n, shape (token counts by bucket), heads (the longest prefix), tokens (ordered) of the chosen classes, from the text of one document each (from one in each task, where rows repeat)."""
     spark = documents.sparkSession
     last = spark.sparkContext.broadcast(common)
@@ -152,7 +151,7 @@ def second_reading(documents: DataFrame, chosen: DataFrame, size: int, percent:
             node, n, shapes, heads, lists = [], [], [], [], []
             for a, b in slices(texts):
                 for i, tokens in enumerate(row_sets(texts.slice(a, b - a), size), a):
-                    if wanted[i] in told or not len(tokens) or _set_key(tokens) != wanted[i]:
+                    if wanted[i] in told or not len(tokens) or _set_key(tokens, seed) != wanted[i]:
                         continue  # a repeated row, or another text of the same hash
                     told.add(wanted[i])
                     if len(order):
@@ -244,7 +243,7 @@ def _products(left: pd.DataFrame, right: pd.DataFrame, same: bool, name: str) ->
 
 
 def _open_block(percent: int):
-    """Pairs of a block that prefixes and shapes don't rule out; of a block with more than THIN a row, the rows (v null) that have some."""
+    """Pairs of a block that prefixes and shapes don't rule out; of a block with more than THIN for each row that has one, these rows (v null)."""
 
     def work(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         pivot = np.uint64(np.int64(key[0]).view(np.uint64))
@@ -274,8 +273,8 @@ def _open_block(percent: int):
                 ask[a, at] = (most >= least[a, at]) | (shape_a[a].max() >= _MOST)
         u, v = np.nonzero(ask)
         id_a, id_b = left["node"].to_numpy(), right["node"].to_numpy()
-        if len(u) > THIN * len(part):
-            names = np.unique(np.concatenate([id_a[u], id_b[v]]))
+        names = np.unique(np.concatenate([id_a[u], id_b[v]]))
+        if len(u) > THIN * len(names):
             out = {"u": names, "v": pd.array([None] * len(names), dtype="Int64")}
         else:
             out = {"u": id_a[u], "v": pd.array(id_b[v], dtype="Int64")}
@@ -308,7 +307,7 @@ def _thick_block(percent: int):
 
 def _among(table: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of the nodes in ids, which are broadcast while they are few."""
-    return table.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node", "left_semi")
+    return table.join(small(ids, BROADCAST_IDS), "node", "left_semi")
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -349,8 +348,8 @@ def _blocks(groups: DataFrame, found: DataFrame, sized: DataFrame) -> DataFrame:
     Members of the pivot's component (the core) are connected already, so they meet only the rest, and the rest meets all.
     """
     tagged = groups.join(found, "node", "left").select("pivot", "node", F.coalesce("component", "node").alias("comp"))
-    lead = tagged.where("pivot = node").select("pivot", F.col("comp").alias("lead"))
-    tagged = tagged.join(lead, "pivot").withColumn("core", F.col("comp") == F.col("lead")).drop("lead").join(sized.select("node", "n"), "node")
+    lead = tagged.where("pivot = node").select("pivot", F.col("comp").alias("lead"))  # a row a pivot; their members are many, so they stay where they are
+    tagged = tagged.join(small(lead, BROADCAST_SIZED), "pivot").withColumn("core", F.col("comp") == F.col("lead")).drop("lead").join(sized.select("node", "n"), "node")
 
     def chunks(of: Column) -> Column:
         n = F.when(of, F.col("n"))
@@ -369,7 +368,7 @@ def _blocks(groups: DataFrame, found: DataFrame, sized: DataFrame) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: block(0, F.least(chunk, r), F.greatest(chunk, r))),
     )
     return (
-        tagged.join(dealt, "pivot")
+        tagged.join(small(dealt, BROADCAST_SIZED), "pivot")
         .withColumn("chunk", F.pmod(F.xxhash64("node"), F.when(core, F.col("cores")).otherwise(F.col("rests"))).cast("int"))
         .withColumn("block", F.explode(F.when(core, of_core).otherwise(of_rest)))
         .select("pivot", "block.*", "chunk", "core", "comp", "node")
@@ -393,14 +392,17 @@ def linked_components(sets: DataFrame, percent: int, scratch: Scratch) -> DataFr
         .select("node", "n", "x", (F.col("x") - F.col("head") + 1).alias("need"), F.element_at("heads", F.col("x")).alias("edge"))
     )
     sized = scratch.table(sized, "sized")
-    small = F.broadcast(sized) if sized.count() <= BROADCAST_SIZED else sized
-    spots = spots.join(small, "node").where("pos < x")
+    held = spots
+    spots = spots.join(small(sized, BROADCAST_SIZED), "node").where("pos < x")
     groups = scratch.table(_pivot_groups(spots.where(f"holders >= {DENSE}").select("token", "node")), "groups")
     star = groups.where("pivot <> node").select(F.least("pivot", "node").alias("node"), F.greatest("pivot", "node").alias("node2")).distinct()
     rare = _rare_pairs(spots.where(f"holders < {DENSE}").select("token", "node", "n", "x", "need", "edge"), percent)
-    pairs = scratch.table(_plausible(scratch.table(rare.unionByName(star).distinct(), "asked"), sets, percent), "pairs")
+    asked = scratch.table(rare.unionByName(star).distinct(), "asked")
+    scratch.drop(held)
+    pairs = scratch.table(_plausible(asked, sets, percent), "pairs")
     links = scratch.table(_linked(pairs, sets, percent), "sure")
     found = scratch.table(components(links, scratch), "found")
+    scratch.drop(asked, pairs, links)
 
     blocks = scratch.table(_blocks(groups, found, sized), "blocks")
     if blocks.isEmpty():
@@ -416,7 +418,9 @@ def linked_components(sets: DataFrame, percent: int, scratch: Scratch) -> DataFr
         whole = _among(sets.select("node", "n", "tokens"), thick.select("node").distinct())
         met = blocks.join(thick, ["node", "pivot", "kind", "i", "j"], "left_semi").join(whole, "node")
         more = more.unionByName(met.groupBy("pivot", "kind", "i", "j").applyInPandas(_thick_block(percent), "u long, v long"))
-    return components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), scratch)
+    out = scratch.table(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), scratch), "found")
+    scratch.drop(sized, groups, blocks, left, thin, found)
+    return out
 
 
 def _pivot_groups(many: DataFrame) -> DataFrame:
@@ -436,9 +440,14 @@ def _given(read: DataFrame) -> DataFrame:
 def _groups(documents: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """doc_id, n, node of each row; node, component of each class; component, rep (its row of the least doc_id, then mark; null ids last)."""
     scratch = Scratch(documents.sparkSession)
-    read = scratch.table(first_reading(documents, size, percent), "first")
     rep = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
-    classes = read.where("node is not null").groupBy("node").agg(F.min(rep).alias("rep"), F.first("n").alias("n"))
+    for seed in range(64):
+        read = scratch.table(first_reading(documents, size, percent, seed), "first")
+        classes = read.where("node is not null").groupBy("node").agg(F.min(rep).alias("rep"), F.first("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"))
+        classes = scratch.table(classes, "classes")
+        if classes.where("low <> high").isEmpty():
+            break
+        scratch.drop(read, classes)  # two sets have one hash: other hashes
     rows = read.count()
     given = _given(read)
     alone, often = F.col("a") == F.col("b"), F.col("given") >= max(COMMON_LEAST, rows // COMMON)
@@ -452,19 +461,20 @@ def _groups(documents: DataFrame, size: int, percent: int) -> tuple[DataFrame, D
     common = np.sort(told.where("kind = 1").select("name").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
     given_size, least = _matches(F.col("n"), percent)
     first_alone = told.where("kind = 0").select(F.col("name").alias("node"), "alone")
-    classes = scratch.table(classes.join(first_alone, "node", "left"), "classes")
-    stayed = classes.where(given_size - F.coalesce("alone", F.lit(0)) >= least).drop("alone")
-    ids = stayed.select("node")
-    among = read.join(F.broadcast(ids) if stayed.count() <= BROADCAST_IDS else ids, "node", "left_semi")
-    again = _given(among).where(alone).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("alone"))
+    stayed = classes.join(first_alone, "node", "left").where(given_size - F.coalesce("alone", F.lit(0)) >= least).select("node", "n", "rep")
+    stayed = scratch.table(stayed, "stayed")
+    scratch.drop(told)
+    again = _given(_among(read, stayed.select("node"))).where(alone).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("alone"))
     chosen = stayed.join(again, "node", "left").where(given_size - F.coalesce("alone", F.lit(0)) >= least).select("node", "rep")
     chosen = scratch.table(chosen, "chosen")
     slim = scratch.table(read.select("doc_id", "n", "node"), "rows")
-    scratch.drop(read)
-    sets = scratch.table(second_reading(documents, chosen, size, percent, common), "whole")
+    scratch.drop(read, stayed)
+    sets = scratch.table(second_reading(documents, chosen, size, percent, common, seed), "whole")
+    scratch.drop(chosen)
     if sets.count() > sets.select("node").distinct().count():
         sets = scratch.table(sets.dropDuplicates(["node"]), "whole")
     found = linked_components(sets, percent, scratch)
+    scratch.drop(sets)
     groups = classes.select("node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return slim, groups.select("node", "component"), groups.groupBy("component").agg(F.min("rep").alias("rep"))
 

@@ -2,43 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from candlewright.plans.shared import shared_dir
 from candlewright.plans.ship import ship
 
-#: Rows an Arrow batch holds at most; texts are long, so far fewer than Spark's default.
-ARROW_ROWS = 1000
 #: Bytes of text that the array code works on at once (one longer text is worked on alone).
 SLICE_BYTES = 2_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = folder.get() if folder.isDefined() else None
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 class Scratch:
     """Tables written to the shared folder, to cut lineage or to use a costly result twice.
 
-    A table outlives the executor that wrote it. ``drop`` frees one that is no longer read.
+    A table outlives the executor that wrote it. ``drop`` frees one that is no longer read; ``clear`` frees all that this
+    application has written, once their results have been read.
     """
 
+    roots: list[str] = []
+
     def __init__(self, spark: SparkSession):
         ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        self.roots.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -50,19 +40,62 @@ class Scratch:
         out.scratch_path = where
         return out
 
-    def drop(self, df: DataFrame | None) -> None:
-        where = getattr(df, "scratch_path", None)
-        if where:
-            jvm = self.spark._jvm
-            place = jvm.org.apache.hadoop.fs.Path(where)
-            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+    def drop(self, *tables: DataFrame | None) -> None:
+        for df in tables:
+            if getattr(df, "scratch_path", None):
+                _delete(self.spark, df.scratch_path)
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(where)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def batches(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches small enough for long texts."""
+def clear(spark: SparkSession) -> None:
+    """Deletes every scratch folder of this application (archives too). Results that were not read or written elsewhere are lost."""
+    while Scratch.roots:
+        _delete(spark, Scratch.roots.pop())
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind as it takes to be no column's name."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def small(table: DataFrame, rows: int) -> DataFrame:
+    """The table, to be broadcast if it has no more than ``rows`` rows."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(table) if table.count() <= rows else table
+
+
+#: Bytes of an Arrow batch, about; a longer text is a batch of its own.
+BATCH_BYTES = 16_000_000
+
+
+def batches(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow; the step sees its rows cut to BATCH_BYTES, so that its lists and results stay small."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return df.mapInArrow(step, schema)
+
+    def bounded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return step(piece for part in parts for piece in _cut(part))
+
+    return df.mapInArrow(bounded, schema)
+
+
+def _cut(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    if part.nbytes <= BATCH_BYTES or part.num_rows < 2:
+        yield part
+        return
+    half = part.num_rows // 2
+    yield from _cut(part.slice(0, half))
+    yield from _cut(part.slice(half))
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
