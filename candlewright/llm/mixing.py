@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from candlewright.llm.runtime import Scratch
+from candlewright.llm.runtime import Scratch, fresh
 
 WEIGHTS = (1, 2, 3)
 CAP = 3.0
@@ -169,22 +169,18 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: f
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The mix itself: each row of ``documents`` as often as it is taken (not at all for 0), with ``take`` numbering its repeats.
 
-    Rows that share doc_id, source and size are interchangeable; they take turns in the order of their texts' hashes.
+    Rows that share doc_id, source and size are interchangeable; they take turns in the order of their texts' hashes. Where a column
+    is called ``take`` already, the number's column has an underscore more.
     """
-    keys = ["__id", "__source", "__size"]
-    taken = mix_sources(documents).groupBy(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z")).agg(
-        F.min("times").alias("__base"), (F.sum("times") - F.min("times") * F.count("*")).alias("__more")
-    )
-    rows = documents.withColumns({"__id": F.col("doc_id").cast("long"), "__source": F.col("source"), "__size": text_size(F.col("text"))})
-    met = rows.join(taken, F.col("__id").eqNullSafe(F.col("i")) & F.col("__source").eqNullSafe(F.col("s")) & (F.col("__size") == F.col("z")))
-    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("text")))
-    times = (F.col("__base") + (turn <= F.col("__more")).cast("long")).alias("__times")
-    return (
-        met.select(*documents.columns, times)
-        .where("__times > 0")
-        .withColumn("take", F.explode(F.sequence(F.lit(1).cast("long"), "__times")))
-        .drop("__times")
+    i, s, z, base, more, times, take = fresh(documents.columns, "of_id", "of_source", "of_size", "base", "more", "times", "take")
+    taken = mix_sources(documents).groupBy(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(z)).agg(
+        F.min("times").alias(base), (F.sum("times") - F.min("times") * F.count("*")).alias(more)
     )
+    size = text_size(F.col("text"))
+    met = documents.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(s)) & (size == F.col(z)))
+    turn = F.row_number().over(Window.partitionBy(i, s, z).orderBy(F.xxhash64("text")))
+    counted = met.select(*documents.columns, (F.col(base) + (turn <= F.col(more)).cast("long")).alias(times)).where(F.col(times) > 0)
+    return counted.withColumn(take, F.explode(F.sequence(F.lit(1).cast("long"), times))).drop(times)
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ distinct one once in a batch.
 
 The cutting is done here with a pattern only for texts whose every character was shown, again by asking
 the library, to be cased, composed and classed as the pattern has it. Other texts, and texts that hold a
-special token's string, go to the library whole, so every count is the library's.
+special token's string, go to the library whole, so every count is the library's. A tokenizer of another kind has
+no shortcut: each text goes to its library whole (tokenizers for .json, sentencepiece for .model).
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); a repeated row gives a row each; null ids
 stay null; other columns are left out.
@@ -35,17 +36,34 @@ _KEPT_LENGTH, _KEPT = 40, 200_000
 def _load(path: str):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
+
+
+class _Pieces:
+    """A sentencepiece model, asked as a tokenizer is."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+
+    def count(self, text: str) -> int:
+        return len(self.model.encode(text))
 
 
 def supported(path: str) -> bool:
     """Is this a lower-casing BPE with word ends, cut as the pattern below cuts?"""
     import json
 
+    if not path.endswith(".json"):
+        return False
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-    return kinds == ["NFC", "Replace", "Lowercase"] and spec["model"].get("end_of_word_suffix") == "</w>"
+    return kinds == ["NFC", "Replace", "Lowercase"] and (spec.get("model") or {}).get("end_of_word_suffix") == "</w>"
 
 
 def whole_tokens(path: str) -> frozenset[str]:
@@ -100,7 +118,10 @@ class Counts:
     """One worker's counter."""
 
     def __init__(self, path: str, whole: frozenset[str], plain: dict[str, str]):
-        self.tok, self.whole = _load(path), whole
+        self.whole, self.fits = whole, bool(plain)
+        self.tok = _load(path) if path.endswith(".json") else _Pieces(path)
+        if not self.fits:
+            return
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         of = {k: "".join(re.escape(c) for c in sorted({c.lower() for c, v in plain.items() if v == k})) for k in "LNO"}
         self.alien = re.compile(f"[^{''.join(re.escape(c) for c in sorted(plain))}]")
@@ -122,7 +143,9 @@ class Counts:
         return n
 
     def of(self, text: str) -> int:
-        if self.alien.search(text) or any(s in text for s in self.special):
+        if isinstance(self.tok, _Pieces):
+            return self.tok.count(text)
+        if not self.fits or self.alien.search(text) or any(s in text for s in self.special):
             return len(self.tok.encode(text, add_special_tokens=False).ids)
         lower = text.lower()
         pieces = (self.ascii if lower.isascii() and self.plain_ascii else self.wide).findall(lower)
