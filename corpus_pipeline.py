@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from candlewright.llm.decontaminate import clean_documents
 from candlewright.llm.jaccard import jaccard_keepers
 from candlewright.llm.mixing import mixed_documents
-from candlewright.llm.runtime import Scratch
+from candlewright.llm.runtime import Scratch, fresh
 from candlewright.llm.secrets import redact_secrets
 from candlewright.llm.toxicity import acceptable_documents
 
@@ -31,15 +31,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    def key(mark: Column) -> dict[str, Column]:
+    none, id_, mark = fresh(docs.columns, "no_id", "known_id", "mark")
+
+    def key(text_mark: Column) -> dict[str, Column]:
         known = F.col("doc_id").cast("long")
-        return {"__none": known.isNull(), "__id": F.coalesce(known, F.lit(0)), "__mark": mark}
+        return {none: known.isNull(), id_: F.coalesce(known, F.lit(0)), mark: text_mark}
 
     judged = F.coalesce(F.col("text").rlike(WORDS), F.lit(False))
-    kept = jaccard_keepers(docs, 5, 80).withColumns(key(F.col("mark"))).drop("doc_id", "mark")
+    kept = jaccard_keepers(docs, 5, 80).select(*[c.alias(k) for k, c in key(F.col("mark")).items()])
     # a row is known by doc_id and text; its repeats leave one row, and that stays if it stands for its component
-    once = docs.where(judged).withColumns(key(F.xxhash64("text"))).dropDuplicates(kept.columns)
-    return once.join(kept, kept.columns, "left_semi").select(*docs.columns).unionByName(docs.where(~judged))
+    once = docs.where(judged).withColumns(key(F.xxhash64("text")))
+    rest = [F.col(c) for c in docs.columns]
+    first = once.groupBy(none, id_, mark).agg(F.min(F.struct(*rest)).alias("row")) if _orderable(docs) else once.dropDuplicates([none, id_, mark]).select(none, id_, mark, F.struct(*rest).alias("row"))
+    return first.join(kept, [none, id_, mark], "left_semi").select("row.*").unionByName(docs.where(~judged))
+
+
+def _orderable(docs: DataFrame) -> bool:
+    """Can rows be put in a total order? (Maps have none.)"""
+    return "map<" not in docs.schema.simpleString()
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
