@@ -10,8 +10,12 @@ are compared. Marked word ranges go back to their documents, which drop the word
 
 Hot passages: grams found in a good part of a bounded sample of documents (SAMPLE) order last, so a window uses
 them only if it has no other and the windows around a shared passage scatter; the sample steers order alone,
-never results. Strings that repeat within a batch are settled there and travel once. One minimiser's rows are
-read as a stream; beyond GROUP_BYTES only their distinct windows are held.
+never results. Strings that repeat within a batch are settled there and travel once. A minimiser of more than HOT_RUNS
+strings (and one in HOT_PART of all) sends its windows one by one, to buckets by the window's own hash, so that no bucket
+gets them all. One bucket key's rows are read as a stream; beyond GROUP_BYTES only their distinct windows are held.
+
+Documents without a marked word are digested where they are read; only those with some meet their marks by key, while
+the keys of these are few enough to be broadcast (BROADCAST_KEYS).
 
 Defined results: null or empty texts have no words; a null doc_id orders last; rows that share a doc_id are one
 document for what counts as earlier, but each is judged by its own text; other columns are left out; an empty
@@ -38,20 +42,19 @@ BITS_PER_KEY, MOST_BITS = 16, 1 << 29
 SAMPLE, HOT_SHARE = 2000, 0.005
 #: Packed bytes worked on at once in a bucket, and those of one minimiser after which windows are held one by one.
 CHUNK_BYTES, GROUP_BYTES = 2 << 20, 24 << 20
+HOT_RUNS, HOT_PART = 20_000, 100_000
+#: Documents with marks up to which their keys are broadcast (16 bytes each).
+BROADCAST_KEYS = 200_000
 LAST_ID = (1 << 63) - 1
 
-_PACKED = "key long, id long, place long, packed binary"
+_PACKED = "key long, id long, tag long, place long, packed binary"
 _MARK = "id long, tag long, span long"
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    """id (null last) and tag (32 bits of the text's hash) name a row's document and text."""
-    return documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"),
-        F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"),
-        "text",
-    )
+    """id (null last) and tag (a hash of the text and of whether the id is null) name a row's document and text."""
+    id_ = F.col("doc_id").cast("long")
+    return documents.select(id_.alias("doc_id"), F.coalesce(id_, F.lit(LAST_ID)).alias("id"), F.xxhash64("text", id_.isNull()).alias("tag"), "text")
 
 
 def hot_grams(documents: DataFrame, gram: int, sample: int = SAMPLE, share: float = HOT_SHARE) -> np.ndarray:
@@ -103,7 +106,7 @@ def super_kmers(words: ts.Words, size: int, gram: int, hot: np.ndarray) -> tuple
 
 
 def repeated_keys(keyed: DataFrame, size: int, gram: int, hot) -> DataFrame:
-    """Minimisers of more than one run, or of a run long enough to hold one window twice."""
+    """key, n of the minimisers of more than one run, or of a run long enough to hold one window twice (which counts as two)."""
 
     def step(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -117,11 +120,24 @@ def repeated_keys(keyed: DataFrame, size: int, gram: int, hot) -> DataFrame:
                 key, times = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ts.signed(key)), pa.array(times.astype(np.int64))], ["key", "n"])
 
-    return batches(keyed.select("text"), step, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+    return batches(keyed.select("text"), step, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+
+
+def _window_by_window(keys: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray, split: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs, with those of a hot key cut into single windows whose key is made of the old one and the window's hash."""
+    at = np.minimum(np.searchsorted(split, keys), len(split) - 1)
+    is_hot = split[at] == keys
+    if not is_hot.any():
+        return keys, row, begin, end
+    n = (end - begin)[is_hot]
+    window = np.repeat(begin[is_hot] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    new = ts.mix(np.repeat(keys[is_hot], n) ^ hashes[window])
+    rest = ~is_hot
+    return np.concatenate([keys[rest], new]), np.concatenate([row[rest], np.repeat(row[is_hot], n)]), np.concatenate([begin[rest], window]), np.concatenate([end[rest], window + 1])
 
 
-def pack_windows(keyed: DataFrame, size: int, gram: int, hot, passed, bits: int) -> DataFrame:
-    """Super-k-mers whose key passes (packed set) and the ranges that are settled within a batch (packed null, key = the range)."""
+def pack_windows(keyed: DataFrame, size: int, gram: int, hot, passed, bits: int, split) -> DataFrame:
+    """Super-k-mers whose key passes (packed set) and the ranges that are settled within a batch (packed null, key = the range). split: hot keys, sorted."""
 
     def step(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -138,6 +154,8 @@ def pack_windows(keyed: DataFrame, size: int, gram: int, hot, passed, bits: int)
                 keys, row, begin, end = keys[go], row[go], begin[go], end[go]
                 if not len(keys):
                     continue
+                if len(split.value):
+                    keys, row, begin, end = _window_by_window(keys, row, begin, end, split.value, ts.window_hashes(ts.word_hashes(words), size))
                 where = begin - words.first[row]
                 for key, low, high, i, t, p, n in zip(
                     ts.signed(keys).tolist(), words.start[begin].tolist(), words.end[end + size - 2].tolist(),
@@ -161,10 +179,11 @@ def pack_windows(keyed: DataFrame, size: int, gram: int, hot, passed, bits: int)
                 [
                     pa.array([v[3] for v in kept] + [s[2] for s in settled], pa.int64()),
                     pa.array([v[0] for v in kept] + [s[0] for s in settled], pa.int64()),
-                    pa.array([v[1] << 32 | v[2] for v in kept] + [s[1] for s in settled], pa.int64()),
+                    pa.array([v[2] for v in kept] + [s[1] for s in settled], pa.int64()),
+                    pa.array([v[1] for v in kept] + [0] * len(settled), pa.int64()),
                     pa.array(packed + [None] * len(settled), pa.binary()),
                 ],
-                ["key", "id", "place", "packed"],
+                ["key", "id", "tag", "place", "packed"],
             )
 
     return batches(keyed.select("id", "tag", "text"), step, _PACKED)
@@ -236,16 +255,14 @@ def mark_repeats_step(size: int):
         seen_key = None
 
         def settle(table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            ids = column(table, "id").to_numpy()
-            place = column(table, "place").to_numpy()
-            tags, places = place & 0xFFFFFFFF, place >> 32
+            ids, tags, places = (column(table, c).to_numpy() for c in ("id", "tag", "place"))
             yield _marks(*repeats(column(table, "packed"), ids, places, size), ids, places, tags, size)
 
         def stream(table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             """One very frequent minimiser: windows one by one, against those seen."""
             out: list[tuple[int, int, int]] = []
-            for i, p, text in zip(column(table, "id").to_pylist(), column(table, "place").to_pylist(), column(table, "packed").to_pylist(), strict=True):
-                ws, at, tag = text.split(), p >> 32, p & 0xFFFFFFFF
+            for i, tag, at, text in zip(*(column(table, c).to_pylist() for c in ("id", "tag", "place", "packed")), strict=True):
+                ws = text.split()
                 for j in range(len(ws) - size + 1):
                     here = (i, at + j)
                     if seen.setdefault(hashlib.blake2b(b" ".join(ws[j : j + size]), digest_size=16).digest(), here) != here:
@@ -304,14 +321,25 @@ def dedup_substrings(documents: DataFrame, size: int = SIZE, gram: int = GRAM, t
     hot = spark.sparkContext.broadcast(hot_grams(documents, gram))
     keyed = _keyed(documents)
     repeated = scratch.table(repeated_keys(keyed, size, gram, hot), "repeated")
-    bits = 1 << min(MOST_BITS.bit_length() - 1, max(20, (BITS_PER_KEY * repeated.count()).bit_length()))
+    held = repeated.agg(F.count("*"), F.sum("n")).first()
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(20, (BITS_PER_KEY * held[0]).bit_length()))
     passed = spark.sparkContext.broadcast(bitmap(repeated, "key", bits))
-    packed = pack_windows(keyed, size, gram, hot, passed, bits)
+    # there are fewer of these than HOT_PART
+    crowded = repeated.where(F.col("n") > max(HOT_RUNS, (held[1] or 0) // HOT_PART)).select("key").toArrow().column(0).to_numpy()
+    split = spark.sparkContext.broadcast(np.sort(crowded.astype(np.int64).view(np.uint64)))
+    packed = pack_windows(keyed, size, gram, hot, passed, bits, split)
     # both kinds of row in one pass: settled ranges need no order, they are dealt by document
-    dealt = packed.repartition(F.when(F.col("packed").isNull(), F.xxhash64("id", "place")).otherwise(F.col("key")))
+    dealt = packed.repartition(F.when(F.col("packed").isNull(), F.xxhash64("id", "tag")).otherwise(F.col("key")))
     both = _both(dealt.sortWithinPartitions(F.col("packed").isNull(), "key", "id", "place"), size)
-    marks = both.groupBy("id", "tag").agg(F.collect_list("span").alias("spans"))
-    joined = keyed.join(marks, ["id", "tag"], "left").select("doc_id", "text", "spans")
+    marks = scratch.table(both.groupBy("id", "tag").agg(F.collect_list("span").alias("spans")), "marks")  # no more than a text has windows
+    scratch.drop(repeated)
+    if marks.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(marks.select("id", "tag"))
+        unmarked = keyed.join(keys, ["id", "tag"], "left_anti").select("doc_id", "text", F.lit(None).cast("array<long>").alias("spans"))
+        marked = keyed.join(keys, ["id", "tag"], "left_semi").join(marks, ["id", "tag"]).select("doc_id", "text", "spans")
+        joined = unmarked.unionByName(marked)
+    else:
+        joined = keyed.join(marks, ["id", "tag"], "left").select("doc_id", "text", "spans")
 
     def step(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -364,7 +392,7 @@ def _both(rows: DataFrame, size: int) -> DataFrame:
 
         yield from inner(strings())
         for batch in ranges():
-            yield pa.RecordBatch.from_arrays([column(batch, c) for c in ("id", "place", "key")], ["id", "tag", "span"])
+            yield pa.RecordBatch.from_arrays([column(batch, c) for c in ("id", "tag", "key")], ["id", "tag", "span"])
 
     return batches(rows, step, _MARK)
 
