@@ -30,8 +30,10 @@ from candlewright.llm.runtime import Scratch, batches, column
 #: Labelled rows that the model is fitted on, at most, and the tenths of them for the lexicon, the trees and the calibration.
 SAMPLE, PARTS = 16_000, (5, 3, 2)
 FOLDS = 5
-#: Entries of the fitted lexicon at most, and what an entry needs: documents, log-odds, likelihood ratio.
+#: The model's own parameters: entries of the fitted lexicon at most, by likelihood ratio, and what an entry needs: documents, log-odds, likelihood ratio.
 ENTRIES, LEAST_DOCS, LEAST_ODDS, LEAST_RATIO = 3000, 4, 1.5, 15.0
+#: Features 6 to 8 are of the heaviest words of the whole text: how often one word counts there, and how many are added up.
+REPEATS, STRONGEST = 3, 8
 TREES, DEPTH = 20, 3
 _STEMS = (4, 5)
 
@@ -42,6 +44,11 @@ SECOND_PERSON = frozenset("you your yours u ur du dich dir dein deine ihr euch t
 _WORD = re.compile(r"[^\W_](?:[\w@$*]*[^\W_])?")
 _PLAIN = str.maketrans("013457@$", "oieastas")
 _FEATURES = 14
+_ASCII_CAPITALS = bytes(range(0x41, 0x5B))
+_ASCII_LETTERS = _ASCII_CAPITALS + bytes(range(0x61, 0x7B))
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
+#: Words of at most this length are remembered from text to text, so many at a time.
+_KEPT_LENGTH, _KEPT = 40, 200_000
 
 
 def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -52,55 +59,85 @@ def _names(word: str) -> list[str]:
     return [word, *(word[:n] + "~" for n in _STEMS if len(word) > n)]
 
 
-def features(text: str, lexicon: dict[str, float]) -> list[float]:
-    out = [0.0] * _FEATURES
-    if not text:
+class Features:
+    """The features of texts, for one lexicon. What is known of a word (its weight, is it a fixed insult, has it odd signs) is kept for the next text."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon, self.known = lexicon, {}
+
+    def word(self, w: str) -> tuple[float, bool, bool]:
+        odd = not w.isalpha()
+        plain = w.translate(_PLAIN).replace("*", "") if odd else w
+        best = max((self.lexicon.get(x, 0.0) for x in _names(w)), default=0.0)
+        fixed = plain in INSULTS
+        out = (max(best, 1.0) if fixed else best), fixed, odd
+        if len(w) <= _KEPT_LENGTH:
+            if len(self.known) >= _KEPT:
+                self.known.clear()
+            self.known[w] = out
         return out
-    words = _WORD.findall(text.lower())
-    n = len(words)
-    if not n:
+
+    def of(self, text: str) -> list[float]:
+        out = [0.0] * _FEATURES
+        words = _WORD.findall(text.lower()) if text else []
+        n = len(words)
+        if not n:
+            return out
+        weight: dict[str, float] = {}
+        hits = fixed = odd = 0
+        weighed, strong, known, word = 0.0, [], self.known, self.word
+        for w, times in Counter(words).items():
+            best, insult, strange = known.get(w) or word(w)
+            if strange:
+                odd += times
+            if best:
+                weight[w] = best
+                hits += times
+                fixed += times * insult
+                weighed += times * best
+                strong += [best] * min(times, REPEATS)
+        strong.sort(reverse=True)
+        letters, capitals = _letters(text)
+        out[0] = log1p(n)
+        out[1] = hits / n
+        out[2] = fixed / n
+        out[3] = log1p(hits)
+        out[4] = log1p(fixed)
+        out[5] = weighed / n
+        out[6] = strong[0] if strong else 0.0
+        out[7] = strong[1] if len(strong) > 1 else 0.0
+        out[8] = sum(strong[:STRONGEST])
+        out[9] = _nearness(words, weight) if weight else 0.0
+        out[10] = capitals / (letters or 1)
+        out[11] = (text.count("!") + text.count("?")) / n
+        out[12] = sum(map(text.count, ".,;:")) / n
+        out[13] = odd / n
         return out
-    counts = Counter(words)
-    weight: dict[str, float] = {}
-    fixed = odd = 0
-    for w, times in counts.items():
-        if not w.isalpha():
-            odd += times
-            plain = w.translate(_PLAIN).replace("*", "")
-        else:
-            plain = w
-        best = max((lexicon.get(x, 0.0) for x in _names(w)), default=0.0)
-        if plain in INSULTS:
-            fixed += times
-            best = max(best, 1.0)
-        if best:
-            weight[w] = best
-    hits = sum(counts[w] for w in weight)
-    strong = sorted((weight[w] for w in weight for _ in range(min(counts[w], 3))), reverse=True)
-    near = 0.0
-    if weight:
-        you = [i for i, w in enumerate(words) if w in SECOND_PERSON]
-        if you:
-            spots, bad = np.array(you), np.array([i for i, w in enumerate(words) if w in weight])
-            at = np.searchsorted(spots, bad)
-            before, after = spots[np.maximum(at - 1, 0)], spots[np.minimum(at, len(spots) - 1)]
-            near = 1 / (1 + int(np.minimum(abs(bad - before), abs(after - bad)).min()))
-    letters = sum(map(str.isalpha, text)) or 1
-    out[0] = log1p(n)
-    out[1] = hits / n
-    out[2] = fixed / n
-    out[3] = log1p(hits)
-    out[4] = log1p(fixed)
-    out[5] = sum(counts[w] * v for w, v in weight.items()) / n
-    out[6] = strong[0] if strong else 0.0
-    out[7] = strong[1] if len(strong) > 1 else 0.0
-    out[8] = sum(strong[:8])
-    out[9] = near
-    out[10] = sum(map(str.isupper, text)) / letters
-    out[11] = (text.count("!") + text.count("?")) / n
-    out[12] = sum(map(text.count, ".,;:")) / n
-    out[13] = odd / n
-    return out
+
+
+def _nearness(words: list[str], weight: dict[str, float]) -> float:
+    """1 / (1 + the least distance, in words, of a lexicon word to a second-person word); 0 without such a pair."""
+    you = [i for i, w in enumerate(words) if w in SECOND_PERSON]
+    if not you:
+        return 0.0
+    spots, bad = np.array(you), np.array([i for i, w in enumerate(words) if w in weight])
+    at = np.searchsorted(spots, bad)
+    before, after = spots[np.maximum(at - 1, 0)], spots[np.minimum(at, len(spots) - 1)]
+    return 1 / (1 + int(np.minimum(abs(bad - before), abs(after - bad)).min()))
+
+
+def _letters(text: str) -> tuple[int, int]:
+    """Letters and capitals of a text: those of ASCII by deletion, others one by one."""
+    plain = text.encode("ascii", "ignore")
+    letters, capitals = len(plain) - len(plain.translate(None, _ASCII_LETTERS)), len(plain) - len(plain.translate(None, _ASCII_CAPITALS))
+    if len(plain) < len(text):
+        rest = "".join(_NOT_ASCII.findall(text))
+        letters, capitals = letters + sum(map(str.isalpha, rest)), capitals + sum(map(str.isupper, rest))
+    return letters, capitals
+
+
+def features(text: str, lexicon: dict[str, float]) -> list[float]:
+    return Features(lexicon).of(text)
 
 
 def _featured(frame: DataFrame, lexicon, keep: str) -> DataFrame:
@@ -108,9 +145,9 @@ def _featured(frame: DataFrame, lexicon, keep: str) -> DataFrame:
     names = [x.split()[0] for x in keep.split(", ")]
 
     def step(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = lexicon.value
+        known = Features(lexicon.value)
         for batch in parts:
-            rows = [features(t.as_py() or "", held) for t in column(batch, "text")]
+            rows = [known.of(t.as_py() or "") for t in column(batch, "text")]
             flat = pa.array(np.array(rows, dtype=np.float64).reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * _FEATURES), flat)
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), lists], [*names, "raw"])
