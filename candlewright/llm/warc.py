@@ -1,7 +1,7 @@
 """WARC archives: write with an index first, then read chosen records by coalesced byte ranges.
 
 Writing. The payload's digest is taken by Spark; the smallest page_id of each digest that occurs more than
-once is joined back, so a row knows whether it is a response or a revisit. Each task appends records, one gzip
+once is joined back (broadcast while these are few, so that no page is shuffled), so a row knows whether it is a response or a revisit. Each task appends records, one gzip
 member each, to archives of its own in the shared folder (through pyarrow's file systems, by the folder's
 scheme) and returns an index row per record: file, offset, length, URL, digest. The index is written as a
 table; a task that runs again writes files under a new name, and the index knows only those of the run that
@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewright.llm.runtime import Scratch, batches, column
+from candlewright.llm.runtime import Scratch, batches, column, small
 
 MIN_SHARED = 100
 #: Bytes at which a task begins its next archive.
 ARCHIVE_BYTES = 512 << 20
 GAP, RANGE = 64 << 10, 8 << 20
 LEVEL = 3
+#: Payloads that repeat up to which their digests are broadcast (about 120 bytes each).
+BROADCAST_FIRSTS = 200_000
 
 INDEX = "page_id long, url string, digest string, payload_bytes long, record_type string, refers_to long, file string, offset long, length long"
 _RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -91,7 +93,7 @@ def unpack(member: bytes) -> dict:
     }
 
 
-def with_roles(pages: DataFrame) -> DataFrame:
+def with_roles(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """page_id, url, html, digest and refers_to (null for responses)."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.sha2(html, 256).alias("digest"))
@@ -103,9 +105,10 @@ def with_roles(pages: DataFrame) -> DataFrame:
         .where("n > 1 and first is not null")
         .select(F.col("digest").alias("d"), "first")
     )
+    firsts = scratch.table(firsts, "firsts")  # a row for each payload that repeats; pages stay where they are while these are few
     later = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(firsts.hint("shuffle_hash"), F.col("digest") == F.col("d"), "left").select(
-        "page_id", "url", "html", "digest", F.when(later, F.col("first")).alias("refers_to")
+    return rows.join(small(firsts, BROADCAST_FIRSTS), F.col("digest") == F.col("d"), "left").select(
+        "page_id", "url", "html", "digest", F.when(later & shared, F.col("first")).alias("refers_to")
     )
 
 
@@ -139,7 +142,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             if out is not None:
                 out.close()
 
-    return batches(with_roles(pages), step, INDEX)
+    return batches(with_roles(pages, Scratch(pages.sparkSession)), step, INDEX)
 
 
 def _ranges(rows: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
