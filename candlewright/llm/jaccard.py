@@ -14,7 +14,7 @@ A text's set holds 63-bit hashes of its word shingles; texts with one set are on
    whose shared count and remaining tokens cannot add up to the threshold, are dropped. A dense token has a pivot, the
    holder with the most dense tokens, and each holder makes one pair with it. What sizes and shapes do not rule out
    is verified on the whole sets. Then the holders of dense tokens meet by pivot, in blocks of CHUNK by CHUNK, but for
-   those connected with the pivot among themselves. A block compares prefixes and shapes; the few pairs left are verified
+   those linked with the pivot among themselves. A block compares prefixes and shapes; the few pairs left are verified
    by key, and a block with many gets the whole sets of their members, once, and returns a spanning forest, never all pairs.
 4. Components of the links are found by key (components.py).
 
@@ -222,7 +222,7 @@ def _sides(key: tuple, part: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame,
 
 
 def _open_pairs(left: pd.DataFrame, right: pd.DataFrame, same: bool, percent: int) -> np.ndarray:
-    """Pairs of two components, each once, whose sizes allow a link."""
+    """Pairs that are not connected through their pivot, each once, whose sizes allow a link."""
     n_a, n_b = left["n"].to_numpy()[:, None], right["n"].to_numpy()
     ask = (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy())
     return ask & np.tri(len(left), k=-1, dtype=bool) if same else ask
@@ -342,14 +342,15 @@ def _rare_pairs(few: DataFrame, percent: int) -> DataFrame:
     return met.groupBy("node", "node2", "asked").agg(F.count("*").alias("c")).where("c >= asked").select("node", "node2")
 
 
-def _blocks(groups: DataFrame, found: DataFrame, sized: DataFrame) -> DataFrame:
+def _blocks(groups: DataFrame, links: DataFrame, sized: DataFrame) -> DataFrame:
     """pivot, kind, i, j, chunk, core, comp, node: the blocks in which the members of each group meet.
 
-    Members of the pivot's component (the core) are connected already, so they meet only the rest, and the rest meets all.
+    Members linked with the pivot (the core) are connected already, so they meet only the rest, and the rest meets all.
     """
-    tagged = groups.join(found, "node", "left").select("pivot", "node", F.coalesce("component", "node").alias("comp"))
-    lead = tagged.where("pivot = node").select("pivot", F.col("comp").alias("lead"))  # a row a pivot; their members are many, so they stay where they are
-    tagged = tagged.join(small(lead, BROADCAST_SIZED), "pivot").withColumn("core", F.col("comp") == F.col("lead")).drop("lead").join(sized.select("node", "n"), "node")
+    ends = F.array(F.struct(F.col("u").alias("pivot"), F.col("v").alias("node")), F.struct(F.col("v").alias("pivot"), F.col("u").alias("node")))
+    hubs = links.select(F.inline(ends)).distinct().withColumn("linked", F.lit(True))
+    tagged = groups.join(hubs, ["pivot", "node"], "left").withColumn("core", (F.col("pivot") == F.col("node")) | F.col("linked").isNotNull()).drop("linked")
+    tagged = tagged.withColumn("comp", F.when(F.col("core"), F.col("pivot")).otherwise(F.col("node"))).join(small(sized.select("node", "n"), BROADCAST_SIZED), "node")
 
     def chunks(of: Column) -> Column:
         n = F.when(of, F.col("n"))
@@ -401,12 +402,11 @@ def linked_components(sets: DataFrame, percent: int, scratch: Scratch) -> DataFr
     scratch.drop(held)
     pairs = scratch.table(_plausible(asked, sets, percent), "pairs")
     links = scratch.table(_linked(pairs, sets, percent), "sure")
-    found = scratch.table(components(links, scratch), "found")
-    scratch.drop(asked, pairs, links)
+    scratch.drop(asked, pairs)
 
-    blocks = scratch.table(_blocks(groups, found, sized), "blocks")
+    blocks = scratch.table(_blocks(groups, links, sized), "blocks")
     if blocks.isEmpty():
-        return found
+        return scratch.table(components(links, scratch), "found")
     pivots = groups.groupBy("node").agg(F.sort_array(F.collect_list("pivot")).alias("pivots"))  # no more than a prefix has tokens
     heads = sets.select("node", "shape", "heads").join(sized.drop("edge"), "node").withColumn("heads", F.slice("heads", F.lit(1), F.col("x")))
     left = blocks.join(_among(heads, blocks.select("node").distinct()), "node").join(pivots, "node")
@@ -418,8 +418,8 @@ def linked_components(sets: DataFrame, percent: int, scratch: Scratch) -> DataFr
         whole = _among(sets.select("node", "n", "tokens"), thick.select("node").distinct())
         met = blocks.join(thick, ["node", "pivot", "kind", "i", "j"], "left_semi").join(whole, "node")
         more = more.unionByName(met.groupBy("pivot", "kind", "i", "j").applyInPandas(_thick_block(percent), "u long, v long"))
-    out = scratch.table(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), scratch), "found")
-    scratch.drop(sized, groups, blocks, left, thin, found)
+    out = scratch.table(components(links.unionByName(more), scratch), "found")
+    scratch.drop(sized, groups, blocks, left, thin, links)
     return out
 
 
