@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewright.llm import decontaminate, jaccard, mixing, oracles, secrets, substrings, token_counts, toxicity, urls, vectors, warc
+from candlewright.llm import decontaminate, importance, jaccard, mixing, oracles, packing, phrases, secrets, substrings, token_counts, toxicity, urls, vectors, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": warc.op8_warc,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_jaccard_join": jaccard.op10_jaccard_join,
+        "op11_phrases": phrases.op11_phrases,
+        "op12_packing": packing.op12_packing,
+        "op13_importance": importance.op13_importance,
     }
 
 
@@ -32,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filter": urls.ORACLE_SQL,
         "op8_warc": warc.ORACLE_SQL,
         "op10_jaccard_join": oracles.JACCARD,
+        "op11_phrases": phrases.ORACLE_SQL,
     }

@@ -150,3 +150,39 @@ def has(packed: bytes, values, bits: int):
     low = values & np.uint64(bits - 1)
     table = np.frombuffer(packed, dtype=np.uint8)
     return table[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & np.uint8(1) == 1
+
+
+def running(df: DataFrame, order: list, amount: str, name: str, scratch: Scratch) -> DataFrame:
+    """The rows with ``name``: the sum of the whole column ``amount`` (long) over all rows before, in the order given.
+
+    Rows are range-sorted, each task sums its own range as a stream, and the ranges' totals (a row a task) are added in front.
+    Equal rows come in any order. The result is read from a table in the shared folder.
+    """
+    import numpy as np
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    part, = fresh([*df.columns, name], "part")
+    fields = [*df.schema.fields, StructField(name, LongType()), StructField(part, LongType())]
+
+    def add_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        mine, done = TaskContext.get().partitionId(), 0
+        for batch in parts:
+            each = column(batch, amount).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = done + np.cumsum(each)
+            done = int(ends[-1]) if len(ends) else done
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(ends - each, pa.int64()), pa.array(np.full(len(each), mine, dtype=np.int64))],
+                [*batch.schema.names, name, part],
+            )
+
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    local = scratch.table(ranged.mapInArrow(add_up, StructType(fields)), name)
+    before, ahead, of = [], 0, f"{part}_of"
+    for r in sorted(local.groupBy(part).agg(F.sum(amount).alias("total")).collect(), key=lambda r: r[part]):
+        before.append((r[part], ahead))
+        ahead += r["total"]
+    totals = df.sparkSession.createDataFrame(before, f"`{of}` long, ahead long")
+    return local.join(F.broadcast(totals), F.col(part) == F.col(of)).select(*df.columns, (F.col(name) + F.col("ahead")).alias(name))
