@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from candlewright.llm import textscan as ts
 from candlewright.llm.components import components
-from candlewright.llm.runtime import Scratch, batches, column, slices, small
+from candlewright.llm.runtime import Scratch, batches, column, fresh, own, slices, small
 
 DENSE, CHUNK, LONGEST = 24, 2048, 6
 #: Pairs for each row that has one that a block may leave to be verified by key; a block with more verifies them itself. Bytes of whole sets on a block's side.
@@ -48,6 +48,10 @@ BROADCAST_SIZED = 200_000
 COMMON, COMMON_LEAST = 20_000, 50
 #: Class ids up to which they are broadcast to the second reading of the texts (24 bytes each with doc_id and mark, 8 alone); beyond, that is a shuffle.
 BROADCAST_IDS = 500_000
+#: Keys of rows that go up to which they are broadcast (17 bytes each).
+BROADCAST_GONE = 500_000
+#: Has a text a word, as shingles are cut?
+_WORD = r"[^\x20\x09-\x0D]"
 #: Buckets in which a set's tokens are counted: two sets share at most the sum of the smaller counts.
 SHAPE = 256
 #: Columns of a matrix product at once.
@@ -484,6 +488,34 @@ def jaccard_keepers(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     return _groups(documents, size, percent)[2].select("rep.doc_id", "rep.mark")
 
 
+def near_duplicate_survivors(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``documents`` that stay, all columns as they are: one of each component (see ``jaccard_keepers``), and every row without words.
+
+    A row is known by doc_id and text hash. Keys that are no component's go, by an anti-join with these keys alone; texts stay where they
+    are while there are at most BROADCAST_GONE of them. Of rows that share a kept key the least stays (any one, where columns have no order);
+    only such rows are shuffled.
+    """
+    scratch = Scratch(documents.sparkSession)
+    none, id_, mark, row, rows = fresh(documents.columns, "no_id", "known_id", "mark", "row", "rows")
+    known = F.col("doc_id").cast("long")
+
+    def key(text_mark: Column) -> dict[str, Column]:
+        return {none: known.isNull(), id_: F.coalesce(known, F.lit(0)), mark: text_mark}
+
+    names = [none, id_, mark]
+    words = F.coalesce(F.col("text").rlike(_WORD), F.lit(False))
+    judged = documents.where(words).withColumns(key(F.xxhash64("text")))
+    kept = jaccard_keepers(documents, size, percent).select(*[c.alias(k) for k, c in key(F.col("mark")).items()]).withColumn(row, F.lit(True))
+    keys = judged.groupBy(*names).agg(F.count("*").alias(rows)).join(kept, names, "left")
+    odd = scratch.table(keys.where(F.col(row).isNull() | (F.col(rows) > 1)), "odd")
+    single = judged.join(small(odd.select(*names), BROADCAST_GONE), names, "left_anti").select(*own(documents))
+    many = judged.join(small(odd.where(row).select(*names), BROADCAST_GONE), names, "left_semi")
+    orderable = "map<" not in documents.schema.simpleString()  # maps and variants have no order
+    whole = F.struct(*own(documents))
+    first = many.groupBy(*names).agg(F.min(whole).alias(row)) if orderable else many.dropDuplicates(names).select(whole.alias(row))
+    return single.unionByName(first.select(f"{row}.*")).unionByName(documents.where(~words))
+
+
 def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of each row; texts link when 100 * shared >= percent * union of their shingles."""
     slim, groups, names = _groups(documents, size, percent)

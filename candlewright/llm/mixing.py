@@ -6,10 +6,11 @@ share f is taken floor(f) times for certain and once more with probability f - f
 drawn by the cube method, balancing words and documents: while three documents of a block have fractional
 probabilities, they move along the null space of the two constraints until one reaches 0 or 1.
 
-Blocks of at most about BLOCK documents run side by side. Each leaves two documents at most, which meet in
-the blocks of the next round; the rounds end with one block for each source, whose last two documents (the
-landing problem) are rounded to the choice nearest to the words still owed. Block, order and draws follow from
-hashes of the row, so reruns agree.
+Blocks of at most about BLOCK documents run side by side. Each keeps RESERVED documents of geometrically spread
+sizes out of the flight, and the flight leaves two at most; these meet in the blocks of the next round. The rounds end with
+one block for each source. Its documents still open, RESERVED + 2 at most, are the landing problem: of all ways to round them
+the one nearest to the words still owed is taken, of those of equal distance the one nearest in documents. Block, order and
+draws follow from hashes of the row, so reruns agree.
 
 Defined results: a null text has size 0; a null source is one source, the last; repeated rows are units of
 their own, told apart by a copy number; null ids are allowed; other columns are left out; an empty table gives
@@ -20,15 +21,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewright.llm.runtime import Scratch, fresh
+from candlewright.llm.runtime import Scratch, fresh, own, quoted, repeated, running, small
 
 WEIGHTS = (1, 2, 3)
 CAP = 3.0
 BLOCK = 512
+RESERVED = 16
+#: A block of BLOCK documents leaves less than this share of them.
+_LEFT = 16
 _EPS = 1e-9
+#: Up to so many keys and counts (16 bytes each) are broadcast.
+BROADCAST_KEYS = 500_000
 
 
 def text_size(text: Column) -> Column:
@@ -91,18 +97,35 @@ def flight(prob: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
     return np.array([round(p) if not _EPS < p < 1 - _EPS else p for p in prob])
 
 
+def reserve(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which units stay out of the flight: of the open ones that have words RESERVED at most, of sizes as evenly spread on a logarithmic scale as there are."""
+    out = np.zeros(len(prob), dtype=bool)
+    able = np.flatnonzero((prob > _EPS) & (prob < 1 - _EPS) & (size > 0))
+    if len(able) <= RESERVED:
+        out[able] = True
+        return out
+    able = able[np.argsort(size[able], kind="stable")]
+    log = np.log(size[able])
+    free = np.ones(len(able), dtype=bool)
+    for goal in np.linspace(log[0], log[-1], RESERVED):
+        at = int(np.argmin(np.where(free, np.abs(log - goal), np.inf)))
+        free[at] = False
+    out[able[~free]] = True
+    return out
+
+
 def landing(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Rounds what the flight left (two at most) to the choice nearest in words, then in documents."""
-    left = [i for i in range(len(prob)) if 0 < prob[i] < 1]
+    """Rounds the open units (RESERVED + 2 at most) to the choice nearest in words, then in documents, then the first in a fixed order."""
+    left = np.flatnonzero((prob > 0) & (prob < 1))
     owed, count = float((prob * size)[left].sum()), float(prob[left].sum())
-    choices = []
-    for bits in range(1 << len(left)):
-        taken = [bits >> j & 1 for j in range(len(left))]
-        words = sum(t * size[i] for t, i in zip(taken, left, strict=True))
-        choices.append((abs(words - owed), abs(sum(taken) - count), taken))
+    words, taken = np.zeros(1), np.zeros(1)
+    for i in left:
+        words, taken = np.concatenate([words, words + size[i]]), np.concatenate([taken, taken + 1])
+    off = np.abs(words - owed)
+    near = np.flatnonzero(off <= off.min() + 1e-6)
+    choice = int(near[np.argmin(np.abs(taken[near] - count))])
     out = prob.copy()
-    for t, i in zip(min(choices)[2], left, strict=True):
-        out[i] = t
+    out[left] = choice >> np.arange(len(left)) & 1
     return out
 
 
@@ -113,7 +136,9 @@ def _mover(last: bool):
     def move(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["tag", "doc_id", "size", "copy"], kind="stable")
         size = part["size"].to_numpy(float)
-        prob = flight(part["prob"].to_numpy(), size, (part["tag"].to_numpy() % 1_000_003) / 1_000_003)
+        prob = part["prob"].to_numpy(float).copy()
+        flies = ~reserve(prob, size)
+        prob[flies] = flight(prob[flies], size[flies], (part["tag"].to_numpy()[flies] % 1_000_003) / 1_000_003)
         part["prob"] = landing(prob, size) if last else prob
         return part[[x.split()[0] for x in _UNIT.split(", ")]]
 
@@ -128,7 +153,7 @@ def cube_sample(units: DataFrame, counts: DataFrame, scratch: Scratch) -> DataFr
         last = n <= BLOCK
 
         # as many blocks as keep each near BLOCK; the small sources of a round have one
-        share = F.greatest(F.lit(1), F.ceil(F.col("docs") / F.lit(BLOCK * (BLOCK // 4) ** level)))
+        share = F.greatest(F.lit(1), F.ceil(F.col("docs") / F.lit(BLOCK * _LEFT**level)))
         blocks = todo.join(counts.select(F.col("source").alias("s"), share.cast("long").alias("blocks")), F.col("source").eqNullSafe(F.col("s")))
         moved = (
             blocks.withColumn("block", F.pmod(F.xxhash64("tag", F.lit(level)), "blocks"))
@@ -140,20 +165,15 @@ def cube_sample(units: DataFrame, counts: DataFrame, scratch: Scratch) -> DataFr
         done = fixed if done is None else done.unionByName(fixed)
         if last:
             return done
-        todo, level, n = moved.where("prob > 0 and prob < 1"), level + 1, -(-n // (BLOCK // 4))
+        todo, level, n = moved.where("prob > 0 and prob < 1"), level + 1, -(-n // _LEFT)
 
 
 def mix_sources(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """doc_id, source, size, copy, times (how often it is taken), source_size and target of each row of ``documents``."""
     spark = documents.sparkSession
     scratch = Scratch(spark)
-    sized = scratch.table(
-        documents.select(F.col("doc_id").cast("long"), "source", text_size(F.col("text")).alias("size"))
-        .groupBy("doc_id", "source", "size")
-        .count()
-        .select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("copy")),
-        "sizes",
-    )
+    rows = documents.select(F.col("doc_id").cast("long"), "source", text_size(F.col("text")).alias("size")).groupBy("doc_id", "source", "size").count()
+    sized = scratch.table(repeated(rows, "count", "copy").drop("count"), "sizes")
     targets = scratch.table(source_targets(sized, weights, cap), "targets")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     counts = targets.select("source", "docs", "source_size", "target", share.alias("share"))
@@ -169,18 +189,33 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: f
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The mix itself: each row of ``documents`` as often as it is taken (not at all for 0), with ``take`` numbering its repeats.
 
-    Rows that share doc_id, source and size are interchangeable; they take turns in the order of their texts' hashes. Where a column
-    is called ``take`` already, the number's column has an underscore more.
+    A row finds its count by a hash of doc_id, source and size, so texts stay where they are while there are at most BROADCAST_KEYS
+    of these. Rows that share all three, or only the hash, are interchangeable or told apart by the three: these alone are range-sorted,
+    in the order of their texts' hashes, and numbered. Where a column is called ``take`` already, the number's column has an underscore more.
     """
-    i, s, z, base, more, times, take = fresh(documents.columns, "of_id", "of_source", "of_size", "base", "more", "times", "take")
+    h, i, s, z, mark, one, place, first, base, more, times, take = fresh(documents.columns, "of", "of_id", "of_source", "of_size", "mark", "one", "place", "first", "base", "more", "times", "take")
+    scratch = Scratch(documents.sparkSession)
     taken = mix_sources(documents).groupBy(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(z)).agg(
-        F.min("times").alias(base), (F.sum("times") - F.min("times") * F.count("*")).alias(more)
+        F.min("times").alias(base), (F.sum("times") - F.min("times") * F.count("*")).alias(more), F.count("*").alias("rows")
     )
-    size = text_size(F.col("text"))
-    met = documents.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(s)) & (size == F.col(z)))
-    turn = F.row_number().over(Window.partitionBy(i, s, z).orderBy(F.xxhash64("text")))
-    counted = met.select(*documents.columns, (F.col(base) + (turn <= F.col(more)).cast("long")).alias(times)).where(F.col(times) > 0)
-    return counted.withColumn(take, F.explode(F.sequence(F.lit(1).cast("long"), times))).drop(times)
+    taken = scratch.table(taken.withColumn(h, F.xxhash64(i, s, z)), "taken")
+    known = scratch.table(taken.groupBy(h).agg(F.when(F.sum("rows") == 1, F.max(F.col(base) + F.col(more))).alias(times)), "known")
+
+    keys = {i: F.col("doc_id").cast("long"), s: F.col("source"), z: text_size(F.col("text"))}
+    keyed = documents.withColumn(h, F.xxhash64(*keys.values()))
+    counted = keyed.join(small(known, BROADCAST_KEYS), h).where(F.col(times) > 0).select(*own(documents), times)
+    shared = known.where(F.col(times).isNull()).select(h)
+    if not shared.isEmpty():
+        rows = keyed.join(small(shared, BROADCAST_KEYS), h, "left_semi").drop(h).withColumns(keys | {mark: F.xxhash64("text"), one: F.lit(1).cast("long")})
+        placed = running(rows, [i, s, z, mark], one, place, scratch)
+        begin = placed.groupBy(i, s, z).agg(F.min(place).alias(first))
+        same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in (i, s, z)]
+        told = begin.alias("x").join(taken.alias("y"), same[0] & same[1] & same[2]).select(*[f"y.{k}" for k in (i, s, z, base, more)], first)
+        told = small(scratch.table(told, "told"), BROADCAST_KEYS)
+        met = placed.alias("x").join(told.alias("y"), same[0] & same[1] & same[2])
+        again = F.col(base) + (F.col(place) - F.col(first) < F.col(more)).cast("long")
+        counted = counted.unionByName(met.withColumn(times, again).where(F.col(times) > 0).select(*[F.col(f"x.{quoted(c)}") for c in documents.columns], times))
+    return repeated(counted, times, take).drop(times)
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from candlewright.plans.shared import shared_dir
 from candlewright.plans.ship import ship
@@ -68,10 +69,31 @@ def fresh(taken: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+def own(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever characters are in their names."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+#: Entries of an array that stands for a row's repeats.
+_RUN = 4096
+
+
+def repeated(df: DataFrame, count: str, name: str) -> DataFrame:
+    """Each row as often as its column ``count`` (1 or more) says, numbered from 1 by ``name``; no array is longer than a few thousand entries
+    (a count of n makes n / _RUN, then _RUN)."""
+    run, = fresh([*df.columns, name], "run")
+    n = F.col(quoted(count))
+    runs = df.withColumn(run, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / _RUN))))
+    each = F.sequence(F.col(run) * _RUN + 1, F.least(n, (F.col(run) + 1) * _RUN))
+    return runs.withColumn(name, F.explode(each)).drop(run)
+
+
 def small(table: DataFrame, rows: int) -> DataFrame:
     """The table, to be broadcast if it has no more than ``rows`` rows."""
-    from pyspark.sql import functions as F
-
     return F.broadcast(table) if table.count() <= rows else table
 
 
@@ -80,13 +102,15 @@ BATCH_BYTES = 16_000_000
 
 
 def batches(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow; the step sees its rows cut to BATCH_BYTES, so that its lists and results stay small."""
+    """mapInArrow, whatever the columns are called; the step sees its rows cut to BATCH_BYTES, so that its lists and results stay small."""
     ship(df.sparkSession)
+    names = df.columns
 
     def bounded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return step(piece for part in parts for piece in _cut(part))
+        return step(piece for part in parts for piece in _cut(pa.RecordBatch.from_arrays(part.columns, names)))
 
-    return df.mapInArrow(bounded, schema)
+    # mapInArrow takes a name with a dot for a field of a struct
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(bounded, schema)
 
 
 def _cut(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -127,7 +151,6 @@ def bitmap(values: DataFrame, name: str, bits: int) -> bytes:
     It is built in parts by key and gathered: its size is fixed, whatever the number of values.
     """
     import numpy as np
-    from pyspark.sql import functions as F
 
     bit = F.col(name).bitwiseAND(F.lit(bits - 1)) + 1
     parts = (
@@ -159,10 +182,9 @@ def running(df: DataFrame, order: list, amount: str, name: str, scratch: Scratch
     Equal rows come in any order. The result is read from a table in the shared folder.
     """
     import numpy as np
-    from pyspark.sql import functions as F
     from pyspark.sql.types import LongType, StructField, StructType
 
-    part, = fresh([*df.columns, name], "part")
+    part, of, ahead_ = fresh([*df.columns, name], "part", "part_of", "ahead")
     fields = [*df.schema.fields, StructField(name, LongType()), StructField(part, LongType())]
 
     def add_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,10 +201,10 @@ def running(df: DataFrame, order: list, amount: str, name: str, scratch: Scratch
             )
 
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    local = scratch.table(ranged.mapInArrow(add_up, StructType(fields)), name)
-    before, ahead, of = [], 0, f"{part}_of"
-    for r in sorted(local.groupBy(part).agg(F.sum(amount).alias("total")).collect(), key=lambda r: r[part]):
+    local = scratch.table(batches(ranged, add_up, StructType(fields)), name)
+    before, ahead = [], 0
+    for r in sorted(local.groupBy(part).agg(F.sum(quoted(amount)).alias("total")).collect(), key=lambda r: r[part]):
         before.append((r[part], ahead))
         ahead += r["total"]
-    totals = df.sparkSession.createDataFrame(before, f"`{of}` long, ahead long")
-    return local.join(F.broadcast(totals), F.col(part) == F.col(of)).select(*df.columns, (F.col(name) + F.col("ahead")).alias(name))
+    totals = df.sparkSession.createDataFrame(before, f"`{of}` long, `{ahead_}` long")
+    return local.join(F.broadcast(totals), F.col(part) == F.col(of)).select(*own(df), (F.col(name) + F.col(ahead_)).alias(name))

@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from candlewright.llm.runtime import Scratch, batches, column
+from candlewright.llm.runtime import Scratch, batches, column, quoted
 
 #: Labelled rows that the model is fitted on, at most, and the tenths of them for the lexicon, the trees and the calibration.
 SAMPLE, PARTS = 16_000, (5, 3, 2)
@@ -140,9 +141,10 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     return Features(lexicon).of(text)
 
 
-def _featured(frame: DataFrame, lexicon, keep: str) -> DataFrame:
-    """The frame's columns but text, and features. keep: their schema."""
-    names = [x.split()[0] for x in keep.split(", ")]
+def _featured(frame: DataFrame, lexicon) -> DataFrame:
+    """The frame's columns but text, and features."""
+    keep = [f for f in frame.schema.fields if f.name != "text"]
+    names = [f.name for f in keep]
 
     def step(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Features(lexicon.value)
@@ -152,7 +154,7 @@ def _featured(frame: DataFrame, lexicon, keep: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * _FEATURES), flat)
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), lists], [*names, "raw"])
 
-    return batches(frame, step, f"{keep}, raw array<double>")
+    return batches(frame, step, StructType([*keep, StructField("raw", ArrayType(DoubleType()))]))
 
 
 def fit_lexicon(rows: DataFrame) -> dict[str, float]:
@@ -212,13 +214,12 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, labelled: DataFrame
     # at most ``sample`` ids and labels are broadcast
     rows = scratch.table(texts.join(F.broadcast(known), "id").select("id", "toxic", part.alias("part"), "text"), "labelled")
     lexicon = spark.sparkContext.broadcast(fit_lexicon(rows.where("part = 0")))
-    ready = scratch.table(_featured(rows.select("toxic", "part", "text").where("part > 0"), lexicon, "toxic int, part int").coalesce(2), "features")
+    ready = scratch.table(_featured(rows.select("toxic", "part", "text").where("part > 0"), lexicon).coalesce(2), "features")
     classes = {(r["part"], r["toxic"]) for r in ready.select("part", "toxic").distinct().collect()}
     vector = array_to_vector("raw").alias("features")
 
-    keep = "doc_id long" + "".join(f", __c_{i} {documents.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    everything = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(f"__c_{i}") for i, c in enumerate(carry)], F.col("text"))
-    scored = _featured(everything, lexicon, keep)
+    everything = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(quoted(c)).alias(f"__c_{i}") for i, c in enumerate(carry)], F.col("text"))
+    scored = _featured(everything, lexicon)
     extra = [f"__c_{i}" for i in range(len(carry))]
     if {(1, 0), (1, 1)} <= classes:
         learn = ready.where("part = 1").select(F.col("toxic").cast("double").alias("label"), vector)

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlewright.llm.runtime import repeated
+
 #: Rules up to which the rule table (about 200 bytes a row) is broadcast.
 BROADCAST_RULES = 100_000
 #: Hexadecimal digits of the short hash prefix (4 bytes).
@@ -104,7 +106,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
                 )
             ).alias("best"),
         )
-    return best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
+    return repeated(best, "copies", "copy").select(
         "page_id",
         "host",
         "path",
