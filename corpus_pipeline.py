@@ -5,50 +5,29 @@ shingle similarity 0.8 the row of the smallest doc_id stays (one row of it: of s
 doc_id's other texts are judged each by its own component; a null doc_id comes after all others; rows without words are no
 copies of anything and stay). decontamination: documents that hold a benchmark window go. secrets:
 spans are masked in the text. mixing: each document is repeated as often as the mix to the target weights takes it.
+An empty table leaves every stage empty; columns may have any names and come back as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from candlewright.llm.decontaminate import clean_documents
-from candlewright.llm.jaccard import jaccard_keepers
+from candlewright.llm.jaccard import near_duplicate_survivors
 from candlewright.llm.mixing import mixed_documents
-from candlewright.llm.runtime import Scratch, fresh
+from candlewright.llm.runtime import Scratch
 from candlewright.llm.secrets import redact_secrets
 from candlewright.llm.toxicity import acceptable_documents
 
 
-#: Has the text a word, as shingles are cut?
-WORDS = r"[^\x20\x09-\x0D]"
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return acceptable_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    none, id_, mark = fresh(docs.columns, "no_id", "known_id", "mark")
-
-    def key(text_mark: Column) -> dict[str, Column]:
-        known = F.col("doc_id").cast("long")
-        return {none: known.isNull(), id_: F.coalesce(known, F.lit(0)), mark: text_mark}
-
-    judged = F.coalesce(F.col("text").rlike(WORDS), F.lit(False))
-    kept = jaccard_keepers(docs, 5, 80).select(*[c.alias(k) for k, c in key(F.col("mark")).items()])
-    # a row is known by doc_id and text; its repeats leave one row, and that stays if it stands for its component
-    once = docs.where(judged).withColumns(key(F.xxhash64("text")))
-    rest = [F.col(c) for c in docs.columns]
-    first = once.groupBy(none, id_, mark).agg(F.min(F.struct(*rest)).alias("row")) if _orderable(docs) else once.dropDuplicates([none, id_, mark]).select(none, id_, mark, F.struct(*rest).alias("row"))
-    return first.join(kept, [none, id_, mark], "left_semi").select("row.*").unionByName(docs.where(~judged))
-
-
-def _orderable(docs: DataFrame) -> bool:
-    """Can rows be put in a total order? (Maps have none.)"""
-    return "map<" not in docs.schema.simpleString()
+    return near_duplicate_survivors(docs, 5, 80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
