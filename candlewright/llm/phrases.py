@@ -32,10 +32,10 @@ LEAST = 10
 LONGEST = 3
 REPORTED = 2000
 #: Words whose runs are told apart at once, and bytes of text that one automaton is built from.
-CHUNK = 1_500_000
-SHARD_BYTES = 12_000_000
-#: Bits of the map of frequent runs (16 MB).
-BITS = 1 << 27
+CHUNK = 500_000
+SHARD_BYTES = 4_000_000
+#: Bits of the map of frequent runs for each of them, and at most (16 MB).
+BITS_PER_RUN, BITS = 16, 1 << 27
 #: More languages than this are joined, not broadcast.
 LANGUAGES = 100_000
 
@@ -57,9 +57,8 @@ class Shard:
     def __init__(self, texts: pa.Array):
         words = split(texts, _NO_WORD, lower=True)
         self.hashes = word_hashes(words)
-        breaks = np.concatenate([[0], np.cumsum(_BREAK[np.frombuffer(words.data, dtype=np.uint8)])])
-        # a piece ends at a break or with its text
-        self.piece = breaks[words.start] + words.row if len(words) else np.empty(0, dtype=np.int64)
+        breaks = np.flatnonzero(_BREAK[np.frombuffer(words.data, dtype=np.uint8)])
+        self.piece = np.searchsorted(breaks, words.start) + words.row  # a piece ends at a break or with its text
         ends = np.append(words.start, words.end[-1:]).astype(np.int64)
         with_blanks = pa.Array.from_buffers(pa.large_string(), len(words), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(words.data)])
         coded = pc.ascii_rtrim(with_blanks, characters=(_BREAKS + _BLANKS).decode()).dictionary_encode()
@@ -114,24 +113,24 @@ class Automaton:
 
 
 def _shards(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]]:
-    """(language, texts): texts of one language, some SHARD_BYTES of them together."""
+    """(language, texts): texts of one language, SHARD_BYTES of them together at most (one longer text alone)."""
     held: list[pa.RecordBatch] = []
 
     def groups() -> Iterator[tuple[str, pa.Array]]:
-        table = pa.Table.from_batches(held).combine_chunks()
+        table = pa.Table.from_batches(held)
+        held.clear()
         for lang in table.column("lang").unique().to_pylist():
-            texts = table.column("text").filter(pc.equal(table.column("lang"), lang)).combine_chunks()
-            texts = (pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts).cast(pa.large_string())
-            for a, b in slices(texts, SHARD_BYTES):
-                yield lang, texts.slice(a, b - a)
+            texts = table.column("text").filter(pc.equal(table.column("lang"), lang))
+            yield lang, pa.concat_arrays([x.cast(pa.large_string()) for x in texts.chunks])
 
     size = 0
     for batch in parts:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= SHARD_BYTES:
-            yield from groups()
-            held, size = [], 0
+        for a, b in slices(column(batch, "text"), SHARD_BYTES):
+            held.append(batch.slice(a, b - a))
+            size += held[-1].nbytes
+            if size >= SHARD_BYTES:
+                yield from groups()
+                size = 0
     if held:
         yield from groups()
 
@@ -193,7 +192,8 @@ def frequent_phrases(documents: DataFrame, least: int, longest: int, scratch: Sc
     level = out
     for d in range(3, longest + 1):
         below = level.where(F.size(_words()) == d - 1)
-        level = scratch.table(run_counts(documents, (d,), _mapped(below, d - 1, bits), bits).where(F.col("n") >= least), "runs")
+        used = 1 << min(bits.bit_length() - 1, max(20, (BITS_PER_RUN * below.count()).bit_length()))
+        level = scratch.table(run_counts(documents, (d,), _mapped(below, d - 1, used), used).where(F.col("n") >= least), "runs")
         out = out.unionByName(level)
     return out.select("lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(F.size(_words())).alias("words"), "n")
 
