@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candlewright.operators import language, semantics
+from tests import plain_reader
 
 
 def digits(n):
@@ -75,14 +76,14 @@ def test_fast_and_slow_agree(spark):
         texts.append(rng.choice([" ", "", "\n"]).join(words) if rng.random() < 0.3 else " ".join(words))
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     for r in language.parse_clean(frame).where("clean").collect():
-        slow = language.parse(texts[r.i])
+        slow = plain_reader.parse(texts[r.i])
         assert slow["n_structural"] + slow["n_value"] == 0, texts[r.i][-200:]
         for k in ("trend", "current_price_bin", "zone_direction", "zone_lower", "zone_upper", "price_in_zone", "good_price_action", "action_type", "sl", "rr"):
             assert slow[k] == r[k]
         assert slow["candles"] == [c.asDict() for c in r.candles]
     clean = {r.i for r in language.parse_clean(frame).where("clean").collect()}
     for i, t in enumerate(texts):
-        got = language.parse(t or "")
+        got = plain_reader.parse(t or "")
         assert (got["n_structural"] + got["n_value"] == 0) == (i in clean), t
 
 
@@ -92,7 +93,7 @@ def test_intended_action(spark):
 
 
 def test_unknown_text_is_one_token():
-    assert language.lex("foo bar<baz SL:")[0] == "???l$"
+    assert plain_reader.lex("foo bar<baz SL:")[0] == "???l$"
 
 
 def test_unicode_space_and_digits(spark):
@@ -109,3 +110,41 @@ def test_kind_counts(spark):
     frame = spark.createDataFrame([("a", CLEAN), ("a", None), ("b", "what <O_1>SL:")], "name string, text string")
     got = {(r.name, r.kind): r.n for r in language.kind_counts(frame, "text", "name").collect()}
     assert got["a", "O"] == got["a", "C"] == 50 and got["b", "?"] == got["b", "O"] == got["b", "l"] == 1 and ("a", "?") not in got
+
+
+def test_any_text_is_read_as_plainly(spark):
+    """Random texts of tokens, broken tokens and noise: every field and count as the plain reader has them."""
+    rng = random.Random(12)
+    bits = [
+        "<chart>", "</chart>", "<O_500>", "<H_9>", "<L_01023>", "<C_1024>", "<C_500>", "<O_99999999999999999999>", "<think>", "</think>", "<trend>UP</trend>", "<trend>SIDE</trend>", "<current_price>", "</current_price>",
+        "<zone_support>", "</zone_support>", "<zone_resistance>", "</zone_resistance>", "<price_in_zone>", "<good_price_action>", "<action>", "</action>", "BUY", "SELL", "CANCEL_BUY", "HOLD", "SL:", "<RR_3>", "<RR_0>",
+        "0", "5", "0 4 9 5", "1 0 2 4", "1023", ":", "?", "x", "_", "é", "½", "٥", "<O_١٠>", "$", "|", "[", "]{}()$", "<O_5", "\n", "\t", " ", "\x1d", "\x0b", "BUYx", "5BUY", "BUY5", "<", ">", "\\1", "${A}",
+    ]
+    whole = "<O_500> <H_503> <L_497> <C_500>"
+    texts = ["", None, "$", "5BUY <action> 5 BUY</action>", "<action>5BUY", "<action>٣5BUY SL:5"]
+    for _ in range(700):
+        parts = rng.choices(bits, k=rng.randint(1, 25))
+        texts.append(rng.choice([" ", "", " "]).join(parts))
+    for _ in range(500):  # nearly whole programs
+        words = CLEAN.replace(f"{whole} " * 30, "", 1).split(" ") if rng.random() < 0.5 else CLEAN.split(" ")
+        for _ in range(rng.randint(1, 6)):
+            i = rng.randrange(len(words))
+            words[i : i + rng.randint(0, 2)] = rng.choices(bits, k=rng.randint(0, 2))
+        texts.append(rng.choice([" ", " ", "", " "]).join(words))
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(4)
+    rows = language.token_kinds(language.parse_programs(frame)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want, t = plain_reader.parse(texts[r.i] or ""), texts[r.i]
+        assert r.kinds == plain_reader.lex(t or "")[0][:-1], repr(t)
+        got = {k: r[k] for k in want}
+        got["candles"] = None if r.candles is None else [c.asDict() for c in r.candles]
+        want["trend"] = want["trend"] or None
+        assert got == want, repr(t)
+
+
+def test_no_python_in_the_reader(spark):
+    frame = spark.createDataFrame([("x",)], "text string")
+    for out in (language.parse_programs(frame), language.kind_counts(frame, "text")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
