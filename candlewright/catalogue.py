@@ -740,6 +740,15 @@ def decoded_text(spark: SparkSession, sf: str) -> DataFrame:
 _CUT = f"least(count(*) + 2, {MAX_LENGTH})"
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder, for what is looked at from several sides."""
+    import uuid
+
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @_query(
     f"""WITH RECURSIVE {_TEXT}, lb AS (SELECT window_id, k, any_value(np) AS np, count(*) AS n, list(id ORDER BY pos) AS ids FROM tk GROUP BY window_id, k),
 f AS (SELECT window_id, k, np, list_concat(list_concat([1], ids), [2])[1:{MAX_LENGTH}] AS ids FROM lb)
@@ -773,7 +782,8 @@ def verify_violations(spark: SparkSession, sf: str) -> DataFrame:
     """A stored set that has lost its HOLD rows, and texts with a word that no vocabulary has."""
     r = _texts(spark, sf).withColumn("row_id", F.concat(F.col("window_id"), F.lit("/"), F.col("k").cast("string")))
     ids, labels = tokens.labels(F.col("prompt"), tokens.encode(language.assembled(F.col("prompt"), F.col("completion"))), 512)
-    mapped = r.where(~F.contains("completion", F.lit(" HOLD "))).select("row_id", ids.alias("input_ids"), labels.alias("labels"))
+    r = _stored(r.select("row_id", "prompt", "completion", ids.alias("input_ids"), labels.alias("labels")), "rows")
+    mapped = r.where(~F.contains("completion", F.lit(" HOLD "))).select("row_id", "input_ids", "labels")
     return tokens.violations(r.select("row_id", "prompt", "completion"), mapped, "row_id", 512)
 
 
@@ -793,7 +803,7 @@ def prompt_tokens(spark: SparkSession, sf: str) -> DataFrame:
 @_query(f"WITH RECURSIVE {_PROMPT} SELECT window_id, CASE WHEN symbol = 'view' THEN 'no_mapped' ELSE 'prompt' END AS violation FROM pr WHERE symbol = 'view' OR window_no = 0")
 def verify_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """A stored set that lacks a symbol, and whose first windows begin with another token."""
-    rows = dataset.prompt_rows(X.windows(spark, sf))
+    rows = _stored(dataset.prompt_rows(X.windows(spark, sf)), "prompts")
     ids = tokens.prompt_ids(F.col("prompt"), _SHORT)[0]
     wrong = F.when(F.endswith("window_id", F.lit("_0")), F.concat(F.array(F.lit(EOS + 2)), F.slice(ids, 3, _SHORT))).otherwise(ids)
     return tokens.prompt_violations(rows, rows.where("symbol <> 'view'").select("window_id", wrong.alias("prompt_input_ids")), "window_id")

@@ -7,6 +7,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from candlewright.operators.reconcile import digested, in_buckets, unequal_buckets
 from candlewright.schema import ACTIONS, BIN_MAX, BOS, EOS, LABEL_PAD, PAD, RR_MAX, RR_MIN, TRENDS, UNK
 
 
@@ -89,22 +90,39 @@ def length_profile(rows: DataFrame, length: Column, max_length: int, by: str = "
     )
 
 
-def violations(raw: DataFrame, mapped: DataFrame, key: str, max_length: int) -> DataFrame:
-    """Rows of tokenised data that break a rule, over all rows: missing, lengths, mask not a prefix, completion not restored."""
-    met = raw.join(mapped, key, "full_outer")
+def broken_rule(max_length: int) -> Column:
+    """The rule that a row of completion, input_ids and labels breaks, or null: a side missing, lengths, mask not a prefix, completion not restored."""
     shown = F.size(F.filter("labels", lambda x: x != LABEL_PAD))
     tail = F.slice("labels", F.size("labels") - shown + 1, F.greatest(shown, F.lit(1)))
     back = decode(F.filter(F.col("labels"), lambda x: x != LABEL_PAD))
     done = F.concat_ws(" ", _words(F.col("completion")))
     cut = F.size("input_ids") >= max_length
-    rule = (
+    return (
         F.when(F.col("completion").isNull(), "no_raw")
         .when(F.col("labels").isNull(), "no_mapped")
         .when(F.size("labels") != F.size("input_ids"), "length")
         .when((shown > 0) & ~F.forall(tail, lambda x: x != LABEL_PAD), "mask")
         .when((back != done) & ~(cut & F.startswith(done, back)), "completion")
     )
-    return met.select(key, rule.alias("violation")).where("violation is not null")
+
+
+def violations(raw: DataFrame, mapped: DataFrame, key: str, max_length: int) -> DataFrame:
+    """Rows of tokenised data that break a rule, over all rows. raw: key, prompt, completion; mapped: key, input_ids, labels.
+
+    What the texts should have become is digested by bucket of keys on one side, what is stored on the other; only buckets that differ, or hold a
+    text that breaks a rule even when encoded right, are joined row by row.
+    """
+    ids, masked = labels(F.col("prompt"), encode(F.concat_ws(" ", "prompt", "completion")), max_length)
+    wanted = raw.select(key, "completion", ids.alias("input_ids"), masked.alias("labels")).withColumn("sound", broken_rule(max_length).isNull())
+    odd = unequal_buckets(digested(wanted, key, F.col("sound"), "input_ids", "labels"), digested(mapped, key, F.lit(True), "input_ids", "labels"))
+    met = in_buckets(raw.select(key, "completion"), key, odd).join(in_buckets(mapped.select(key, "input_ids", "labels"), key, odd), key, "full_outer")
+    return met.select(key, broken_rule(max_length).alias("violation")).where("violation is not null")
+
+
+def previews(found: DataFrame, each: int = 5, by: str = "violation") -> DataFrame:
+    """The first ``each`` rows of every rule, in order of the other columns."""
+    order = [c for c in found.columns if c != by]
+    return found.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__n") <= each).drop("__n")
 
 
 def padded(rows: DataFrame, batch: str, multiple: int = 1) -> DataFrame:
@@ -127,10 +145,17 @@ def prompt_ids(prompt: Column, max_length: int) -> tuple[Column, Column, Column]
 
 
 def prompt_violations(raw: DataFrame, mapped: DataFrame, key: str) -> DataFrame:
-    """Tokenised prompts that break a rule, over all rows: missing on a side, or neither the prompt nor a start of it. raw: key, prompt; mapped: key, prompt_input_ids."""
-    met = raw.select(key, "prompt").join(mapped.select(key, "prompt_input_ids"), key, "full_outer")
-    back, whole = decode(F.col("prompt_input_ids")), F.concat_ws(" ", _words(F.col("prompt")))
-    rule = F.when(F.col("prompt").isNull(), "no_raw").when(F.col("prompt_input_ids").isNull(), "no_mapped").when(~F.startswith(whole, back), "prompt")
+    """Tokenised prompts that break a rule, over all rows: missing on a side, or neither the prompt nor a start of it. raw: key, prompt; mapped: key, prompt_input_ids.
+
+    By digests of buckets first, as ``violations``; a stored prompt is held against as many ids of its text as it has.
+    """
+    back, text = decode(F.col("prompt_input_ids")), F.concat_ws(" ", _words(F.col("prompt")))
+    rule = F.when(F.col("prompt").isNull(), "no_raw").when(F.col("prompt_input_ids").isNull(), "no_mapped").when(~F.startswith(text, back), "prompt")
+    longest = mapped.agg(F.max(F.size("prompt_input_ids")).alias("__longest"))  # one row
+    wanted = raw.select(key, "prompt").join(F.broadcast(longest), how="cross").withColumn("prompt_input_ids", F.slice(encode(F.col("prompt"), "plain"), F.lit(1), F.coalesce("__longest", F.lit(0))))
+    wanted = wanted.withColumn("sound", rule.isNull())
+    odd = unequal_buckets(digested(wanted, key, F.col("sound"), "prompt_input_ids"), digested(mapped, key, F.lit(True), "prompt_input_ids"))
+    met = in_buckets(raw.select(key, "prompt"), key, odd).join(in_buckets(mapped.select(key, "prompt_input_ids"), key, odd), key, "full_outer")
     return met.select(key, rule.alias("violation")).where("violation is not null")
 
 

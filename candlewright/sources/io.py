@@ -79,12 +79,29 @@ def append_scales(scales: DataFrame, path: str, version: int) -> None:
     scales.select("symbol", "scale", F.format_string("%.2f", "scale").alias("shown"), F.lit(version).alias("version")).write.mode("append").parquet(path)
 
 
-def records_from_json(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all files that a glob names; a file is a list or an object with ``records``. Columns that a file lacks are null."""
-    text = spark.read.text(path, wholetext=True)
-    listed = F.when(F.ltrim(F.col("value")).startswith("["), F.from_json("value", f"array<struct<{_struct()}>>")).otherwise(
-        F.from_json("value", f"struct<records:array<struct<{_struct()}>>>")["records"]
-    )
+def records_from_json(spark: SparkSession, *paths: str) -> DataFrame:
+    """Records of all files that the paths and globs name; a file is a list or an object with ``records``. Columns that a file lacks are null.
+
+    A path that names nothing is passed over. A file that can't be read raises an error with its name: no record is lost in silence.
+    """
+    there = []
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place) or []
+        for empty in (f for f in found if f.isFile() and not f.getLen()):  # Spark reads no row of an empty file
+            raise ValueError(f"records can't be read: {empty.getPath()}")
+        if len(found):
+            there.append(spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file")))
+    if not there:
+        return spark.createDataFrame([], RECORDS)
+    text = there[0]
+    for more in there[1:]:
+        text = text.unionByName(more)
+    kind = f"array<struct<{_struct()}>>"
+    whole = F.when(F.ltrim(F.col("value")).startswith("["), F.from_json("value", kind)).otherwise(F.from_json("value", f"struct<records:{kind}>")["records"])
+    # an object without records is an empty log; anything else that gives no list is broken
+    empty = F.ltrim(F.col("value")).startswith("{") & F.json_object_keys("value").isNotNull() & F.get_json_object("value", "$.records").isNull()
+    listed = F.when(empty, F.from_json(F.lit("[]"), kind)).otherwise(F.coalesce(whole, F.raise_error(F.concat(F.lit("records can't be read: "), F.col("file"))).cast(kind)))
     return text.select(F.inline(listed))
 
 
