@@ -295,6 +295,39 @@ def lex_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return language.kind_counts(text, "text", "symbol")
 
 
+_BINS = "[x::INT FOR x IN regexp_extract_all(t, '<[OHLC]_([0-9]+)>', 1)]"
+_CANDLE_BINS = r"<O_([0-9]+)>\s*<H_([0-9]+)>\s*<L_([0-9]+)>\s*<C_([0-9]+)>"
+_WHOLE = f"list_filter(regexp_extract_all(t, '{_CANDLE_BINS}'), lambda x: list_max([y::INT FOR y IN regexp_extract_all(x, '_([0-9]+)>', 1)]) <= 1023)"
+_PRICE = r"regexp_replace(regexp_extract(t, '<current_price>([0-9 ]*)</current_price>', 1), ' ', '', 'g')"
+
+
+@_query(
+    f"""WITH RECURSIVE {X.DECISIONS}, pr AS (SELECT symbol, window_no, {_CHART} AS prompt FROM q GROUP BY symbol, window_no), whole_text AS (SELECT window_id, k, prompt || ' ' || {_COMPLETION} AS text FROM d JOIN pr USING (symbol, window_no)),
+spoilt AS (SELECT window_id, k, CASE k % 6 WHEN 1 THEN regexp_replace(text, '<O_[0-9]+>', '<O_2000>') WHEN 2 THEN regexp_replace(text, '[0-9] </current_price>', CASE WHEN regexp_matches(text, '0 </current_price>') THEN '1' ELSE '0' END || ' </current_price>')
+  WHEN 3 THEN regexp_replace(text, ' SL:( [0-9])+', '') WHEN 4 THEN replace(text, ' ', '') WHEN 5 THEN regexp_replace(text, '<chart>.*</chart>', '') ELSE text END AS t FROM whole_text),
+seen AS (SELECT window_id, k, regexp_matches(t, '<chart>') AS charted, regexp_matches(t, '<action>\\s*(BUY|SELL)\\s') AND NOT regexp_matches(t, 'SL:') AS bare, regexp_matches(t, '(BUY|SELL)SL:') AS glued,
+  len(list_filter({_BINS}, lambda x: x > 1023)) AS beyond, {_WHOLE} AS whole, {_PRICE} AS price FROM spoilt),
+read AS (SELECT window_id, k, (NOT charted)::INT + bare::INT + 3 * glued::INT AS n_structural, CASE WHEN charted THEN beyond + (len(whole) <> 50)::INT + (price::INT <> regexp_extract(whole[-1], 'C_([0-9]+)', 1)::INT)::INT ELSE 0 END AS n_value, NOT charted OR glued AS guarded FROM seen)
+SELECT window_id, k::BIGINT AS k, n_structural::BIGINT AS n_structural, n_value::BIGINT AS n_value, round(greatest(0, 1 - (0.15::DOUBLE * n_structural + 0.3::DOUBLE * n_value)), 6) AS wf_score, guarded FROM read"""
+)
+def spoilt_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts with a candle out of range, another price, a trade without a stop, no blanks or no chart; the SQL counts what it finds in them."""
+    whole = language.assembled(F.col("prompt"), F.col("clean_completion"))
+    k = F.col("k") % 6
+    digit = F.when(F.col("whole").rlike("0 </current_price>"), "1").otherwise("0")
+    text = (
+        F.when(k == 1, F.concat(F.substring_index("whole", "<O_", 1), F.lit("<O_2000>"), F.regexp_extract("whole", r"^[^_]*_[0-9]+>([\s\S]*)$", 1)))
+        .when(k == 2, F.regexp_replace(F.col("whole"), F.lit("[0-9] </current_price>"), F.concat(digit, F.lit(" </current_price>"))))
+        .when(k == 3, F.regexp_replace("whole", " SL:( [0-9])+", ""))
+        .when(k == 4, F.regexp_replace("whole", " ", ""))
+        .when(k == 5, F.regexp_replace("whole", "<chart>.*</chart>", ""))
+        .otherwise(F.col("whole"))
+    )
+    rows = _stored(X.rollouts(spark, sf).withColumn("whole", whole).select("window_id", "k", text.alias("text")), "spoilt")
+    read = semantics.with_semantics(language.parse_programs(rows))
+    return read.select("window_id", *_long("k", "n_structural", "n_value"), _r("wf_score").alias("wf_score"), F.array_contains("violations", "guard").alias("guarded"))
+
+
 # --- semantics and outcomes ---------------------------------------------------------------------------------------
 
 
