@@ -159,6 +159,7 @@ def run_counts(documents: DataFrame, levels: tuple[int, ...], frequent: bytes |
                     for a in range(0, len(counts), 100_000):
                         some = names.slice(a, 100_000).cast(pa.string())
                         yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(some)), some, pa.array(counts[a : a + 100_000], pa.int64())], ["lang", "phrase", "n"])
+            pa.default_memory_pool().release_unused()  # else the allocator keeps what the largest shard took
 
     each = batches(_language(documents), step, "lang string, phrase string, n long")
     return each.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
