@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewright.operators import bars as B
-from candlewright.operators import control, dataset, forward, generate, language, reports, reward, semantics, tokens
+from candlewright.operators import control, dataset, forward, generate, language, permute, reports, reward, semantics, tokens
 from candlewright.operators import windows as W
 from candlewright.plans import fixtures as X
 from candlewright.plans.presets import ACTION_GROUPS, GATE_PASSED, GROUPS, MODEL_SIZES, ROUND1, ROUND1_V2, ROUND2, SETTINGS, ZONE_GROUPS, settings
 from candlewright.plans.shared import shared_dir
 from candlewright.schema import EOS, LABEL_PAD
-from candlewright.sources import io
+from candlewright.sources import bucketed, io, rollup, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -228,6 +229,42 @@ def shuffled_tasks_head(spark: SparkSession, sf: str) -> DataFrame:
     return listed.select(F.posexplode("all").alias("place", "r")).select("r.*", *_long("place"))
 
 
+_SHARDS, _EPOCH = 5, 1
+_PLACES = f"""{X.WINDOWS},
+z AS (SELECT symbol || '_' || window_no || '_' || task AS window_id, row_number() OVER (ORDER BY symbol, window_no, task = 'action') - 1 AS x FROM starts CROSS JOIN (SELECT unnest(['zone', 'action']) AS task)),
+m AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a, ceil(count(*) / greatest(ceil(sqrt(count(*))), 1))::BIGINT AS b FROM z),
+mv(window_id, t, l, r) AS (SELECT window_id, 0, x // b, x % b FROM z, m UNION ALL
+  SELECT window_id, t + 1, CASE WHEN t % 2 = 0 THEN (l + ('0x' || substr(md5({42 * 1_000_003 + _EPOCH} || '|' || t % {permute.MOVES} || '|' || r), 1, 8))::BIGINT % a) % a ELSE l END,
+    CASE WHEN t % 2 = 1 THEN (r + ('0x' || substr(md5({42 * 1_000_003 + _EPOCH} || '|' || t % {permute.MOVES} || '|' || l), 1, 8))::BIGINT % b) % b ELSE r END
+  FROM mv, m WHERE t = 0 OR t % {permute.MOVES} > 0 OR l * b + r >= n),
+pl AS (SELECT window_id, l * b + r AS place, ceil(n / {_SHARDS})::BIGINT AS size FROM mv, m WHERE t > 0 AND t % {permute.MOVES} = 0 AND l * b + r < n)
+SELECT window_id, place::BIGINT AS place, (place // size)::BIGINT AS shard, (place % size)::BIGINT AS "offset" FROM pl"""
+
+
+def _dealt(spark: SparkSession, sf: str) -> DataFrame:
+    """Both tasks of every window in a seeded order. A row's number is its symbol's begin, twice its window's number and its task's."""
+    tasks = F.explode(F.array(*map(F.lit, dataset.TASKS)))
+    rows = _stored(W.window_starts(X.rows(spark, sf)).select("symbol", "window_no", tasks.alias("task_id")), "tasks")
+    index = F.col("window_no") * len(dataset.TASKS) + F.when(F.col("task_id") == dataset.TASKS[0], 0).otherwise(1)
+    numbered, n = permute.numbered_by(rows, "symbol", index)
+    named = numbered.withColumn("window_id", F.concat_ws("_", "symbol", F.col("window_no").cast("string"), "task_id"))
+    return permute.dealt(named, "__row", n, 42, _EPOCH, _SHARDS).select("window_id", "place", "shard", "offset")
+
+
+@_query(f"WITH RECURSIVE {_PLACES}")
+def shuffled_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Place, shard and offset of every task row, found by the row alone."""
+    return _dealt(spark, sf)
+
+
+@_query(f"WITH RECURSIVE {_PLACES} WHERE place // size > 1 OR (place // size = 1 AND place % size >= 3)")
+def shuffled_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """An epoch written in shards and taken up again at the fourth row of its second."""
+    path = f"{shared_dir(spark)}/epochs-{uuid4().hex}"
+    permute.write_epoch(_dealt(spark, sf), path, _EPOCH, _SHARDS)
+    return permute.remaining(spark, path, _EPOCH, 1, 3).select("window_id", "place", "shard", "offset")
+
+
 @_query(f"WITH RECURSIVE {X.WINDOWS} SELECT DISTINCT symbol || '_' || window_no AS window_id FROM q ORDER BY 1 LIMIT 10")
 def prompt_rows_head(spark: SparkSession, sf: str) -> DataFrame:
     return dataset.prompt_rows(X.windows(spark, sf)).select("window_id").orderBy("window_id").limit(10)
@@ -635,6 +672,54 @@ def counts_since_step(spark: SparkSession, sf: str) -> DataFrame:
 # --- controllers --------------------------------------------------------------------------------------------------
 
 
+_LOGGED = "passed boolean, trend string, action_type string, r_multiple double, rr int"
+
+
+def _shards(spark: SparkSession, sf: str) -> DataFrame:
+    kept = _records(spark, sf).select("step", F.pmod(F.crc32(F.col("window_id").cast("binary")), F.lit(3)).alias("rank"), *[f.split()[0] for f in _LOGGED.split(", ")])
+    return _stored(kept, "records")
+
+
+def _logged(spark: SparkSession, sf: str) -> str:
+    """A log of which step 1 was written twice, step 3 first by rank 0 alone and cut short, and the others once."""
+    log, rows = f"{shared_dir(spark)}/log-{uuid4().hex}", _shards(spark, sf)
+    shards.append_shards(rows.where("step < 3 or (step = 3 and rank = 0 and not passed)"), log, ROUND1.round_id)
+    shards.append_shards(rows.where("step = 1 or step >= 3"), log, ROUND1.round_id)
+    return log
+
+
+def _rolled(spark: SparkSession, sf: str) -> str:
+    """Sums brought up to date before and after late and repeated steps."""
+    folder, rows = f"{shared_dir(spark)}/rollup-{uuid4().hex}", _shards(spark, sf)
+    for part in ("step in (0, 1, 5) or (step = 3 and rank = 0 and not passed)", "step = 1 or step in (2, 3, 4, 6)"):
+        shards.append_shards(rows.where(part), f"{folder}/log", ROUND1.round_id)
+        rollup.refresh(spark, f"{folder}/log", f"{folder}/sums", ROUND1.round_id, F.col("passed"), _LOGGED)
+    return f"{folder}/sums"
+
+
+@_query(f"WITH RECURSIVE {_RECORDS} SELECT step::BIGINT AS step, action AS action_type, count(*) AS n, round(sum(rmul), 6) AS total_r, sum(rr)::BIGINT AS total_rr FROM rec GROUP BY ALL")
+def shard_log(spark: SparkSession, sf: str) -> DataFrame:
+    """What is read back, checked by digests, from a log with repeated shards."""
+    rows = shards.read_shards(spark, _logged(spark, sf), ROUND1.round_id, schema=_LOGGED)
+    return rows.groupBy("step", "action_type").agg(F.count("*").alias("n"), _r(F.sum("r_multiple")).alias("total_r"), F.sum("rr").alias("total_rr"))
+
+
+@_query(_SQL["stats_trend_action"])
+def rollup_trend_action(spark: SparkSession, sf: str) -> DataFrame:
+    sums = rollup.partials(spark, _rolled(spark, sf), ROUND1.round_id)
+    return rollup.trend_action(sums).select("trend", "action_type", "n", *[_r(c).alias(c) for c in ("avg_r", "win_rate", "avg_rr", "share")])
+
+
+@_query(_SQL["group_rollup"])
+def rollup_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return rollup.group_rollup(rollup.partials(spark, _rolled(spark, sf), ROUND1.round_id))
+
+
+@_query(_SQL["counts_since_step"])
+def rollup_since_step(spark: SparkSession, sf: str) -> DataFrame:
+    return rollup.counts(rollup.partials(spark, _rolled(spark, sf), ROUND1.round_id, since=3))
+
+
 def _settings(spark: SparkSession, config=ROUND2) -> DataFrame:
     return spark.createDataFrame(settings(config), SETTINGS)
 
@@ -820,6 +905,23 @@ def verify_violations(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.violations(r.select("row_id", "prompt", "completion"), mapped, "row_id", 512)
 
 
+@_query(
+    f"""WITH RECURSIVE {_TEXT}, lb AS (SELECT window_id, k, any_value(np) AS np, count(*) + 2 AS n FROM tk GROUP BY window_id, k)
+SELECT window_id || '/' || k AS row_id, np::BIGINT AS words, n::BIGINT AS ids FROM lb WHERE k % 2 = 1"""
+)
+def bucketed_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw and tokenised rows of the val split, stored by bucket and met within the buckets."""
+    split = F.when(F.col("k") % 2 == 0, "train").otherwise("val").alias("split")
+    rows = _texts(spark, sf).select(F.concat("window_id", F.lit("/"), F.col("k").cast("string")).alias("row_id"), split, "prompt", "completion")
+    name = f"pairs_{uuid4().hex}"
+    bucketed.save(rows, f"{name}_raw", f"{shared_dir(spark)}/{name}/raw", "row_id", 8)
+    raw = spark.table(f"{name}_raw")
+    ids = tokens.encode(language.assembled(F.col("prompt"), F.col("completion")))
+    bucketed.save(raw.select("row_id", "split", ids.alias("input_ids")), f"{name}_mapped", f"{shared_dir(spark)}/{name}/mapped", "row_id", 8)
+    met = bucketed.paired(raw, spark.table(f"{name}_mapped"), "row_id", "val")
+    return met.select("row_id", F.size(F.split("prompt", " ")).cast("long").alias("words"), F.size("input_ids").cast("long").alias("ids"))
+
+
 _PROMPT = f"""{X.WINDOWS}, {_VOCAB_TABLE}, pr AS (SELECT symbol, symbol || '_' || window_no AS window_id, window_no, {_CHART} AS prompt FROM q GROUP BY symbol, window_no),
 pw AS (SELECT symbol, window_no, window_id, id, pos FROM (SELECT symbol, window_no, window_id, unnest(string_split(prompt, ' ')) AS token, generate_subscripts(string_split(prompt, ' '), 1) AS pos FROM pr) JOIN vocab USING (token))"""
 _SHORT = 200

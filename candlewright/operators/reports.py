@@ -27,11 +27,18 @@ def rr_histogram(records: DataFrame, where: Column) -> DataFrame:
 
 def group_rollup(records: DataFrame, where: Column) -> DataFrame:
     """Counts of actions, their groups and all; every group is listed, with 0 where it has none."""
-    spark = records.sparkSession
-    counted = records.where(where).withColumn("grp", action_group(F.col("action_type"))).where("grp is not null").rollup("grp", "action_type").agg(F.count("*").alias("n"))
-    groups = spark.createDataFrame([(g,) for g in GROUPS], "grp string")
-    empty = groups.join(counted.where("action_type is null and grp is not null"), "grp", "left_anti").select("grp", F.lit(None).cast("string").alias("action_type"), F.lit(0).cast("long").alias("n"))
-    return counted.unionByName(empty)
+    return group_counts(records.where(where), F.count("*"))
+
+
+def group_counts(rows: DataFrame, n: Column) -> DataFrame:
+    """grp, action_type, n of actions, groups and all. The rows are read once; their counts are laid beside the list of groups."""
+    spark = rows.sparkSession
+    counted = rows.withColumn("grp", action_group(F.col("action_type"))).where("grp is not null").groupBy("grp", "action_type").agg(n.alias("n"))
+    groups = spark.createDataFrame([(g, None, 0) for g in GROUPS], "grp string, action_type string, n long")
+    summed = counted.unionByName(groups).rollup("grp", "action_type").agg(F.grouping_id().alias("level"), F.sum("n").alias("n"))
+    # the list's own rows (an action of none) fall out; with no row at all there is no total either, as in SQL's rollup of no rows
+    total = F.col("level") == 3
+    return summed.where((F.col("level") == 1) | (F.col("action_type").isNotNull() & (F.col("level") == 0)) | (total & (F.col("n") > 0))).select("grp", "action_type", "n")
 
 
 def intended_rates(records: DataFrame) -> DataFrame:
