@@ -653,6 +653,41 @@ def printed_report(spark: SparkSession, sf: str) -> DataFrame:
     return reports.report_lines(reports.trend_action(_records(spark, sf), F.col("passed")))
 
 
+def _percent(c: str, places: int = 1) -> str:
+    return f"{_number(f'({c}) * 100', places)} || '%'"
+
+
+@_query(
+    f"""WITH RECURSIVE {_EVAL}, rt AS (SELECT count(*) AS n, count(*) FILTER (wf) / greatest(count(*), 1) AS w, count(*) FILTER (wf AND judged_ok) / greatest(count(*) FILTER (wf), 1) AS sw, count(*) FILTER (wf AND judged_ok) / greatest(count(*), 1) AS sa FROM ev),
+su AS (SELECT trend, action, count(*) AS n, avg(CASE WHEN trade THEN rm END) AS g, avg(CASE WHEN trade THEN rm - 0.65::DOUBLE / risk END) AS net, avg(CASE WHEN trade THEN (st = 'WIN')::INT END) AS win, avg(CASE WHEN trade THEN (st = 'TIMEOUT')::INT END) AS tout
+  FROM ev WHERE wf AND judged_ok GROUP BY trend, action)
+SELECT 'rates' AS section, NULL AS trend, 'n_samples' AS action_type, 'n_samples = ' || n AS line FROM rt UNION ALL
+SELECT 'rates', NULL, 'well_form_rate', 'well_form_rate = ' || {_percent("w")} FROM rt UNION ALL
+SELECT 'rates', NULL, 'semantic_pass_rate_given_well_formed', 'semantic_pass_rate_given_well_formed = ' || {_percent("sw")} FROM rt UNION ALL
+SELECT 'rates', NULL, 'semantic_pass_rate_overall', 'semantic_pass_rate_overall = ' || {_percent("sa")} FROM rt UNION ALL
+SELECT 'outcome', trend, action, rpad(action, 12, ' ') || '  count=' || n || '  avg_R_gross=' || {_number("g", 3)} || '  avg_R_net=' || {_number("net", 3)} || '  win_rate=' || {_percent("win", 0)} || '  timeout=' || {_percent("tout", 0)} FROM su"""
+)
+def printed_eval(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _stored(_evaluated(spark, sf).select("well_formed", "semantic_passed", "trend", "action_type", "status", "r_multiple", "r_net"), "evaluated")
+    return reports.eval_lines(reports.eval_rates(rows), reports.eval_summary(rows))
+
+
+@_query(
+    f"""WITH RECURSIVE {_REWARD2}, ok AS (SELECT * FROM x WHERE task_ok), rr AS (SELECT trend, action, string_agg(rr || ':' || c, ' ' ORDER BY rr) AS dist FROM (SELECT trend, action, rr, count(*) AS c FROM ok WHERE rr IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+st AS (SELECT trend, action, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY trend) AS s, avg(CASE WHEN trade THEN rm END) AS r, avg(CASE WHEN trade THEN (rm > 0)::INT END) AS w, avg(rr) AS q FROM ok GROUP BY trend, action),
+gr AS (SELECT 'action' AS section, g, count(x.k) AS n FROM (SELECT unnest({list(ACTION_GROUPS)}) AS g) LEFT JOIN x ON x.action = g AND sem_ok AND task = 'action' GROUP BY g
+  UNION ALL SELECT 'zone', g, count(x.k) FROM (SELECT unnest({list(ZONE_GROUPS)}) AS g) LEFT JOIN x ON (x.side IS NULL) = (g = 'NO_ZONE') AND sem_ok AND task = 'zone' GROUP BY g)
+SELECT 'tasks' AS section, NULL AS trend, task AS name, rpad(task, 12, ' ') || '  n=' || count(*) || '  well_form_rate=100.0%  semantic_pass_rate=' || {_percent("avg(sem_ok::INT)")} AS line FROM x GROUP BY task UNION ALL
+SELECT 'outcome', trend, action, rpad(action, 12, ' ') || '  count=' || n || '  freq=' || {_percent("s")} || '  avg_R=' || {_number("r", 2)} || '  win_rate=' || {_percent("w", 0)} || '  avg_RR=' || {_number("q", 2)} || coalesce('  rr_dist=[' || dist || ']', '') FROM st LEFT JOIN rr USING (trend, action) UNION ALL
+SELECT section, NULL, g, rpad(g, 12, ' ') || '  count=' || n || '  ratio=' || {_percent("n / greatest(sum(n) OVER (PARTITION BY section), 1)")} FROM gr UNION ALL
+SELECT 'intended', NULL, action, rpad(action, 12, ' ') || '  total=' || count(*) || '  well_formed=' || count(*) || '  rate=100.0%' FROM x GROUP BY action"""
+)
+def printed_round_two(spark: SparkSession, sf: str) -> DataFrame:
+    """The second round's report; its decisions are all well-formed and mean what they say."""
+    rows = _tasks(spark, sf).select("task_id", "trend", "action_type", F.col("action_type").alias("intended_action"), "well_formed", "semantic_passed", "task_passed", "r_multiple", "rr", reward.buff_key_two().alias("zone"))
+    return reports.round_two_lines(_stored(rows, "tasks"), F.col("zone"))
+
+
 @_query(
     f"""WITH RECURSIVE {X.OUTCOMES} SELECT window_id, k::BIGINT AS k, lo::BIGINT AS zone_lower, hi::BIGINT AS zone_upper, p::BIGINT AS price, sl::BIGINT AS sl, (CASE WHEN far BETWEEN 0 AND 1023 THEN far END)::BIGINT AS target,
 i::BIGINT AS i, q.o::BIGINT AS o, q.h::BIGINT AS h, q.l::BIGINT AS l, q.c::BIGINT AS close, q.c >= q.o AS rising FROM o JOIN q USING (symbol, window_no) WHERE sem_ok AND i < 50"""

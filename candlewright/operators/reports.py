@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewright.operators.reward import action_group
-from candlewright.plans.presets import GROUPS
+from candlewright.plans.presets import ACTION_GROUPS, GROUPS, ZONE_GROUPS
 
 
 def trend_action(records: DataFrame, where: Column) -> DataFrame:
@@ -104,16 +104,64 @@ def eval_summary(records: DataFrame) -> DataFrame:
     )
 
 
+def _shown(c: str, places: int, k: int = 1) -> Column:
+    return F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.format_string(f"%.{places}f", F.round(F.round(F.col(c) * k, 6), places)))
+
+
+def _line(name: Column | str, **parts: Column) -> Column:
+    """``name`` in twelve places, then the parts, each as name=value."""
+    return F.concat_ws("  ", F.rpad(name, 12, " "), *[F.concat(F.lit(f"{k}="), v) for k, v in parts.items()])
+
+
+def _percent(c: str, places: int = 1) -> Column:
+    return F.concat(_shown(c, places, 100), F.lit("%"))
+
+
+def _count(c: str = "n") -> Column:
+    return F.col(c).cast("string")
+
+
 def report_lines(stats: DataFrame) -> DataFrame:
     """trend, line: the printed report of trend_action's rows, a line an action, in order of trend and action; a dash stands for what there is not."""
-    def shown(c: str, places: int, k: int = 1) -> Column:
-        return F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.format_string(f"%.{places}f", F.round(F.round(F.col(c) * k, 6), places)))
+    line = _line("action_type", count=_count(), freq=_percent("share"), avg_R=_shown("avg_r", 2), win_rate=_shown("win_rate", 0, 100), avg_RR=_shown("avg_rr", 2))
+    return stats.orderBy("trend", "action_type").select("trend", "action_type", line.alias("line"))
 
-    line = F.concat_ws(
-        "  ", F.rpad("action_type", 12, " "), F.concat(F.lit("count="), F.col("n").cast("string")), F.concat(F.lit("freq="), shown("share", 1, 100), F.lit("%")),
-        F.concat(F.lit("avg_R="), shown("avg_r", 2)), F.concat(F.lit("win_rate="), shown("win_rate", 0, 100)), F.concat(F.lit("avg_RR="), shown("avg_rr", 2)),
+
+def eval_lines(rates: DataFrame, summary: DataFrame) -> DataFrame:
+    """section, trend, action_type, line: the printed evaluation. rates: of eval_rates, a line a rate; summary: of eval_summary, a line a trend and action."""
+    rate = lambda name, value: F.struct(F.lit(name).alias("action_type"), F.concat(F.lit(f"{name} = "), value).alias("line"))
+    listed = F.array(
+        rate("n_samples", _count()), rate("well_form_rate", _percent("well_form_rate")), rate("semantic_pass_rate_given_well_formed", _percent("semantic_rate_given_well_formed")),
+        rate("semantic_pass_rate_overall", _percent("semantic_rate")),
     )
-    return stats.orderBy("trend", "action_type").select("trend", "action_type", line.alias("line"))
+    head = rates.select(F.lit("rates").alias("section"), F.lit(None).cast("string").alias("trend"), F.inline(listed))
+    line = _line("action_type", count=_count(), avg_R_gross=_shown("gross_r", 3), avg_R_net=_shown("net_r", 3), win_rate=_percent("win", 0), timeout=_percent("timeout", 0))
+    return head.unionByName(summary.where("trend is not null").select(F.lit("outcome").alias("section"), "trend", "action_type", line.alias("line")))
+
+
+def round_two_lines(records: DataFrame, zone: Column) -> DataFrame:
+    """section, trend, name, line: the printed report of a second round, in five sections: tasks (with the shares past each gate), outcome (trend and action of
+    the action task, past all gates, with how often each rr was chosen), action and zone (groups past the gates, all listed), intended (of completions that
+    name an action, those well-formed). zone: the zone group of a row. Records are read once a section: give a stored table.
+    """
+    gate = F.col("well_formed") & F.col("semantic_passed")
+    none = F.lit(None).cast("string").alias("trend")
+    part = lambda rows, section, name, line, trend=none: rows.select(F.lit(section).alias("section"), trend, F.col(name).alias("name"), line.alias("line"))
+    passed = gate & (F.col("task_id") == "action") & F.col("task_passed")
+    dist = F.array_join(F.transform(F.map_entries("histogram"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), " ")
+    detail = trend_action(records, passed).join(rr_histogram(records, passed), ["trend", "action_type"], "left")  # a row a trend and action
+    line = _line("action_type", count=_count(), freq=_percent("share"), avg_R=_shown("avg_r", 2), win_rate=_percent("win_rate", 0), avg_RR=_shown("avg_rr", 2))
+    line = F.concat_ws("  ", line, F.when(F.size("histogram") > 0, F.concat(F.lit("rr_dist=["), dist, F.lit("]"))))
+    groups = _line("grp", count=_count(), ratio=_percent("ratio"))
+    out = part(funnel(records), "tasks", "task_id", _line("task_id", n=_count(), well_form_rate=_percent("well_formed"), semantic_pass_rate=_percent("semantic")))
+    for more in (
+        part(detail, "outcome", "action_type", line, F.col("trend")),
+        part(task_counts(records, "action", F.col("action_type"), gate, ACTION_GROUPS), "action", "grp", groups),
+        part(task_counts(records, "zone", zone, gate, ZONE_GROUPS), "zone", "grp", groups),
+        part(intended_rates(records), "intended", "intended_action", _line("intended_action", total=_count(), well_formed=_count("well_formed"), rate=_percent("rate"))),
+    ):
+        out = out.unionByName(more)
+    return out
 
 
 def plot_table(programs: DataFrame, target: Column) -> DataFrame:
