@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from candlewright.llm import textscan as ts
 from candlewright.llm.components import components
-from candlewright.llm.runtime import Scratch, batches, column, fresh, own, slices, small
+from candlewright.llm.runtime import Scratch, batches, column, fresh, likely, own, slices, small
 
 DENSE, CHUNK, LONGEST = 24, 2048, 6
 #: Pairs for each row that has one that a block may leave to be verified by key; a block with more verifies them itself. Bytes of whole sets on a block's side.
@@ -46,7 +46,7 @@ BROADCAST_SIZED = 200_000
 #: A token is common if COMMON_LEAST rows gave it, and one row in COMMON; there can be no more of these than COMMON times the
 #: tokens that a row gives (8 bytes each are broadcast).
 COMMON, COMMON_LEAST = 20_000, 50
-#: Class ids up to which they are broadcast to the second reading of the texts (24 bytes each with doc_id and mark, 8 alone); beyond, that is a shuffle.
+#: Class ids up to which they are broadcast to the second reading of the texts (24 bytes each with doc_id and mark, 8 alone); beyond, rows that may be theirs are shuffled.
 BROADCAST_IDS = 500_000
 #: Keys of rows that go up to which they are broadcast (17 bytes each).
 BROADCAST_GONE = 500_000
@@ -135,10 +135,18 @@ def first_reading(documents: DataFrame, size: int, percent: int, seed: int = 0)
 
 def chosen_texts(documents: DataFrame, chosen: DataFrame) -> DataFrame:
     """node, text of the row (or rows, where they repeat) that stands for each chosen class: found by doc_id and text, so that a row meets one class at most."""
-    ids = chosen.select("rep.doc_id", F.col("rep.mark").alias("m"), "node")
-    texts = documents.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("mark"), "text")
-    same = (F.col("mark") == F.col("m")) & F.col("d").eqNullSafe(F.col("doc_id"))
-    return texts.join(F.broadcast(ids) if chosen.count() <= BROADCAST_IDS else ids, same).select("node", "text")
+    ids = chosen.select("rep.doc_id", "rep.mark", "node")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    texts, ids = _to_meet(texts, ids, ["doc_id", "mark"])
+    same = (F.col("t.mark") == F.col("i.mark")) & F.col("t.doc_id").eqNullSafe(F.col("i.doc_id"))
+    return texts.alias("t").join(ids.alias("i"), same).select("node", "text")
+
+
+def _to_meet(table: DataFrame, ids: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join by the names: ids are broadcast while they are few; else only rows that may be theirs are left to shuffle."""
+    if ids.count() <= BROADCAST_IDS:
+        return table, F.broadcast(ids)
+    return likely(table, ids, names), ids
 
 
 def second_reading(documents: DataFrame, chosen: DataFrame, size: int, percent: int, common: np.ndarray, seed: int = 0) -> DataFrame:
@@ -310,8 +318,9 @@ def _thick_block(percent: int):
 
 
 def _among(table: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of the nodes in ids, which are broadcast while they are few."""
-    return table.join(small(ids, BROADCAST_IDS), "node", "left_semi")
+    """Rows of the nodes in ids."""
+    table, ids = _to_meet(table, ids, ["node"])
+    return table.join(ids, "node", "left_semi")
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

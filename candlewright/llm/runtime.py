@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +20,8 @@ SLICE_BYTES = 2_000_000
 class Scratch:
     """Tables written to the shared folder, to cut lineage or to use a costly result twice.
 
-    A table outlives the executor that wrote it. ``drop`` frees one that is no longer read; ``clear`` frees all that this
-    application has written, once their results have been read.
+    A table outlives the executor that wrote it. ``drop`` frees one that is no longer read, and the shuffle files of plans that
+    are done; ``clear`` frees all that this application has written, once their results have been read.
     """
 
     roots: list[str] = []
@@ -45,6 +46,7 @@ class Scratch:
         for df in tables:
             if getattr(df, "scratch_path", None):
                 _delete(self.spark, df.scratch_path)
+        self.spark._jvm.System.gc()  # shuffle files go when the driver's garbage is collected; left to itself, it may keep those of a whole query
 
 
 def _delete(spark: SparkSession, where: str) -> None:
@@ -175,6 +177,28 @@ def has(packed: bytes, values, bits: int):
     return table[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & np.uint8(1) == 1
 
 
+#: Bits of the map of keys for each of them, and at most (16 MB).
+_BITS_PER_KEY, _KEY_BITS = 16, 1 << 27
+
+
+def likely(table: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """The rows of the table whose columns ``names`` may be among those of ``keys``: all that are, and by chance a few more.
+
+    For a table that is to be joined with keys too many to broadcast and mostly meets none: only what is left is shuffled. The
+    keys are asked through a bitmap of fixed size; the rest of a row does not go to Python.
+    """
+    import numpy as np
+
+    ship(table.sparkSession)
+    bits = 1 << min(_KEY_BITS.bit_length() - 1, max(20, (_BITS_PER_KEY * keys.count()).bit_length()))
+    packed = table.sparkSession.sparkContext.broadcast(bitmap(keys.select(F.xxhash64(*names).alias("key")), "key", bits))
+
+    def may(hashes: pd.Series) -> pd.Series:
+        return pd.Series(has(packed.value, hashes.to_numpy(dtype=np.int64).view(np.uint64), bits))
+
+    return table.where(F.pandas_udf(may, "boolean")(F.xxhash64(*names)))
+
+
 def running(df: DataFrame, order: list, amount: str, name: str, scratch: Scratch) -> DataFrame:
     """The rows with ``name``: the sum of the whole column ``amount`` (long) over all rows before, in the order given.
 

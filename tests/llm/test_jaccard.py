@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from candlewright.llm import jaccard
+from candlewright.llm.runtime import Scratch
 
 DOCS = "doc_id long, text string, node long, n long, tokens string"
 
@@ -97,3 +100,31 @@ def test_forest_connects_what_links_connect():
     for a, b in [(0, 1), (1, 2), (0, 2), (4, 5)]:
         link[a, b] = link[b, a] = True
     assert len(jaccard.forest(link)) == 3
+
+
+def test_only_rows_that_may_meet_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    frame = spark.createDataFrame([(None if i == 8 else i, f"text {i}") for i in range(2000)], "doc_id long, text string")
+    marked = frame.selectExpr("doc_id", "xxhash64(text) AS mark", "doc_id AS node", "text")
+    ids = marked.where("coalesce(doc_id, 8) % 40 = 8").drop("text")
+    left, _ = jaccard._to_meet(marked, ids, ["doc_id", "mark"])
+    assert ids.count() <= left.count() < 60 and ids.exceptAll(left.drop("text")).isEmpty()
+    chosen = ids.selectExpr("coalesce(node, -1) AS node", "struct(doc_id IS NULL AS no_id, doc_id, mark) AS rep")
+    met = jaccard.chosen_texts(frame, chosen).collect()
+    assert sorted((r.node, r.text) for r in met) == sorted((-1 if i == 8 else i, f"text {i}") for i in range(8, 2000, 40))
+
+
+def test_drop_frees_shuffle_files(spark):
+    def files():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in (held.apply(i) for i in range(held.size())) if f.getName().endswith(".data")}
+
+    scratch, before = Scratch(spark), files()
+    table = scratch.table(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "sums")
+    made = files() - before
+    assert made and table.count() == 100
+    scratch.drop(table)
+    end = time.time() + 20
+    while made & files() and time.time() < end:
+        time.sleep(0.2)
+    assert not made & files()
