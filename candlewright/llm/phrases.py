@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from candlewright.llm.runtime import Scratch, batches, bitmap, column, has, slices, small
+from candlewright.llm.runtime import Scratch, batches, bitmap, column, handed, has, slices, small
 from candlewright.llm.textscan import signed, split, whole, window_hashes, word_hashes
 
 LEAST = 10
@@ -34,6 +34,8 @@ REPORTED = 2000
 #: Words whose runs are told apart at once, and bytes of text that one automaton is built from.
 CHUNK = 500_000
 SHARD_BYTES = 4_000_000
+#: Phrases that are spelt out at once, and rows that Python is handed at once.
+NAMED, HANDED = 100_000, 1000
 #: Bits of the map of frequent runs for each of them, and at most (16 MB).
 BITS_PER_RUN, BITS = 16, 1 << 27
 #: More languages than this are joined, not broadcast.
@@ -54,15 +56,15 @@ _NO_WORD, _BREAK = _table(_BREAKS + _BLANKS), _table(_BREAKS)
 class Shard:
     """Words of some texts, numbered, with the piece of each."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, hashed: bool = True):
         words = split(texts, _NO_WORD, lower=True)
-        self.hashes = word_hashes(words)
+        self.hashes = word_hashes(words) if hashed else None
         breaks = np.flatnonzero(_BREAK[np.frombuffer(words.data, dtype=np.uint8)])
-        self.piece = np.searchsorted(breaks, words.start) + words.row  # a piece ends at a break or with its text
+        self.piece = (np.searchsorted(breaks, words.start) + words.row).astype(np.int32)  # a piece ends at a break or with its text
         ends = np.append(words.start, words.end[-1:]).astype(np.int64)
         with_blanks = pa.Array.from_buffers(pa.large_string(), len(words), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(words.data)])
         coded = pc.ascii_rtrim(with_blanks, characters=(_BREAKS + _BLANKS).decode()).dictionary_encode()
-        self.names, self.word = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.names, self.word = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
 
     def __len__(self) -> int:
         return len(self.word)
@@ -73,43 +75,60 @@ class Automaton:
 
     ``last[d]``, ``head[d]``, ``link[d]`` and ``count[d]`` describe the states of level d: their last word, the state of level d - 1
     without it, the state of level d - 1 without the first word, and how often they occur. The link of a run that ends the range is looked up in the range's
-    lookahead, so states may have count 0. ``open_`` says which places may begin a run of the last level.
+    lookahead, so states may have count 0. ``open_`` says which places may begin a run of the last level; below it, only runs inside these are built.
     """
 
     def __init__(self, shard: Shard, low: int, high: int, depth: int, open_: np.ndarray | None = None):
         stop = min(len(shard), high + depth - 1)
         word, piece, own = shard.word[low:stop], shard.piece[low:stop], high - low
         self.head, self.link, self.last, self.count = [None], [None], [None], [np.array([own])]
-        state = np.zeros(len(word), dtype=np.int64)
+        state = np.zeros(len(word), dtype=np.int32)
         for d in range(1, depth + 1):
             n = len(word) - d + 1
             if n <= 0:
                 break
             runs = piece[:n] == piece[d - 1 :]
-            if d == depth and open_ is not None:  # places whose head and link may be frequent
-                runs &= open_[low : low + n]
+            if open_ is not None:  # places in runs whose head and link may be frequent
+                runs &= _reached(open_[low:stop], depth - d)[:n]
             at = np.flatnonzero(runs & (state[:n] >= 0))
-            last = word[at + d - 1]
-            keys, first, found = np.unique(state[at] * len(shard.names) + last, return_index=True, return_inverse=True)
-            self.head.append(keys // len(shard.names))
-            self.last.append(keys % len(shard.names))
-            self.link.append(state[at + 1][first] if d > 1 else np.zeros(len(keys), dtype=np.int64))
-            self.count.append(np.bincount(found[at < own], minlength=len(keys)))
-            state = np.full(len(word), -1, dtype=np.int64)
+            keys = state[at].astype(np.int64)
+            keys *= len(shard.names)
+            keys += word[at + d - 1]
+            keys, first, found = np.unique(keys, return_index=True, return_inverse=True)
+            self.head.append((keys // len(shard.names)).astype(np.int32))
+            self.last.append((keys % len(shard.names)).astype(np.int32))
+            self.link.append(state[at[first] + 1] if d > 1 else np.zeros(len(keys), dtype=np.int32))
+            self.count.append(np.bincount(found[at < own], minlength=len(keys)).astype(np.int32))
+            state = np.full(len(word), -1, dtype=np.int32)
             state[at] = found
 
     def phrases(self, names: pa.Array, d: int) -> tuple[pa.Array, np.ndarray]:
         """The runs of level d that occur, and their counts."""
-        if d >= len(self.count):
-            return pa.array([], pa.large_string()), np.empty(0, dtype=np.int64)
+        some = list(self.some_phrases(names, d, max(1, len(self.count[d]) if d < len(self.count) else 0)))
+        return some[0] if some else (pa.array([], pa.large_string()), np.empty(0, dtype=np.int64))
+
+    def some_phrases(self, names: pa.Array, d: int, size: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """The runs of level d that occur, and their counts, ``size`` at a time."""
+        states = np.flatnonzero(self.count[d]) if 0 < d < len(self.count) else []
         if d == 0:
-            return pa.array([""], pa.large_string()), self.count[0]
-        states = np.flatnonzero(self.count[d])
-        parts, at = [], states
+            yield pa.array([""], pa.large_string()), self.count[0]
+        for a in range(0, len(states), size):
+            yield self._named(names, d, states[a : a + size]), self.count[d][states[a : a + size]]
+
+    def _named(self, names: pa.Array, d: int, at: np.ndarray) -> pa.Array:
+        parts = []
         for level in range(d, 0, -1):
             parts.append(names.take(pa.array(self.last[level][at])))
             at = self.head[level][at]
-        return (pc.binary_join_element_wise(*reversed(parts), pa.scalar(" ", pa.large_string())) if d > 1 else parts[0]), self.count[d][states]
+        return pc.binary_join_element_wise(*reversed(parts), pa.scalar(" ", pa.large_string())) if d > 1 else parts[0]
+
+
+def _reached(open_: np.ndarray, ahead: int) -> np.ndarray:
+    """Places at most ``ahead`` after an open one."""
+    out = open_.copy()
+    for k in range(1, min(ahead + 1, len(open_))):
+        out[k:] |= open_[:-k]
+    return out
 
 
 def _shards(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]]:
@@ -117,7 +136,7 @@ def _shards(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]]:
     held: list[pa.RecordBatch] = []
 
     def groups() -> Iterator[tuple[str, pa.Array]]:
-        table = pa.Table.from_batches(held)
+        table = pa.Table.from_batches(held).combine_chunks()
         held.clear()
         for lang in table.column("lang").unique().to_pylist():
             texts = table.column("text").filter(pc.equal(table.column("lang"), lang))
@@ -125,12 +144,13 @@ def _shards(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]]:
 
     size = 0
     for batch in parts:
-        for a, b in slices(column(batch, "text"), SHARD_BYTES):
-            held.append(batch.slice(a, b - a))
-            size += held[-1].nbytes
-            if size >= SHARD_BYTES:
+        for a, b in slices(column(batch, "text"), SHARD_BYTES // 16):
+            more = batch.slice(a, b - a)
+            if held and size + more.nbytes > SHARD_BYTES:
                 yield from groups()
                 size = 0
+            held.append(more)
+            size += more.nbytes
     if held:
         yield from groups()
 
@@ -146,19 +166,18 @@ def run_counts(documents: DataFrame, levels: tuple[int, ...], frequent: bytes |
 
     def step(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in _shards(parts):
-            shard = Shard(texts)
+            shard = Shard(texts, shared.value is not None)
             open_ = None
             if shared.value is not None and len(shard):
                 known = has(shared.value, _in(lang, window_hashes(shard.hashes, depth - 1)), bits)
                 open_ = np.zeros(len(shard), dtype=bool)
                 open_[: max(len(known) - 1, 0)] = known[:-1] & known[1:]
+                shard.hashes = None
             for low in range(0, len(shard), CHUNK):
                 built = Automaton(shard, low, min(low + CHUNK, len(shard)), depth, open_)
                 for d in levels:
-                    names, counts = built.phrases(shard.names, d)
-                    for a in range(0, len(counts), 100_000):
-                        some = names.slice(a, 100_000).cast(pa.string())
-                        yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(some)), some, pa.array(counts[a : a + 100_000], pa.int64())], ["lang", "phrase", "n"])
+                    for some, counts in built.some_phrases(shard.names, d, NAMED):
+                        yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(some)), some.cast(pa.string()), pa.array(counts.astype(np.int64))], ["lang", "phrase", "n"])
             pa.default_memory_pool().release_unused()  # else the allocator keeps what the largest shard took
 
     each = batches(_language(documents), step, "lang string, phrase string, n long")
@@ -189,12 +208,15 @@ def _words(phrase: str = "phrase"):
 
 def frequent_phrases(documents: DataFrame, least: int, longest: int, scratch: Scratch, bits: int = BITS) -> DataFrame:
     """lang, phrase, words, n: each run of 1 to ``longest`` words that occurs ``least`` times or more, and the root (no words) of each language."""
-    out = scratch.table(run_counts(documents, (0, 1, 2)[: longest + 1]).where((F.col("n") >= least) | (F.col("phrase") == "")), "runs")
+    with handed(documents.sparkSession, HANDED):
+        out = scratch.table(run_counts(documents, (0, 1, 2)[: longest + 1]).where((F.col("n") >= least) | (F.col("phrase") == "")), "runs")
     level = out
     for d in range(3, longest + 1):
         below = level.where(F.size(_words()) == d - 1)
         used = 1 << min(bits.bit_length() - 1, max(20, (BITS_PER_RUN * below.count()).bit_length()))
-        level = scratch.table(run_counts(documents, (d,), _mapped(below, d - 1, used), used).where(F.col("n") >= least), "runs")
+        known = _mapped(below, d - 1, used)
+        with handed(documents.sparkSession, HANDED):
+            level = scratch.table(run_counts(documents, (d,), known, used).where(F.col("n") >= least), "runs")
         out = out.unionByName(level)
     return out.select("lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(F.size(_words())).alias("words"), "n")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 import pyarrow as pa
@@ -115,6 +116,18 @@ def batches(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(bounded, schema)
 
 
+@contextmanager
+def handed(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside hand Python at most so many rows at once; a batch is held several times, in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows if int(before) <= 0 else min(rows, int(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _cut(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     if part.nbytes <= BATCH_BYTES or part.num_rows < 2:
         yield part

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 from candlewright.llm import phrases
+from candlewright.llm.runtime import handed
 
 _AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -82,3 +83,46 @@ def test_large_counts_stay_exact(spark):
     big = 3_000_000_000
     row = spark.sql(f"SELECT CAST(1000000 * CAST({big} AS DECIMAL(38,0)) * {big} AS DECIMAL(38,0)) div CAST(CAST({big + 1} AS DECIMAL(38,0)) * {big + 2} AS DECIMAL(38,0)) AS s").first()
     assert row.s == 1_000_000 * big * big // ((big + 1) * (big + 2))
+
+
+def test_only_runs_inside_open_ones_are_built():
+    shard = phrases.Shard(pa.array(["a b c d e f g h"], pa.large_string()))
+    open_ = np.zeros(8, dtype=bool)
+    open_[2] = True
+    built = phrases.Automaton(shard, 0, 8, 3, open_)
+    assert [built.phrases(shard.names, d)[0].to_pylist() for d in (2, 3)] == [["c d", "d e"], ["c d e"]]
+    assert built.head[3].tolist() == [0] and built.link[3].tolist() == [1]
+
+
+def test_a_shard_is_held_in_few_bytes():
+    rng = random.Random(3)
+    shard = phrases.Shard(pa.array([" ".join(rng.choices("abcdefgh", k=1000)) for _ in range(20)], pa.large_string()), hashed=False)
+    built = phrases.Automaton(shard, 0, len(shard), 3)
+    held = [shard.word, shard.piece, *(x for level in (1, 2, 3) for x in (built.head[level], built.link[level], built.last[level], built.count[level]))]
+    assert shard.hashes is None and {x.itemsize for x in held} == {4}
+    whole, counts = built.phrases(shard.names, 3)
+    parts = list(built.some_phrases(shard.names, 3, 7))
+    assert max(len(x) for x, _ in parts) == 7  # spelt out a few at a time
+    assert [p for x, _ in parts for p in x.to_pylist()] == whole.to_pylist() and np.array_equal(np.concatenate([n for _, n in parts]), counts)
+
+
+def test_shards_stay_within_their_bytes(monkeypatch):
+    monkeypatch.setattr(phrases, "SHARD_BYTES", 10_000)
+    rng = random.Random(4)
+    texts = [f"{i} " + "word " * rng.choice([1, 10, 300, 1500]) for i in range(200)] + ["long " * 5000]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], ["lang", "text"])
+    shards = [t.to_pylist() for _, t in phrases._shards(batch.slice(a, 50) for a in range(0, len(texts), 50))]
+    assert [t for shard in shards for t in shard] == texts
+    assert all(sum(map(len, shard)) <= 10_000 or len(shard) == 1 for shard in shards)
+
+
+def test_python_is_handed_few_rows_at_once(spark):
+    def sizes(parts):
+        for batch in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with handed(spark, 100):
+        assert max(r.n for r in spark.range(0, 1000, 1, 1).mapInArrow(sizes, "n long").collect()) == 100
+    assert spark.conf.get(name) == before
