@@ -6,13 +6,16 @@ A text's set holds 63-bit hashes of its word shingles; texts with one set are on
    W(n) - p(n) + 1 matches, so a class that shares fewer given tokens with all others together than the least
    partner would require has no partner and drops out. Partners all stay, so the same is asked once more of those
    that stayed, among themselves.
-2. The rest write their whole sets, ordered by hash, with tokens common in the corpus last. The 1-prefix has
+2. The rest order their sets by hash, with tokens common in the corpus last, and write the longest prefix. Whole sets
+   are made again from the texts for the few classes that get as far as being verified. The 1-prefix has
    n - ceil(J n) + 1 tokens. Its candidate cost is estimated by the other holders of its tokens: for each doubling
    (up to LONGEST) the prefix grows by one token and one more shared token is required. A pair needs as many shared
    prefix tokens as the smaller of the two requirements.
 3. A prefix token with DENSE holders is dense. The others make pairs, counted by pair; pairs that share too few, or
-   whose shared count and remaining tokens cannot add up to the threshold, are dropped. A dense token has a pivot, the
-   holder with the most dense tokens, and each holder makes one pair with it. What sizes and shapes do not rule out
+   whose shared count and remaining tokens cannot add up to the threshold, are dropped. Many dense tokens are shared by
+   chance. A pair that shares dense tokens alone shares as many as one of the two requires; a holder that has too few for
+   that with any holder of a token leaves it, and where pairs are counted what it has left counts as shared. A dense token
+   has a pivot, the holder with the most dense tokens, and each holder makes one pair with it. What sizes and shapes do not rule out
    is verified on the whole sets. Then the holders of dense tokens meet by pivot, in blocks of CHUNK by CHUNK, but for
    those linked with the pivot among themselves. A block compares prefixes and shapes; the few pairs left are verified
    by key, and a block with many gets the whole sets of their members, once, and returns a spanning forest, never all pairs.
@@ -25,7 +28,7 @@ back each; other columns are left out; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,6 +42,8 @@ from candlewright.llm.components import components
 from candlewright.llm.runtime import Scratch, batches, column, fresh, likely, own, slices, small
 
 DENSE, CHUNK, LONGEST = 24, 2048, 6
+#: Rounds in which holders leave dense tokens; each is exact.
+LEAVE = 2
 #: Pairs for each row that has one that a block may leave to be verified by key; a block with more verifies them itself. Bytes of whole sets on a block's side.
 THIN, BLOCK_BYTES = 1, 16_000_000
 #: Classes up to which their sizes and prefix lengths are broadcast (40 bytes each).
@@ -149,18 +154,16 @@ def _to_meet(table: DataFrame, ids: DataFrame, names: list[str]) -> tuple[DataFr
     return likely(table, ids, names), ids
 
 
-def second_reading(documents: DataFrame, chosen: DataFrame, size: int, percent: int, common: np.ndarray, seed: int = 0) -> DataFrame:
-    """node, n, shape (token counts by bucket), heads (the longest prefix), tokens (ordered) of the chosen classes, from the text of one document each (from one in each task, where rows repeat)."""
-    spark = documents.sparkSession
-    last = spark.sparkContext.broadcast(common)
-
-    longest = LONGEST
+def _chosen_sets(documents: DataFrame, chosen: DataFrame, size: int, common: np.ndarray, seed: int, made: Callable[[list[np.ndarray]], list[pa.Array]], schema: str) -> DataFrame:
+    """What ``made`` makes of the nodes and ordered sets (common tokens last) of the chosen classes, from the text of one document each (from one in each task, where rows repeat)."""
+    last = documents.sparkSession.sparkContext.broadcast(common)
+    names = [field.split()[0] for field in schema.split(", ")]
 
     def step(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, told = last.value, set()
         for batch in parts:
             texts, wanted = column(batch, "text"), column(batch, "node").to_pylist()
-            node, n, shapes, heads, lists = [], [], [], [], []
+            node, lists = [], []
             for a, b in slices(texts):
                 for i, tokens in enumerate(row_sets(texts.slice(a, b - a), size), a):
                     if wanted[i] in told or not len(tokens) or _set_key(tokens, seed) != wanted[i]:
@@ -170,14 +173,27 @@ def second_reading(documents: DataFrame, chosen: DataFrame, size: int, percent:
                         at = np.minimum(np.searchsorted(order, tokens), len(order) - 1)
                         tokens = np.sort(np.where(order[at] == tokens, tokens | np.uint64(1 << 63), tokens))
                     node.append(wanted[i])
-                    n.append(len(tokens))
-                    shapes.append(np.minimum(np.bincount(tokens & np.uint64(SHAPE - 1), minlength=SHAPE), _MOST).astype(np.int16))
-                    heads.append(tokens[: prefix_size(len(tokens), percent) + longest])
                     lists.append(tokens)
-            shape = pa.array(shapes, pa.list_(pa.int16()))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), shape, _lists(heads), _lists(lists)], ["node", "n", "shape", "heads", "tokens"])
+            sizes = pa.array([len(tokens) for tokens in lists], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), sizes, *made(lists)], names)
+
+    return batches(chosen_texts(documents, chosen), step, schema)
+
+
+def second_reading(documents: DataFrame, chosen: DataFrame, size: int, percent: int, common: np.ndarray, seed: int = 0) -> DataFrame:
+    """node, n, shape (token counts by bucket), heads (the longest prefix) of the chosen classes."""
+    longest = LONGEST
+
+    def made(lists: list[np.ndarray]) -> list[pa.Array]:
+        shapes = [np.minimum(np.bincount(tokens & np.uint64(SHAPE - 1), minlength=SHAPE), _MOST).astype(np.int16) for tokens in lists]
+        return [pa.array(shapes, pa.list_(pa.int16())), _lists([tokens[: prefix_size(len(tokens), percent) + longest] for tokens in lists])]
+
+    return _chosen_sets(documents, chosen, size, common, seed, made, "node long, n long, shape array<smallint>, heads array<long>")
+
 
-    return batches(chosen_texts(documents, chosen), step, "node long, n long, shape array<smallint>, heads array<long>, tokens array<long>")
+def whole_sets(documents: DataFrame, chosen: DataFrame, size: int, common: np.ndarray, seed: int = 0) -> DataFrame:
+    """node, n, tokens (ordered) of the chosen classes."""
+    return _chosen_sets(documents, chosen, size, common, seed, lambda lists: [_lists(lists)], "node long, n long, tokens array<long>")
 
 
 def forest(link: np.ndarray) -> list[tuple[int, int]]:
@@ -334,22 +350,42 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select(pairs.node, "node2")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """u, v of the pairs that link, from their whole sets."""
-    ids = pairs.select("node").unionByName(pairs.select(F.col("node2").alias("node"))).distinct()
-    whole = _among(sets.select("node", "n", "tokens"), ids)
-    met = pairs.join(whole.alias("a"), pairs.node == F.col("a.node")).join(whole.alias("b"), pairs.node2 == F.col("b.node"))
-    return met.where(F.size(F.array_intersect("a.tokens", "b.tokens")) >= _needed(F.col("a.n"), F.col("b.n"), percent)).select(pairs.node.alias("u"), F.col("node2").alias("v"))
+def _linked(pairs: DataFrame, whole: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
+    """u, v of the pairs that link, from their whole sets, which are gone afterwards."""
+    sets = scratch.table(whole(pairs.select("node").unionByName(pairs.select(F.col("node2").alias("node"))).distinct()), "tokens")
+    met = pairs.join(sets.alias("a"), pairs.node == F.col("a.node")).join(sets.alias("b"), pairs.node2 == F.col("b.node"))
+    met = met.where(F.size(F.array_intersect("a.tokens", "b.tokens")) >= _needed(F.col("a.n"), F.col("b.n"), percent))
+    out = scratch.table(met.select(pairs.node.alias("u"), F.col("node2").alias("v")), "sure")
+    scratch.drop(sets)
+    return out
+
+
+def _staying(dense: DataFrame) -> DataFrame:
+    """token, node: the holders that stay with their dense tokens. dense: token, node, need.
+
+    A pair that shares no other prefix tokens shares as many dense ones as the smaller of its needs, so one of the two holds as many
+    as it needs itself. A token without such a holder is left by all, and by those that hold fewer than the least need of these.
+    """
+    for _ in range(LEAVE):
+        held = dense.join(dense.groupBy("node").agg(F.count("*").alias("held")), "node")
+        least = held.where("held >= need").groupBy("token").agg(F.min("need").alias("least"))
+        dense = held.join(least, "token").where("held >= least").select("token", "node", "need")
+    return dense.select("token", "node")
 
 
 def _rare_pairs(few: DataFrame, percent: int) -> DataFrame:
-    """node, node2 of the pairs that share as many of few's tokens as a link of them would require, at least."""
+    """node, node2 of the pairs that share as many of few's tokens as a link of them would require, at least, if they meet by no dense token.
+
+    few: token, node, n, x, need, edge, held (dense tokens of the node), gone (those that it has left). Pairs that don't meet share no
+    more dense tokens than either holds, and each of these was left by one of the two.
+    """
     a, b = few.alias("a"), few.alias("b")
     n, n2 = F.col("a.n"), F.col("b.n")
     flip = F.lit(-(1 << 63)).cast("long")
     below = F.col("a.edge").bitwiseXOR(flip) <= F.col("b.edge").bitwiseXOR(flip)  # in unsigned order
     rest = F.when(below, n - F.col("a.x")).otherwise(n2 - F.col("b.x"))
-    asked = F.greatest(F.least("a.need", "b.need"), _needed(n, n2, percent) - rest)
+    dense = F.least("a.held", "b.held", F.col("a.gone") + F.col("b.gone"))
+    asked = F.greatest(F.least("a.need", "b.need"), _needed(n, n2, percent) - rest) - dense
     once = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (100 * F.least(n, n2) >= percent * F.greatest(n, n2))
     met = a.join(b, once).select(F.col("a.node").alias("node"), F.col("b.node").alias("node2"), asked.cast("int").alias("asked"))
     return met.groupBy("node", "node2", "asked").agg(F.count("*").alias("c")).where("c >= asked").select("node", "node2")
@@ -389,8 +425,8 @@ def _blocks(groups: DataFrame, links: DataFrame, sized: DataFrame) -> DataFrame:
     )
 
 
-def linked_components(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """node, component of each class that has a link. sets: node, n, shape, heads, tokens."""
+def linked_components(sets: DataFrame, whole: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
+    """node, component of each class that has a link. sets: node, n, shape, heads; whole gives node, n, tokens of the nodes in a table."""
     n = F.col("n")
     head = (n - F.ceil(F.lit(percent) * n / 100) + 1).cast("int")
     spots = sets.select("node", head.alias("head"), F.posexplode("heads").alias("pos", "token"))
@@ -408,13 +444,17 @@ def linked_components(sets: DataFrame, percent: int, scratch: Scratch) -> DataFr
     sized = scratch.table(sized, "sized")
     held = spots
     spots = spots.join(small(sized, BROADCAST_SIZED), "node").where("pos < x")
-    groups = scratch.table(_pivot_groups(spots.where(f"holders >= {DENSE}").select("token", "node")), "groups")
+    dense = scratch.table(spots.where(f"holders >= {DENSE}").select("token", "node", "need"), "dense")
+    stay = scratch.table(_staying(dense), "stay")
+    groups = scratch.table(_pivot_groups(stay), "groups")
+    had = dense.groupBy("node").agg(F.count("*").alias("held")).join(stay.groupBy("node").agg(F.count("*").alias("stays")), "node", "left")
+    had = scratch.table(had.select("node", "held", (F.col("held") - F.coalesce("stays", F.lit(0))).alias("gone")), "had")
     star = groups.where("pivot <> node").select(F.least("pivot", "node").alias("node"), F.greatest("pivot", "node").alias("node2")).distinct()
-    rare = _rare_pairs(spots.where(f"holders < {DENSE}").select("token", "node", "n", "x", "need", "edge"), percent)
-    asked = scratch.table(rare.unionByName(star).distinct(), "asked")
-    scratch.drop(held)
+    few = spots.where(f"holders < {DENSE}").select("token", "node", "n", "x", "need", "edge").join(small(had, BROADCAST_SIZED), "node", "left").fillna(0, ["held", "gone"])
+    asked = scratch.table(_rare_pairs(few, percent).unionByName(star).distinct(), "asked")
+    scratch.drop(held, dense, stay, had)
     pairs = scratch.table(_plausible(asked, sets, percent), "pairs")
-    links = scratch.table(_linked(pairs, sets, percent), "sure")
+    links = _linked(pairs, whole, percent, scratch)
     scratch.drop(asked, pairs)
 
     blocks = scratch.table(_blocks(groups, links, sized), "blocks")
@@ -425,11 +465,10 @@ def linked_components(sets: DataFrame, percent: int, scratch: Scratch) -> DataFr
     left = blocks.join(_among(heads, blocks.select("node").distinct()), "node").join(pivots, "node")
     left = scratch.table(left.groupBy("pivot", "kind", "i", "j").applyInPandas(_open_block(percent), "u long, v long, pivot long, kind int, i int, j int"), "left")
     thin = scratch.table(left.where("v is not null").select(F.least("u", "v").alias("node"), F.greatest("u", "v").alias("node2")).distinct(), "asked")
-    more = _linked(thin, sets, percent)
+    more = _linked(thin, whole, percent, scratch)
     thick = left.where("v is null").select(F.col("u").alias("node"), "pivot", "kind", "i", "j")
     if not thick.isEmpty():
-        whole = _among(sets.select("node", "n", "tokens"), thick.select("node").distinct())
-        met = blocks.join(thick, ["node", "pivot", "kind", "i", "j"], "left_semi").join(whole, "node")
+        met = blocks.join(thick, ["node", "pivot", "kind", "i", "j"], "left_semi").join(whole(thick.select("node").distinct()), "node")
         more = more.unionByName(met.groupBy("pivot", "kind", "i", "j").applyInPandas(_thick_block(percent), "u long, v long"))
     out = scratch.table(components(links.unionByName(more), scratch), "found")
     scratch.drop(sized, groups, blocks, left, thin, links)
@@ -482,12 +521,18 @@ def _groups(documents: DataFrame, size: int, percent: int) -> tuple[DataFrame, D
     chosen = scratch.table(chosen, "chosen")
     slim = scratch.table(read.select("doc_id", "n", "node"), "rows")
     scratch.drop(read, stayed)
-    sets = scratch.table(second_reading(documents, chosen, size, percent, common, seed), "whole")
-    scratch.drop(chosen)
-    if sets.count() > sets.select("node").distinct().count():
-        sets = scratch.table(sets.dropDuplicates(["node"]), "whole")
-    found = linked_components(sets, percent, scratch)
-    scratch.drop(sets)
+    sets = scratch.table(second_reading(documents, chosen, size, percent, common, seed), "sets")
+    repeats = sets.count() > sets.select("node").distinct().count()
+    if repeats:
+        sets = scratch.table(sets.dropDuplicates(["node"]), "sets")
+
+    def whole(ids: DataFrame) -> DataFrame:
+        asked = scratch.table(chosen.join(small(ids, BROADCAST_IDS), "node", "left_semi"), "verified")
+        out = whole_sets(documents, asked, size, common, seed)
+        return out.dropDuplicates(["node"]) if repeats else out
+
+    found = linked_components(sets, whole, percent, scratch)
+    scratch.drop(sets, chosen)
     groups = classes.select("node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return slim, groups.select("node", "component"), groups.groupBy("component").agg(F.min("rep").alias("rep"))
 

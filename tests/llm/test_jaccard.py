@@ -128,3 +128,37 @@ def test_drop_frees_shuffle_files(spark):
     while made & files() and time.time() < end:
         time.sleep(0.2)
     assert not made & files()
+
+
+def test_chance_makes_no_blocks_and_keeps_no_whole_sets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "DENSE", 8)
+    made, write = [], Scratch.table
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        made.append((name, out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(Scratch, "table", counted)
+    rng = random.Random(7)
+    rows = [(i, " ".join(map(str, [*rng.sample(range(1000, 3000), 30), *rng.sample(range(120), 10)]))) for i in range(200)]
+    rows += [(1000 + i, rows[i][1] + f" u{i}") for i in range(5)]
+    frame = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], DOCS)
+    assert sorted(repr(tuple(r)) for r in jaccard.jaccard_components(frame, 1, 90).collect()) == plain(rows, 1, 90)
+    assert max(n for name, _, n in made if name == "chosen") > 100  # all but a few share most words with some other
+    assert sum(n for name, _, n in made if name == "blocks") < 100
+    assert sum(n for _, columns, n in made if "tokens" in columns) < 100
+
+
+@pytest.mark.parametrize(("seed", "dense"), [(8, 3), (9, 6)])
+def test_pairs_with_rare_and_dense_tokens_are_found(spark, monkeypatch, seed, dense):
+    monkeypatch.setattr(jaccard, "DENSE", dense)
+    rng = random.Random(seed)
+    rows = []
+    for i in range(60):  # near copies in groups of 2 to 4, which share some words with all others
+        words = [*rng.sample(range(1000, 1600), rng.randint(2, 40)), *rng.sample(range(40), rng.randint(2, 20))]
+        for j in range(rng.randint(1, 4)):
+            gone = set(rng.sample(range(len(words)), min(j, len(words) - 1)))
+            rows.append((10 * i + j, " ".join(str(w) for k, w in enumerate(words) if k not in gone)))
+    frame = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], DOCS)
+    assert sorted(repr(tuple(r)) for r in jaccard.jaccard_components(frame, 1, 80).collect()) == plain(rows, 1, 80)
